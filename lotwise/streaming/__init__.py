@@ -1,0 +1,5 @@
+"""The engine trains on tables; it has no streaming operator of its own.
+
+The row-local operators (``score``, ``predict_class``, ``clip_scalar``, ``clip_l2``) are plain
+column expressions, so they accept a streaming DataFrame as well as a batch one.
+"""
