@@ -20,8 +20,17 @@ def l2_norm(a):
     return F.sqrt(sq_norm(a))
 
 
+def let(value, use):
+    """Evaluate ``value`` once and hand the result to ``use``.
+
+    A lambda evaluates outer expressions again for every element; binding them first keeps the
+    work proportional to the vector's length.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def scaled(a, factor):
-    return F.transform(a, lambda v: v * factor)
+    return let(factor, lambda f: F.transform(a, lambda v: v * f))
 
 
 def clip_scalar(value, bound):
@@ -40,8 +49,8 @@ def clip_l2(a, bound):
 
 def unit(a):
     """Vector divided by its length; a zero vector stays as it is."""
-    norm = l2_norm(a)
-    return F.when(norm > 0, scaled(a, F.lit(1.0) / norm)).otherwise(a)
+    inverse = F.coalesce(F.try_divide(F.lit(1.0), l2_norm(a)), F.lit(1.0))
+    return scaled(a, inverse)
 
 
 def padded(a, width):

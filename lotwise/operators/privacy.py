@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from lotwise.functions.vectors import let
+
 # Fixed values of the training jobs: moment orders and delta.
 TRAINING_ORDERS = 128
 TRAINING_DELTA = 1e-3
@@ -25,11 +27,6 @@ def _ln(column):
     return F.log(F.greatest(column, F.lit(TINY)))
 
 
-def _let(value, use):
-    """Evaluate ``value`` once and hand the result to ``use``."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def log_moment(sigma, q, order, table):
     """ln of the order-th moment of the privacy loss of the sampled Gaussian mechanism.
 
@@ -49,12 +46,12 @@ def log_moment(sigma, q, order, table):
         return mix + g["out"] + lift
 
     def log_sum(terms):
-        return _let(F.array_max(terms), lambda peak: peak + F.log(
+        return let(F.array_max(terms), lambda peak: peak + F.log(
             F.aggregate(terms, F.lit(0.0), lambda s, v: s + F.exp(v - peak))
         ))
 
-    terms = _let(given, lambda g: F.transform(F.sequence(F.lit(0), order), lambda k: term(k, g)))
-    return _let(terms, log_sum)
+    terms = let(given, lambda g: F.transform(F.sequence(F.lit(0), order), lambda k: term(k, g)))
+    return let(terms, log_sum)
 
 
 def log_moments(ledger, orders=DEFAULT_ORDERS):
