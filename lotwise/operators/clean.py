@@ -42,7 +42,7 @@ def fill_constant(df, value=0):
 def column_modes(df, columns):
     """Most frequent value of each text column, ties to the smallest, from one pass."""
     pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns
+        F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns
     ]))
     counted = (
         df.select(pairs.alias("p"))
@@ -64,7 +64,7 @@ def fill_mode(df, columns, strategy="most_frequent", fit_df=None):
         F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("modes")
     ).scalar()
     return df.withColumns({
-        c: F.coalesce(F.col(c), F.try_element_at(lookup, F.lit(c))) for c in columns
+        c: F.coalesce(F.col(f"`{c}`"), F.try_element_at(lookup, F.lit(c))) for c in columns
     })
 
 

@@ -52,7 +52,7 @@ def category_codes(df, columns):
 def level_counts(df, columns):
     """Rows per (column, value), nulls left out, all columns in one pass."""
     pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns
+        F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns
     ]))
     return (
         df.select(pairs.alias("p"))
@@ -77,7 +77,7 @@ def _named_levels(counts, columns, order):
 def _indicators(df, levels, keep_others=True):
     others = [c for c in df.columns if c not in levels] if keep_others else []
     made = [
-        F.coalesce(F.when(F.col(c) == v, 1), F.lit(0)).alias(f"{c}_{v}")
+        F.coalesce(F.when(F.col(f"`{c}`") == v, 1), F.lit(0)).alias(f"{c}_{v}")
         for c, values in levels.items()
         for v in values
     ]
@@ -90,13 +90,16 @@ def one_hot(df, columns, drop=()):
     return _indicators(df, levels).drop(*drop)
 
 
-def one_hot_freq(train, test, columns, drop_first=True):
+def one_hot_freq(train, test, columns, drop_first=True, counts=None):
     """Indicators in order of frequency over train and test together (ties: smaller value first).
 
-    The commonest level is dropped; nulls and dropped levels are all zeros.
+    The commonest level is dropped; nulls and dropped levels are all zeros.  ``counts`` may bring
+    frequencies taken earlier, for example before imputation.
     """
-    both = train.select(*columns).unionByName(test.select(*columns))
-    levels = _named_levels(level_counts(both, columns), columns, [F.desc("n"), "value"])
+    if counts is None:
+        both = train.select(*columns).unionByName(test.select(*columns))
+        counts = level_counts(both, columns)
+    levels = _named_levels(counts, columns, [F.desc("n"), "value"])
     if drop_first:
         levels = {c: v[1:] for c, v in levels.items()}
     return _indicators(train, levels), _indicators(test, levels)

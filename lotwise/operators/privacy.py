@@ -294,10 +294,10 @@ def solver_ledger(runs, n, solver):
         )
     if solver == "cocoa":
         # One entry per outer round and part; a part's own size sets its lot and its rate.
-        part = F.expr("transform(sequence(0, K - 1), k -> k)")
+        part = F.sequence(F.lit(0), F.col("K") - 1)
         rounds = F.explode(F.sequence(F.lit(0), F.col("out_iter") - 1))
         small = F.floor(F.lit(n) / F.col("K"))
-        own = small + F.when(F.col("k") < F.lit(n) % F.col("K"), 1).otherwise(0)
+        own = small + F.when(F.col("_part") < F.lit(n) % F.col("K"), 1).otherwise(0)
         ratio = F.col("lot_ratio")
         own_lot = F.when(ratio <= 1, F.greatest(F.lit(1.0), F.ceil(ratio * F.col("own")))).otherwise(
             F.floor(ratio).cast("double")
@@ -305,12 +305,12 @@ def solver_ledger(runs, n, solver):
         own_updates = (F.col("own") * F.col("max_iter")).cast("double")
         return (
             runs.withColumn("round", rounds)
-            .withColumn("k", F.explode(part))
+            .withColumn("_part", F.explode(part))
             .withColumn("own", own)
             .withColumn("lot_size", F.least(own_lot, own_updates))
             .select(
                 "run_id",
-                (F.col("round") * F.col("K") + F.col("k")).alias("mech_id"),
+                (F.col("round") * F.col("K") + F.col("_part")).alias("mech_id"),
                 "sigma",
                 (
                     F.least(F.lit(1.0), F.col("lot_size") / (F.col("own") * F.col("K")))

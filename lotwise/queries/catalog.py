@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from lotwise.queries import prep, sampling, scoring, training, updates  
+from lotwise.queries import evaluation, files, ledger, prep, sampling, scoring, training, updates  
 from lotwise.queries.registry import ORACLES, QUERIES
 
 flagship = training.flagship

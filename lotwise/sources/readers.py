@@ -1,7 +1,6 @@
 """Scans.  Schemas are explicit; Spark reads ``.bz2`` and ``.gz`` files as they are."""
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def scan_csv(spark, path, schema, header=True, null_value=None, comment=None):
@@ -80,8 +79,5 @@ def paired_scan(scan, train_path, test_path):
 
 
 def struct_of(fields):
-    """``StructType`` from ``(name, type name)`` pairs."""
-    schema = T.StructType()
-    for name, kind in fields:
-        schema = schema.add(name, kind)
-    return schema
+    """Schema text from ``(name, type name)`` pairs."""
+    return ", ".join(f"`{name}` {kind}" for name, kind in fields)
