@@ -138,9 +138,10 @@ class Hinge(Task):
 
     def block_delta(self, z, y, alpha, sq, lam_n, sigma_p):
         a = self._boxed(alpha, y)
-        curvature = sq * sigma_p
-        step = np.where(curvature > 0, y * (lam_n * y - z), np.inf)
-        goal = np.minimum(1.0, a + step / np.where(curvature > 0, curvature, 1.0))
+        # As in the column form, a row without features goes straight to the far edge.
+        curvature = np.maximum(sq * sigma_p, np.finfo(float).tiny)
+        with np.errstate(over="ignore"):
+            goal = np.minimum(1.0, a + y * (lam_n * y - z) / curvature)
         moved = np.clip(np.maximum(0.0, goal), self.box, 1.0 - self.box)
         return y * (moved - a)
 

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.vectors import padded
+from lotwise.sources.scratch import commit, scratch_path
 
 SPLITTERS = 256
 MAX_NAMED_LEVELS = 4096
@@ -35,12 +36,13 @@ def ordered_rank(df, column, splitters=SPLITTERS):
 def category_codes(df, columns):
     """Text to its 0-based place among the sorted distinct values; null to -1.
 
-    The level table is joined without a hint: Spark broadcasts it when it is small and falls back
-    to a (skew-aware) shuffle join when a column has very many levels.
+    The level table is written first, so Spark knows its true size when it plans the join: small
+    ones are broadcast, very large ones are joined by a (skew-aware) shuffle.
     """
     for c in columns:
         levels = df.select(F.col(c).alias("_level")).where(F.col("_level").isNotNull()).distinct()
         codes = ordered_rank(levels, "_level").select("_level", (F.col("rank") - 1).alias("_code"))
+        codes = commit(codes, scratch_path(df.sparkSession, "levels"))
         df = (
             df.join(codes, F.col(c) == F.col("_level"), "left")
             .withColumn(c, F.coalesce("_code", F.lit(-1)).cast("int"))
@@ -110,6 +112,7 @@ def one_hot_long(df, columns):
     counts = level_counts(df, columns)
     levels = counts.select(F.concat_ws("=", "name", "value").alias("_level"))
     index = ordered_rank(levels, "_level").select("_level", (F.col("rank") - 1).alias("idx"))
+    index = commit(index, scratch_path(df.sparkSession, "levels"))
     marks = F.explode(F.array(*[
         F.when(F.col(c).isNotNull(), F.concat_ws("=", F.lit(c), F.col(c).cast("string")))
         for c in columns
@@ -132,10 +135,12 @@ def to_dense(df, width=None):
     """Sparse pair to a dense vector of ``width`` entries."""
     width = F.col("width") if width is None else F.lit(width)
     lookup = F.map_from_arrays("indices", "values")
-    dense = F.transform(
+    filled = F.transform(
         F.sequence(F.lit(0), width - 1),
         lambda i: F.coalesce(F.try_element_at(lookup, i), F.lit(0.0)),
     )
+    # A row with every entry present is already its own dense vector.
+    dense = F.when(F.size("indices") == width, F.col("values")).otherwise(filled)
     rest = [c for c in df.columns if c not in ("indices", "values", "width")]
     return df.select(*rest, dense.alias("features"))
 

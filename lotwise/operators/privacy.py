@@ -164,16 +164,22 @@ def calibrate_sigma(targets, orders=DEFAULT_ORDERS, rounds=40):
 
     Bisection on a log scale; the upper end is returned, so the target is met.  After 40 rounds
     the interval is narrower than 1e-10 of sigma.  A search evaluates thousands of terms in
-    sequence for one row, so it runs on NumPy vectors inside the tasks.
+    sequence for one row, so it runs on NumPy vectors inside the tasks.  A target that no noise
+    can meet (below -ln(delta) / orders) gets a null.
     """
     o = np.arange(1.0, orders + 1.0)
 
     def search(eps, delta, q, iters):
+        def enough(sigma):
+            moments = _block_moments(sigma, q, orders)
+            return ((iters * moments - math.log(delta)) / o).min() <= eps
+
         low, high = SIGMA_LOW, SIGMA_HIGH
+        if not enough(high):
+            return None
         for _ in range(rounds):
             mid = math.sqrt(low * high)
-            spent_eps = ((iters * _block_moments(mid, q, orders) - math.log(delta)) / o).min()
-            low, high = (low, mid) if spent_eps <= eps else (mid, high)
+            low, high = (low, mid) if enough(mid) else (mid, high)
         return high
 
     return _searched(targets, search)
@@ -187,12 +193,16 @@ def calibrate_sigma_geometric(targets, orders=DEFAULT_ORDERS):
     o = np.arange(1.0, orders + 1.0)
 
     def search(eps, delta, q, iters):
+        def enough(k):
+            moments = _block_moments(SIGMA_START * SIGMA_GROWTH**k, q, orders)
+            return math.exp(min(0.0, (iters * moments - o * eps).min())) <= delta
+
         low, high = 0, SIGMA_STEPS
+        if not enough(high):
+            return None
         while low < high:
             k = (low + high) // 2
-            sigma = SIGMA_START * SIGMA_GROWTH**k
-            exponent = (iters * _block_moments(sigma, q, orders) - o * eps).min()
-            low, high = (low, k) if math.exp(min(0.0, exponent)) <= delta else (k + 1, high)
+            low, high = (low, k) if enough(k) else (k + 1, high)
         return SIGMA_START * SIGMA_GROWTH**low
 
     return _searched(targets, search)

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lotwise.functions.keyed import keyed_normal
 from lotwise.functions.tasks import task_of
 from lotwise.functions.vectors import vector
 from lotwise.operators import privacy
@@ -22,7 +23,8 @@ from lotwise.operators.update import (
 from lotwise.plans import kernels
 from lotwise.plans.cocoa import parts_needed, train_cocoa
 from lotwise.plans.lots import MODEL_CELLS, TrainingTable, train_group, training_table
-from lotwise.plans.params import RunParams, runs_of
+from lotwise.plans.params import PARAM_SCHEMA, RunParams, runs_of
+from lotwise.sources.scratch import commit, scratch_path
 
 # The short solver names.
 SOLVER_ALIASES = {
@@ -144,11 +146,12 @@ def _with_noise(spark, runs, n, solver, steps_of):
             # The search takes one mechanism; parts of CoCoA run on disjoint rows at one rate.
             _, q, iters = (releases(r, n, solver, steps_of(r)) or _cocoa_rate(r, n))[0]
             rows.append((int(r.run_id), float(r.eps), privacy.TRAINING_DELTA, float(q), int(iters)))
-        from lotwise.plans.params import PARAM_SCHEMA
-
         targets = spark.createDataFrame(rows, PARAM_SCHEMA)
         calibrated = privacy.calibrate_sigma(targets, privacy.TRAINING_ORDERS)
         found = {r["run_id"]: r["sigma"] for r in calibrated.select("run_id", "sigma").collect()}
+        missed = sorted(run for run, sigma in found.items() if sigma is None)
+        if missed:
+            raise ArithmeticError(f"no noise meets the target epsilon of runs {missed}")
     return [replace(r, sigma=found.get(r.run_id, r.sigma)) for r in runs]
 
 
@@ -240,6 +243,9 @@ def fit_runs(df, task, solver, runs, fit_intercept=True, mode=None, validation=N
     if validation is not None:
         held = add_intercept(validation) if fit_intercept else validation
     _check_private(table, runs, solver)
+    if trace or solver == "primal_cd" or len(runs) > 1:
+        # Read many times: written once, so that preparation is not repeated and lineage ends here.
+        table.df = commit(table.df, scratch_path(spark, "train"))
     steps_of = lambda r: _lot_steps(r, table.n)
     runs = _with_noise(spark, runs, table.n, solver, steps_of)
     coef, shared, alpha, log = {}, {}, {}, []
@@ -352,8 +358,6 @@ def primal_cd(table, task, params, fit_log=None):
 
 
 def _sweep_noise(params, sweep):
-    from lotwise.functions.keyed import keyed_normal
-
     return (F.lit(params.sigma) * keyed_normal(params.seed, "p", sweep, F.col("id"))).alias("noise")
 
 

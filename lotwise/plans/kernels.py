@@ -14,8 +14,10 @@ class DenseBlock:
     """Rows of one Arrow batch with a dense feature matrix."""
 
     def __init__(self, batch, width):
-        flat = np.asarray(batch.column("features").flatten())
-        self.x = flat.reshape(batch.num_rows, width)
+        lists = batch.column("features")
+        if batch.num_rows and (np.asarray(lists.value_lengths()) != width).any():
+            raise ValueError(f"every row needs a vector of {width} features")
+        self.x = np.asarray(lists.flatten()).reshape(batch.num_rows, width)
 
     def scores(self, models):
         return self.x @ models.T
@@ -39,6 +41,8 @@ class SparseBlock:
         self.index = np.asarray(lists.flatten())
         self.value = np.asarray(batch.column("values").flatten())
         lengths = np.asarray(lists.value_lengths())
+        if len(self.index) and self.index.max() >= width:
+            raise ValueError(f"feature index {self.index.max()} is beyond the width {width}")
         self.row = np.repeat(np.arange(self.n), lengths)
 
     def scores(self, models):

@@ -45,15 +45,16 @@ def scan_libsvm(spark, path, n_features):
     text = F.trim(F.regexp_replace("value", "#.*$", ""))
     lines = spark.read.text(path).select(text.alias("line")).where(F.col("line") != "")
     fields = F.split("line", "\\s+")
-    pairs = F.transform(
-        F.slice(fields, 2, F.greatest(F.lit(0), F.size(fields) - 1)), lambda t: F.split(t, ":")
-    )
-    return with_row_id(lines.select(
-        F.element_at(fields, 1).cast("double").alias("y"),
-        F.transform(pairs, lambda p: p[0].cast("int") - 1).alias("indices"),
-        F.transform(pairs, lambda p: p[1].cast("double")).alias("values"),
+    texts = F.slice(fields, 2, F.greatest(F.lit(0), F.size(fields) - 1))
+    pairs = F.array_sort(F.transform(texts, lambda t: F.struct(
+        (F.substring_index(t, ":", 1).cast("int") - 1).alias("i"),
+        F.substring_index(t, ":", -1).cast("double").alias("v"),
+    )))
+    parsed = lines.select(F.element_at(fields, 1).cast("double").alias("y"), pairs.alias("p"))
+    return with_row_id(parsed).select(
+        "row_id", "y", F.col("p.i").alias("indices"), F.col("p.v").alias("values"),
         F.lit(int(n_features)).alias("width"),
-    )).select("row_id", "y", "indices", "values", "width")
+    )
 
 
 def write_libsvm(df, path):
