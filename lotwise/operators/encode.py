@@ -163,8 +163,9 @@ def to_sparse(df):
 def entries(df, keep=("row_id",), zeros=False):
     """One row per vector entry, from either layout."""
     if "features" in df.columns:
-        out = df.select(*keep, F.posexplode("features").alias("idx", "value"))
-        return out if zeros else out.where(F.col("value") != 0.0)
+        # The outer form: a plain explode adds a size check that evaluates the vector twice.
+        out = df.select(*keep, F.posexplode_outer("features").alias("idx", "value"))
+        return out.where(F.col("idx").isNotNull() if zeros else F.col("value") != 0.0)
     return df.select(*keep, F.explode(F.arrays_zip("indices", "values")).alias("e")).select(
         *keep, F.col("e.indices").alias("idx"), F.col("e.values").alias("value")
     )

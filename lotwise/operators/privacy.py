@@ -57,17 +57,20 @@ def log_moment(sigma, q, order, table):
 def log_moments(ledger, orders=DEFAULT_ORDERS):
     """Ledger rows times orders 1..orders with column ``log_moment``.
 
-    The expensive part runs once per distinct (sigma, q), spread over tasks by (sigma, q, order).
+    The expensive part runs once per distinct (sigma, q); its moments travel as one vector and are
+    spread out after the join, so the join moves ledger rows, not rows times orders.
     """
     table = _log_factorials(orders)
-    pairs = (
-        ledger.select("sigma", "q")
-        .distinct()
-        .withColumn("order", F.explode(F.sequence(F.lit(1), F.lit(orders))))
-        .repartition("sigma", "q", "order")
+    moments = F.transform(
+        F.sequence(F.lit(1), F.lit(orders)),
+        lambda o: log_moment(F.col("sigma"), F.col("q"), o, table),
     )
-    moment = log_moment(F.col("sigma"), F.col("q"), F.col("order"), table)
-    return ledger.join(pairs.withColumn("log_moment", moment), ["sigma", "q"])
+    pairs = ledger.select("sigma", "q").distinct().repartition("sigma", "q")
+    joined = ledger.join(pairs.withColumn("_moments", moments), ["sigma", "q"])
+    kept = [c for c in joined.columns if c != "_moments"]
+    # The outer form: a plain explode adds a size check that would evaluate the moments per row.
+    spread = joined.select(*kept, F.posexplode_outer("_moments").alias("_place", "log_moment"))
+    return spread.withColumn("order", F.col("_place") + 1).drop("_place")
 
 
 def compose(moments):

@@ -6,7 +6,10 @@ a position falls inside a bucket, from that bucket alone.  The features never mo
 """
 
 import math
+import operator
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -161,13 +164,45 @@ def assign_lots(df, lot_size, epochs, seed, mode="exact"):
     raise ValueError(f"unknown lot mode {mode!r}")
 
 
+# Up to this many lots per epoch are told apart by comparing a row's key with their last keys.
+FEW_LOTS = 64
+
+
+def _lot_ends(keys, lot_size, whole):
+    """Last key of each of the first ``whole`` lots, in order.
+
+    Two narrow jobs over the keys: bucket sizes (at most 65,536 numbers) tell in which bucket and
+    at which place a lot ends, then only those buckets are ranked.
+    """
+    sizes = keys.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).orderBy("_bucket").toArrow()
+    buckets, ends = sizes["_bucket"].to_pylist(), np.cumsum(sizes["n"].to_numpy())
+    positions = lot_size * np.arange(1, whole + 1)
+    found = np.searchsorted(ends, positions)
+    places = positions - np.concatenate(([0], ends))[found]
+    wanted = [
+        (F.col("_bucket") == buckets[f]) & (F.col("_place") == int(p)) for f, p in zip(found, places)
+    ]
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key"))
+    ranked = keys.where(F.col("_bucket").isin(sorted({buckets[f] for f in found})))
+    ranked = ranked.withColumn("_place", inside).where(reduce(operator.or_, wanted))
+    return [r["_key"] for r in ranked.select("_key").orderBy("_key").collect()]
+
+
 def slice_lots(df, lot_size, n, *seed_parts):
     """Lot of every row within one epoch, for a known row count; the tail beyond whole lots is -1.
 
-    Lots far larger than a bucket are told apart by the few keys at which they end, so the rows
-    stay where they are; small lots are cut from full ranks.
+    Lots larger than a bucket are told apart by the keys at which they end, so the rows stay where
+    they are; small lots are cut from full ranks.
     """
     whole = n // lot_size
+    if whole <= FEW_LOTS:
+        keyed = _keyed(df, *seed_parts)
+        lot = F.lit(-1)
+        ends = _lot_ends(_keyed(df.select("row_id"), *seed_parts), lot_size, whole) if whole else []
+        for number, end in reversed(list(enumerate(ends))):
+            edge = F.struct(F.lit(end["h"]).alias("h"), F.lit(end["r"]).cast("bigint").alias("r"))
+            lot = F.when(F.col("_key") <= edge, F.lit(number)).otherwise(lot)
+        return keyed.withColumn("lot", lot).drop("_key", "_bucket")
     if n // 16**BUCKET_DIGITS > lot_size:
         lot = F.floor((F.col("rn") - 1) / F.lit(lot_size)).cast("int")
         ranked = random_rank(df, *seed_parts).withColumn("lot", lot).drop("rn")
