@@ -103,11 +103,7 @@ def dual_objective(df, lambda_, task, w=None):
 
 
 def duality_gap(df, lambda_, task, w=None):
-    """Primal and dual objective of ``(y, alpha, features)`` and the gap between them.
-
-    ``gap_form`` is the second form, model . (X^T alpha) plus both losses; the two agree when
-    w = X^T alpha.
-    """
+    """Losses and objectives of ``(y, alpha, features)`` and the gap between primal and dual."""
     task = task_of(task)
     w = shared_vector(df) if w is None else w
     n = F.count(F.lit(1))

@@ -66,7 +66,9 @@ def log_moments(ledger, orders=DEFAULT_ORDERS):
         lambda o: log_moment(F.col("sigma"), F.col("q"), o, table),
     )
     pairs = ledger.select("sigma", "q").distinct().repartition("sigma", "q")
-    joined = ledger.join(pairs.withColumn("_moments", moments), ["sigma", "q"])
+    # Slim rows that grow by ``orders``: spread them by count, not by their present size.
+    tasks = int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = ledger.repartition(tasks).join(pairs.withColumn("_moments", moments), ["sigma", "q"])
     kept = [c for c in joined.columns if c != "_moments"]
     # The outer form: a plain explode adds a size check that would evaluate the moments per row.
     spread = joined.select(*kept, F.posexplode_outer("_moments").alias("_place", "log_moment"))

@@ -5,16 +5,17 @@ import time
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotwise.functions.keyed import keyed_normal
 from lotwise.functions.tasks import task_of
-from lotwise.functions.vectors import vector
 from lotwise.operators import privacy
 from lotwise.operators.encode import add_intercept
 from lotwise.operators.metrics import STOP_FACTOR
 from lotwise.operators.objective import max_row_norm, score
+from lotwise.operators.split import lot_size_of
 from lotwise.operators.update import (
     delta_theta_logistic,
     delta_theta_ridge,
@@ -71,8 +72,12 @@ class FitResult:
 
     def coef_frame(self):
         """Frame ``(run_id, idx, value)``."""
-        rows = [(r, i, float(v)) for r, w in sorted(self.coef.items()) for i, v in enumerate(w)]
-        return self.spark.createDataFrame(rows, COEF_SCHEMA)
+        runs = sorted(self.coef)
+        return self.spark.createDataFrame(pa.table({
+            "run_id": np.repeat(np.array(runs, dtype=np.int64), [len(self.coef[r]) for r in runs]),
+            "idx": np.concatenate([np.arange(len(self.coef[r]), dtype=np.int32) for r in runs]),
+            "value": np.concatenate([self.coef[r] for r in runs]),
+        }), COEF_SCHEMA)
 
     def trace_frame(self):
         return self.spark.createDataFrame(self.trace, TRACE_SCHEMA)
@@ -81,7 +86,7 @@ class FitResult:
         """Column ``z`` for one run."""
         run_id = self.runs[0].run_id if run_id is None else run_id
         rows = add_intercept(df) if self.fit_intercept else df
-        return score(rows, vector(self.coef[run_id]))
+        return score(rows, self.coef_frame().where(F.col("run_id") == run_id))
 
     def evaluate(self, df):
         """Test metrics of every run, from one pass over ``df``."""
@@ -156,9 +161,11 @@ def _with_noise(spark, runs, n, solver, steps_of):
 
 
 def _cocoa_rate(run, n):
-    lot = max(1, math.ceil(run.lot_size(n) / run.k))
-    lots = run.max_iter * math.ceil(n / run.k) // lot
-    return [(0, min(1.0, lot * 1.0 / n), run.k * run.out_iter * lots)]
+    """CoCoA as one mechanism: lots of the largest part, at their share of the whole table."""
+    size = -(-n // run.k)
+    lot = min(lot_size_of(run.lot_ratio, size, run.max_iter), size)
+    lots = size * int(run.max_iter) // lot
+    return [(0, min(1.0, lot / (size * run.k)), run.k * run.out_iter * lots)]
 
 
 def ledger_of(spark, runs, n, solver, steps_of):
@@ -339,7 +346,7 @@ def primal_cd(table, task, params, fit_log=None):
     theta = np.zeros(table.width)
     damping = 1.0 / table.width if params.gamma is None else params.gamma
     for sweep in range(int(params.max_iter)):
-        coef = spark.createDataFrame([(i, float(v)) for i, v in enumerate(theta)], "idx int, value double")
+        coef = _vector_frame(spark, theta)
         if task.name == "ridge":
             steps = delta_theta_ridge(table.df, coef, params.lambda_, table.n)
         else:
@@ -361,13 +368,16 @@ def _sweep_noise(params, sweep):
     return (F.lit(params.sigma) * keyed_normal(params.seed, "p", sweep, F.col("id"))).alias("noise")
 
 
+def _vector_frame(spark, values):
+    columns = {"idx": np.arange(len(values), dtype=np.int32), "value": values}
+    return spark.createDataFrame(pa.table(columns), "idx int, value double")
+
+
 def _best_damping(spark, table, theta, move, params):
-    pairs = [(i, float(t), float(d)) for i, (t, d) in enumerate(zip(theta, move))]
-    frame = spark.createDataFrame(pairs, "idx int, value double, delta double")
-    rows = score(table.df, vector(theta))
-    rows = score(rows.withColumnRenamed("z", "z0"), vector(move))
+    coef, step = _vector_frame(spark, theta), _vector_frame(spark, move)
+    rows = score(score(table.df, coef).withColumnRenamed("z", "z0"), step)
     rows = rows.select("y", F.col("z0").alias("z"), F.col("z").alias("dz"))
-    coef, delta = frame.select("idx", "value"), frame.select("idx", "delta")
+    delta = step.withColumnRenamed("value", "delta")
     lam = params.lambda_ * table.n
     return float(optimal_dampening_primal(rows, coef, delta, params.sigma, lam).first()[0])
 

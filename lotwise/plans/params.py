@@ -1,7 +1,7 @@
 """Hyperparameters of a run and the grid of runs."""
 
 import math
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,6 +109,3 @@ PARAM_SCHEMA = T.StructType([
     T.StructField("iters", T.LongType()),
 ])
 
-
-def as_dict(params):
-    return asdict(params)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lotwise.operators import objective, split, update
 from lotwise.queries.inputs import (
-    COEF, DUAL, EMB, LAMBDA, SCORED, delta_sql, dual_rows, dual_state, embeddings, factor_sql,
+    DUAL, LAMBDA, SCORED, delta_sql, dual_rows, dual_state, embeddings, factor_sql,
     long_out, mean_model, model_out, normal_sql, r6,
 )
 from lotwise.queries.registry import query
@@ -217,5 +217,3 @@ def optimal_dampening_primal(spark, sf):
     out = update.optimal_dampening_primal(both, coef, delta, 0.5, LAMBDA)
     return out.select(r6("gamma", "gamma"))
 
-
-__all__ = ["COEF", "EMB", "stepped"]

@@ -203,3 +203,9 @@ def test_unknown_dataset_is_refused(spark):
 
 def test_click_columns_are_complete():
     assert len(CLICK_COLUMNS) == 39
+
+
+def test_run_label_spells_out_the_parameters():
+    from lotwise.sources.writers import run_label
+
+    assert run_label({"lambda": 1e-4, "K": 4, "seed": 1}, "log_") == "log_la0.0001_K4_se1"
