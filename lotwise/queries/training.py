@@ -338,6 +338,77 @@ def fit_cocoa_private(spark, sf):
     run = params(max_iter=1, out_iter=2, k=4, sigma=1.0, clip=0.01)
     return coef_out(fit(rows, "ridge", "COCOA", run, fit_intercept=False))
 
+def walk_sql(r, sigma_p, task):
+    """Recursive SQL of one local pass in round r: each part's rows in order, one step at a time.
+
+    Needs ``o{r}`` (part, t, row_id, y, x, sq, alpha) and ``m{r}`` (w as a list); gives ``v{r}``.
+    """
+    step = delta_sql(task, lam_n=f"({LAMBDA}e0 * n)", sigma_p=sigma_p)
+    return f"""v{r} as (
+  select distinct part, 0::bigint as t, w as view, -1::bigint as row_id, 0e0 as d from o{r}, m{r}
+  union all
+  select part, t, list_transform(list_zip(view, x), lambda p: p[1] + {sigma_p} * d * p[2]), row_id, d
+  from (select part, t, view, x, row_id, {step} as d
+        from (select a.part, b.t, a.view, b.x, b.row_id, b.y, b.sq, b.alpha,
+                     list_inner_product(a.view, b.x) as z
+              from v{r} a join o{r} b on b.part = a.part and b.t = a.t + 1), nn))"""
+
+
+ROWS_SQ = """
+nn as (select count(*) as n from emb),
+sqs as (select row_id, y, x, list_inner_product(x, x) as sq from emb)"""
+SEQUENTIAL_SQL = f"""with recursive {EMB}, {ROWS_SQ},
+m0 as (select list_transform(range(64), lambda j: 0e0) as w),
+o0 as (select 0 as part, row_id, y, x, sq, 0e0 as alpha,
+              row_number() over (order by md5('{SEED}|order|0|0|' || row_id), row_id) as t from sqs),
+{walk_sql(0, "1e0", "hinge")}
+select unnest(range(64))::int as idx, round(unnest(view) / ({LAMBDA}e0 * n), 6) + 0e0 as value
+from v0, nn where t = n"""
+
+
+@query("fit_dual_sequential_pass", SEQUENTIAL_SQL)
+def fit_dual_sequential_pass(spark, sf):
+    """One pass over all rows, step by step."""
+    run = params(max_iter=1, lot_ratio=1.0)
+    return coef_out(fit(embeddings(spark, sf), "hinge", "SSCD", run, fit_intercept=False))
+
+
+def cocoa_sql(rounds):
+    ctes = ["m0 as (select list_transform(range(64), lambda j: 0e0) as w)",
+            "a0 as (select row_id, 0e0 as alpha from emb)",
+            f"pt as (select row_id, (ntile(4) over (order by md5('{SEED}|' || row_id), row_id) - 1)::int "
+            "as part from emb)"]
+    for r in range(rounds):
+        ctes += [
+            f"o{r} as (select part, row_id, y, x, sq, alpha, row_number() over (partition by part "
+            f"order by md5('{SEED}|order|{r}|0|' || row_id), row_id) as t "
+            f"from sqs join pt using (row_id) join a{r} using (row_id))",
+            walk_sql(r, "4e0", "ridge"),
+            f"e{r} as (select part, max(t) as t from v{r} group by part)",
+            f"c{r} as (select i, any_value(w) + sum((v - w) / 4e0) as w from (select "
+            f"unnest(range(64)) as i, unnest(view) as v, unnest(w) as w from v{r} join e{r} using (part, t), "
+            f"m{r}) group by i)",
+            f"m{r + 1} as (select list(w order by i) as w from c{r})",
+            f"a{r + 1} as (select row_id, alpha + d as alpha from a{r} join v{r} using (row_id))",
+        ]
+    body = ",\n".join(ctes)
+    return f"with recursive {EMB}, {ROWS_SQ},\n{body}\n"
+
+
+@query("fit_cocoa_rounds", cocoa_sql(2) + f"""select i::int as idx,
+round(w / ({LAMBDA}e0 * n), 6) + 0e0 as value from c1, nn""")
+def fit_cocoa_rounds(spark, sf):
+    """Two rounds over four parts."""
+    run = params(max_iter=1, out_iter=2, k=4, lot_ratio=1.0)
+    return coef_out(fit(embeddings(spark, sf), "ridge", "COCOA", run, fit_intercept=False))
+
+
+@query("fit_cocoa_alpha", cocoa_sql(2) + "select row_id, round(alpha, 6) + 0e0 as alpha from a2")
+def fit_cocoa_alpha(spark, sf):
+    run = params(max_iter=1, out_iter=2, k=4, lot_ratio=1.0)
+    result = fit(embeddings(spark, sf), "ridge", "COCOA", run, fit_intercept=False)
+    return result.alpha[0].select("row_id", r6("alpha", "alpha"))
+
 
 FLAGSHIP = dict(lambda_=0.1, lot_ratio=0.5, max_iter=1, clip=0.5, sigma=0.5, seed=SEED)
 FLAG_RUN = Unrolled("", 0.5, 1, 2, lam=0.1).dual("ridge", clip=0.5, noise=0.5 * (2 * 0.25) ** 0.5)
