@@ -62,7 +62,8 @@ def add_sums(spark, sums, noise, width, key):
     """
     if any(s > 0 for s in noise):
         scales = F.array(*[F.lit(float(s)) for s in noise])
-        drawn = spark.range(width).select(
+        tasks = 1 + len(noise) * width // (1 << 16)
+        drawn = spark.range(0, width, 1, tasks).select(
             F.explode(F.sequence(F.lit(0), F.lit(len(noise) - 1))).alias("run"),
             F.col("id").cast("int").alias("idx"),
         )

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lotwise.operators.objective import row_sq_norm
 from lotwise.operators.privacy import eps_curve
 from lotwise.plans.recipes import load_dataset
 from lotwise.queries.evaluation import TRACE, event_trace
@@ -124,6 +125,34 @@ def load_dataset_query(spark, sf):
     return both.select("side", "row_id", "y", "features")
 
 
+def customers_by_side(spark, sf, root):
+    readers.write_libsvm(
+        table(spark, sf, "customer").select(
+            (F.col("c_acctbal") / 1e3).alias("y"),
+            F.array(*[
+                F.col(c).cast("double") for c in ("c_custkey", "c_nationkey", "c_acctbal")
+            ], *[F.lit(0.0)] * 5).alias("features"),
+        ),
+        f"{root}/abalone/abalone",
+    )
+    return load_dataset(spark, "abalone", root)
+
+
+@query("load_dataset_sides", """
+with n as (select count(*) as n, ceil(count(*) * 0.25e0)::bigint as t from customer)
+select 'train' as side, n - t as n, 8::int as width, 1e0 as longest from n
+union all select 'test', t, 8, 1e0 from n""")
+def load_dataset_sides(spark, sf):
+    """Customers through the file recipe: exact shares, full width, unit rows."""
+    sides = customers_by_side(spark, sf, scratch_path(spark, "datasets"))
+    named = [f.withColumn("side", F.lit(s)) for s, f in zip(("train", "test"), sides)]
+    both = row_sq_norm(named[0].unionByName(named[1]))
+    return both.groupBy("side").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("width"),
+        r6(F.sqrt(F.max("sq")), "longest"),
+    )
+
+
 @query("load_dataset_pair", f"""with {EMB}
 select 'train' as side, count(*) as n, 90::int as width from emb where y > 0
 union all select 'test', count(*), 90 from emb where y < 0""")
