@@ -115,6 +115,18 @@ def test_lots_agree_with_a_full_ranking(spark, lot_size):
     assert {r["row_id"]: r["lot"] for r in exact.collect()} == {r: l for r, l in want.items() if l >= 0}
 
 
+def test_small_lots_are_cut_from_full_ranks(spark, monkeypatch):
+    monkeypatch.setattr(split, "BUCKET_DIGITS", 1)
+    monkeypatch.setattr(split, "FEW_LOTS", 0)
+    df = spark.range(400).select(F.col("id").alias("row_id"))
+    order = ranked(400, 9, 0)
+    for lot_size in (7, 60):  # below and above the 25 rows of a bucket
+        whole = 400 // lot_size
+        want = {r: (p // lot_size if p // lot_size < whole else -1) for p, r in enumerate(order)}
+        got = {r["row_id"]: r["lot"] for r in split.slice_lots(df, lot_size, 400, 9, 0).collect()}
+        assert got == want
+
+
 def test_a_lot_may_span_two_epochs(spark):
     df = spark.range(10).select(F.col("id").alias("row_id"))
     lots = split.assign_lots(df, 4, 2, 1).groupBy("lot").count().orderBy("lot").collect()

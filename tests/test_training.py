@@ -276,3 +276,53 @@ def test_private_rows_must_be_short(small):
         fit(long, "ridge", "PSCD", run, fit_intercept=False)
     with pytest.raises(ValueError):
         fit(df, "ridge", "SIMPLEX", run)
+
+
+@pytest.mark.parametrize("mode", ["exact", "poisson"])
+@pytest.mark.parametrize("cells", [1, 10])
+def test_segments_within_an_epoch_give_the_same_result(small, monkeypatch, mode, cells):
+    """Models in flight beyond the bound: more rewrites per epoch, equal numbers."""
+    from lotwise.plans import lots as lots_module
+
+    monkeypatch.setattr(lots_module, "MODEL_CELLS", cells)
+    df, x, y = small
+    run = RunParams(lambda_=LAM, lot_ratio=0.3, max_iter=2, seed="s", sigma=0.4, clip=0.3)
+    got = fit(df, "hinge", "PSCD", run, fit_intercept=False, mode=mode)
+    scale = 0.4 * math.sqrt(2 * 0.3**2)
+    w, alpha = dual(task_of("hinge"), x, y, 18, 2, "s", mode, 0.3, scale)
+    np.testing.assert_allclose(got.shared[0], w, atol=1e-9)
+    np.testing.assert_allclose(alphas(got, 60), alpha, atol=1e-9)
+
+
+def test_wide_grids_are_trained_in_chunks(spark, small, monkeypatch):
+    from lotwise.plans import fit as fit_module
+
+    df, _, _ = small
+    runs = param_grid(spark, **{"lambda": [0.05, 0.1, 0.5], "lot_ratio": [0.5], "max_iter": [1]})
+    whole = fit_grid(df, runs, "ridge", "SGD", fit_intercept=False)
+    monkeypatch.setattr(fit_module, "MODEL_CELLS", 10)
+    chunked = fit_grid(df, runs, "ridge", "SGD", fit_intercept=False)
+    for run_id, coef in whole.coef.items():
+        np.testing.assert_allclose(chunked.coef[run_id], coef, atol=1e-12)
+
+
+def test_sequential_training_takes_more_parts_when_one_is_too_large(small, monkeypatch):
+    from lotwise.plans import cocoa as cocoa_module
+
+    monkeypatch.setattr(cocoa_module, "PART_CELLS", 100)
+    df, x, y = small
+    run = RunParams(lambda_=LAM, max_iter=1, seed="s")
+    got = fit(df, "ridge", "SSCD", run, fit_intercept=False)
+    w, _ = cocoa(task_of("ridge"), x, y, 3, 1, 1, 1.0, "s")
+    np.testing.assert_allclose(got.shared[0], w, atol=1e-9)
+
+
+def test_many_lots_per_epoch(small):
+    """More lots than can be told apart by their last keys alone."""
+    from lotwise.operators import split
+
+    df, x, y = small
+    many = df.unionByName(df.withColumn("row_id", F.col("row_id") + 60))
+    assert 120 // 1 > split.FEW_LOTS
+    sizes = split.slice_lots(many, 1, 120, "s", 0).groupBy("lot").count().collect()
+    assert sorted(r["lot"] for r in sizes) == list(range(120)) and {r["count"] for r in sizes} == {1}
