@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from lotwise.llm import query_suffix_groups  # noqa: F401
+from lotwise.llm import query_near_duplicates, query_sparse_suffixes, query_suffix_groups  # noqa: F401
 from lotwise.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
