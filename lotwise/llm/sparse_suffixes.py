@@ -4,18 +4,18 @@ Suffixes are kept where one of ``passage - GRAM + 1`` consecutive runs of GRAM w
 smallest by name: two copies of a passage keep the same positions, about one word in eighteen.
 Only suffixes whose first GRAM words start another kept suffix can have a neighbour, so only these
 get their context: ``passage`` words to the right and to the left, as 32-bit names.  They are
-sorted by the words to the right (then left); neighbours are compared and the match is extended
-both ways.  A match of ``passage`` words or more is reported with both its places; longer passages
-are the union of the matches along them.
+sorted by the words to the right (then left); a suffix is compared with the NEAR before it and
+every match is extended both ways.  A match of ``passage`` words or more is reported with both its
+places; longer passages are the union of the matches along them.  The nearest suffix has the
+longest match to the right, but not always to the left; looking further back finds those too.
 
 The order is range-partitioned with document and position as last keys, so a passage with any
-number of copies spreads over partitions; neighbours on both sides of a partition's edge are
+number of copies spreads over partitions; suffixes on both sides of a partition's edge are
 compared in a second step.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lotwise.llm.tables import commit
@@ -23,6 +23,7 @@ from lotwise.llm.words import Words, pieces, sliding
 
 PASSAGE = 50
 GRAM = 16
+NEAR = 8
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 _SAMPLES = "uid bigint, gram bigint, pos int"
@@ -52,11 +53,9 @@ def repeated_passages(docs, passage=PASSAGE, key="doc_id", text="text"):
     ranked = suffixes.repartitionByRange(partitions, *_ORDER).sortWithinPartitions(*_ORDER)
     matches = commit(ranked.mapInArrow(lambda b: _neighbours(b, passage), _MATCH), "matches")
 
-    edges = matches.filter("right is not null")
-    before = {c: F.lag(c).over(Window.orderBy(*_ORDER)) for c in _ORDER}
-    pairs = edges.select(*_ORDER, *[c.alias(f"{n}_before") for n, c in before.items()]).filter("uid_before is not null")
-    crossing = pairs.mapInArrow(lambda b: _crossing(b, passage), _MATCH)
-    found = matches.filter("right is null").unionByName(crossing)
+    edges = matches.filter("right is not null").select(*_ORDER).repartition(1).sortWithinPartitions(*_ORDER)
+    crossing = edges.mapInArrow(lambda b: _neighbours(b, passage, edges=True), _MATCH)
+    found = matches.unionByName(crossing).filter("right is null")
     stretches = found.groupBy("uid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     stretches = stretches.select("uid", F.explode(_union("spans")).alias("s"))
     return rows.select("doc_id", "uid").join(stretches, "uid").select(
@@ -122,85 +121,74 @@ def _suffixes(batches, passage):
             )
 
 
-def _common(before, after, passage):
-    """Words that two lists of contexts have in common from their beginning on."""
-    sizes = [np.array([len(x) // 4 for x in side]) for side in (before, after)]
-    a, b = (
-        np.frombuffer(b"".join(x.ljust(4 * passage, b"\0") for x in side), dtype=np.uint32).reshape(-1, passage)
-        for side in (before, after)
-    )
-    differs = np.ones((len(a), passage + 1), dtype=bool)
-    differs[:, :-1] = a != b
-    return np.minimum(differs.argmax(axis=1), np.minimum(*sizes))
-
-
-def _matched(before, after, passage):
-    """Matches (uid, start, end) of neighbours, given as column lists in _ORDER."""
-    ahead = _common(before[0], after[0], passage)
-    behind = _common(before[1], after[1], passage)
-    long = ahead + behind >= passage
-    uid, start, end = [], [], []
-    for side in (before, after):
-        pos = np.array(side[3], dtype=np.int64)[long]
-        uid.append(np.array(side[2], dtype=np.int64)[long])
-        start.append(pos - behind[long])
-        end.append(pos + ahead[long])
-    return np.concatenate(uid), np.concatenate(start), np.concatenate(end)
-
-
-def _rows(uid, start, end):
-    none = pa.nulls(len(uid), pa.binary())
+def _matrix(contexts, passage):
+    """Contexts as rows of ``passage`` words, and how many of these are theirs."""
+    data = b"".join(x.ljust(4 * passage, b"\0") for x in contexts)
+    return np.frombuffer(data, dtype=np.uint32).reshape(-1, passage), np.array([len(x) // 4 for x in contexts])
+
+
+def _common(words, sizes, back):
+    """Words that each row shares with the one ``back`` rows before, from the beginning on."""
+    differs = np.ones((len(words) - back, words.shape[1] + 1), dtype=bool)
+    differs[:, :-1] = words[back:] != words[:-back]
+    return np.minimum(differs.argmax(axis=1), np.minimum(sizes[back:], sizes[:-back]))
+
+
+def _neighbours(batches, passage, edges=False):
+    """Matches inside a sorted partition, and its first and last suffixes for the step across edges.
+
+    Equal rows are repeated rows of the input, but among ``edges`` they may be one row twice.
+    """
+    held, first = None, True
+    for batch in batches:
+        batch = batch.select(list(_ORDER))
+        if not len(batch):
+            continue
+        if first:
+            yield _edges(batch.slice(0, NEAR))
+            first = False
+        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+        yield _matches(rows, 0 if held is None else len(held), passage, edges)
+        held = rows.slice(max(0, len(rows) - NEAR)).combine_chunks().to_batches()[0]
+    if held is not None:
+        yield _edges(held)
+
+
+def _matches(rows, old, passage, edges):
+    """Matches of every row from ``old`` on with the NEAR rows before it."""
+    column = {c: rows.column(c) for c in _ORDER}
+    ahead, behind = (_matrix(column[c].to_pylist(), passage) for c in ("right", "left"))
+    uid, pos = column["uid"].to_numpy(), column["pos"].to_numpy()
+    found = []
+    for back in range(1, min(NEAR, len(rows) - 1) + 1):
+        right, left = _common(*ahead, back), _common(*behind, back)
+        long = (right + left >= passage) & (np.arange(back, len(rows)) >= old)
+        if edges:
+            long &= (uid[back:] != uid[:-back]) | (pos[back:] != pos[:-back])
+        at = np.flatnonzero(long)
+        for place in (at, at + back):
+            found.append((uid[place], pos[place] - left[at], pos[place] + right[at]))
+    uid, start, end = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 3
+    spans = np.unique(np.stack((uid, start.astype(np.int64), end.astype(np.int64)), axis=1), axis=0)
+    none = pa.nulls(len(spans), pa.binary())
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(uid), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)),
-            none, none, pa.nulls(len(uid), pa.int32()),
+            pa.array(spans[:, 0]), pa.array(spans[:, 1].astype(np.int32)), pa.array(spans[:, 2].astype(np.int32)),
+            none, none, pa.nulls(len(spans), pa.int32()),
         ],
         ["uid", "start", "end", "right", "left", "pos"],
     )
 
 
-def _edge(right, left, uid, pos):
-    none = pa.nulls(1, pa.int32())
+def _edges(batch):
+    none = pa.nulls(len(batch), pa.int32())
+    column = {c: batch.column(batch.schema.get_field_index(c)) for c in _ORDER}
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array([uid], pa.int64()), none, none,
-            pa.array([right], pa.binary()), pa.array([left], pa.binary()), pa.array([pos], pa.int32()),
-        ],
+        [column["uid"], none, none, column["right"], column["left"], column["pos"]],
         ["uid", "start", "end", "right", "left", "pos"],
     )
 
 
-def _neighbours(batches, passage):
-    """Matches inside a sorted partition, and its first and last suffix for the step across edges."""
-    last = None
-    for batch in batches:
-        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in _ORDER]
-        if not columns[0]:
-            continue
-        if last is None:
-            yield _edge(*[c[0] for c in columns])
-            last = [c[0] for c in columns]
-            columns = [c[1:] for c in columns]
-        if columns[0]:
-            before = [[x, *c[:-1]] for x, c in zip(last, columns)]
-            last = [c[-1] for c in columns]
-            yield _rows(*_matched(before, columns, passage))
-    if last is not None:
-        yield _edge(*last)
-
-
-def _crossing(batches, passage):
-    for batch in batches:
-        if not len(batch):
-            continue
-        after, before = (
-            [batch.column(batch.schema.get_field_index(c + end)).to_pylist() for c in _ORDER] for end in ("", "_before")
-        )
-        distinct = [i for i in range(len(batch)) if (after[2][i], after[3][i]) != (before[2][i], before[3][i])]
-        if distinct:
-            yield _rows(*_matched(*([[c[i] for i in distinct] for c in side] for side in (before, after)), passage))
-
-
 def _union(spans):
     """Spans as their union in order; the last span of the fold grows or a new one begins."""
     start = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"))
