@@ -1,6 +1,12 @@
 """All registered queries of this subpackage."""
 
-from lotwise.llm import query_near_duplicates, query_sparse_suffixes, query_suffix_groups  # noqa: F401
+from lotwise.llm import (  # noqa: F401
+    query_decontamination,
+    query_language_crf,
+    query_near_duplicates,
+    query_sparse_suffixes,
+    query_suffix_groups,
+)
 from lotwise.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -14,8 +14,11 @@ CHUNK_BYTES = 1 << 20
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD6E8FEB86659FD93
 
-_IS_WORD = np.ones(256, dtype=bool)
-_IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
+NOT_SPACE = np.ones(256, dtype=bool)
+NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
+#: ASCII letters and whatever is not ASCII
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
 class _Powers:
@@ -58,11 +61,11 @@ class Words:
     name; ``first`` index of each document's first word, with the total count appended.
     """
 
-    def __init__(self, data, offsets):
+    def __init__(self, data, offsets, of_word=NOT_SPACE):
         self.data = data
         starts, ends, names = [], [], []
-        for low, high in _chunks(data, offsets):
-            s, e, h = _scan(data, low, high, offsets)
+        for low, high in _chunks(data, offsets, of_word):
+            s, e, h = _scan(data, low, high, offsets, of_word)
             starts.append(s)
             ends.append(e)
             names.append(h)
@@ -73,8 +76,8 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
 
     @classmethod
-    def of(cls, texts):
-        """Words of an Arrow string array; nulls have none."""
+    def of(cls, texts, of_word=NOT_SPACE):
+        """Words of an Arrow string array, made of the bytes flagged in ``of_word``; nulls have none."""
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         if not pa.types.is_large_string(texts.type):
@@ -84,9 +87,9 @@ class Words:
         _, offsets, data = texts.buffers()
         offsets = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
         if data is None or not len(texts) or offsets[-1] == offsets[0]:
-            return cls(np.zeros(0, dtype=np.uint8), np.zeros(len(texts) + 1, dtype=np.int64))
+            return cls(np.zeros(0, dtype=np.uint8), np.zeros(len(texts) + 1, dtype=np.int64), of_word)
         view = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]]
-        return cls(view, offsets - offsets[0])
+        return cls(view, offsets - offsets[0], of_word)
 
     def counts(self):
         return np.diff(self.first)
@@ -131,7 +134,7 @@ class Words:
         return b" ".join([data[s:e] for s, e in zip(self.start[chosen].tolist(), self.end[chosen].tolist())])
 
 
-def _chunks(data, offsets):
+def _chunks(data, offsets, of_word):
     """Ranges of about CHUNK_BYTES that begin and end outside words."""
     low, n = 0, len(data)
     while low < n:
@@ -141,7 +144,7 @@ def _chunks(data, offsets):
         else:
             step = 4096
             while high < n:
-                gap = np.flatnonzero(~_IS_WORD[data[high : high + step]])
+                gap = np.flatnonzero(~of_word[data[high : high + step]])
                 nearest = int(gap[0]) + high if len(gap) else min(high + step, n)
                 after = np.searchsorted(offsets, high)
                 if after < len(offsets) and offsets[after] <= nearest:
@@ -154,9 +157,9 @@ def _chunks(data, offsets):
         low = high
 
 
-def _scan(data, low, high, offsets):
+def _scan(data, low, high, offsets, of_word):
     piece = data[low:high]
-    word = _IS_WORD[piece]
+    word = of_word[piece]
     cuts = offsets[np.searchsorted(offsets, low, "left") : np.searchsorted(offsets, high, "left")] - low
     before = np.empty_like(word)
     before[0] = False
