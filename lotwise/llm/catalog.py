@@ -6,6 +6,8 @@ from lotwise.llm import (  # noqa: F401
     query_near_duplicates,
     query_sparse_suffixes,
     query_suffix_groups,
+    query_url_rules,
+    query_vector_search,
 )
 from lotwise.llm.registry import ORACLES, QUERIES
 
