@@ -4,6 +4,8 @@ from lotwise.llm import (  # noqa: F401
     query_decontamination,
     query_language_crf,
     query_near_duplicates,
+    query_packing,
+    query_revisits,
     query_sparse_suffixes,
     query_suffix_groups,
     query_url_rules,
