@@ -6,6 +6,7 @@ from lotwise.llm import (  # noqa: F401
     query_near_duplicates,
     query_packing,
     query_revisits,
+    query_secrets,
     query_sparse_suffixes,
     query_suffix_groups,
     query_url_rules,
