@@ -9,12 +9,16 @@ kept as a link has its exact weighted Jaccard similarity computed.  At 0.8 a pai
 bands with a probability of 3e-5.
 
 Copies are one node, named by a digest of the text.  In a bucket every text is compared with one
-pivot, another one in each band; texts of one component need no more comparisons.  Buckets that
-still hold several components compare texts across them, unless their weights alone rule it out.
+pivot, the text whose buckets are largest; texts of one component need no more comparisons.  Where
+buckets still hold several components, texts are compared across them if they share a shingle of
+their prefixes (the rarest shingles, without which the rest weighs too little for a link) and if
+what they do not hold alone could make a link.  Both bounds are exact; a text that differs from
+all others by more than a link allows meets none of them.
 """
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lotwise.llm.components import components
@@ -30,13 +34,14 @@ CENSUS_SHINGLES = 4 << 20
 LOOKUP = 1 << 20
 POOL = 1 << 15
 GATHER = 16_384
+LISTED = 64
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
-_LAYOUT = (("sa", np.uint64), ("wa", np.float32), ("sb", np.uint64), ("wb", np.float32))
 
 _COUNTS = "shingle bigint, df bigint"
 _SKETCH = "doc_id bigint, digest binary, weight double, bands array<bigint>"
-_WEIGHTS = "node binary, shingles binary, weights binary"
+_WEIGHTS = "node binary, shingles binary, uneven binary"
+_ENTRY = "node binary, shingle bigint, weight double"
 _PAIR = "a binary, b binary, similarity double"
 
 
@@ -59,16 +64,18 @@ def near_duplicates(docs, similarity=SIMILARITY, key="doc_id", text="text"):
     )
     buckets = commit(_buckets(texts), "buckets")
 
-    pivots = buckets.groupBy("band", "value").agg(
-        F.min(F.struct(F.xxhash64("node", "band").alias("turn"), "node")).alias("pivot"), F.count("*").alias("n")
-    )
-    shared = buckets.join(pivots.filter("n > 1"), ["band", "value"])
+    sizes = buckets.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = buckets.join(sizes, ["band", "value"])
+    reach = shared.groupBy("node").agg(F.sum("n").alias("reach"))
+    shared = commit(shared.join(reach, "node"), "shared")
+    pivots = shared.groupBy("band", "value").agg(F.max(F.struct("reach", "node")).alias("pivot"))
+    shared = shared.join(pivots, ["band", "value"])
     pairs = shared.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
     pairs = commit(pairs.filter("a <> b").distinct(), "pairs")
     links = commit(_verify(pairs, named, texts, idf).filter(F.col("similarity") >= similarity), "links")
     found = commit(components(links), "components")
 
-    rest = commit(_across(shared, found, pairs, similarity), "across")
+    rest = commit(_across(shared, found, pairs, named, texts, idf, similarity), "across")
     if not rest.isEmpty():
         more = _verify(rest, named, texts, idf).filter(F.col("similarity") >= similarity)
         links = commit(links.unionByName(more), "links")
@@ -292,41 +299,62 @@ def _buckets(texts):
 
 def _verify(pairs, named, texts, idf):
     """Exact weighted Jaccard similarity of pairs of texts."""
-    nodes = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    wanted = texts.select("digest", "sample").join(nodes, "digest")
+    weighed = _weighed(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), named, texts, idf)
+    left = weighed.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("uneven").alias("ua"))
+    right = weighed.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("uneven").alias("ub"))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(lambda b: _compare(b, np.float32(idf.top)), _PAIR)
+
+
+def _weighed(nodes, named, texts, idf):
+    """(node, shingles, weights) of texts, sorted by shingle; the text is read at one of its copies."""
+    wanted = texts.join(nodes, F.col("digest") == F.col("node"))
     wanted = wanted.select(F.col("digest").alias("d"), F.col("sample").alias("s"))
     source = named.join(wanted, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("s")), "left_semi")
 
+    top = np.float32(idf.top)
+
     def weigh(batches):
         for batch in batches:
             for piece in pieces(batch):
                 owner, names, count = _counted(Words.of(piece.column(piece.schema.get_field_index("text"))))
                 weights = (idf.weights(names) * count).astype(np.float32)
                 cuts = np.searchsorted(owner, np.arange(len(piece) + 1)).tolist()
-                ranges = list(zip(cuts, cuts[1:]))
+                packed = [_pack(names[a:b], weights[a:b], top) for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column(piece.schema.get_field_index("digest")),
-                        pa.array([names[a:b].tobytes() for a, b in ranges], pa.binary()),
-                        pa.array([weights[a:b].tobytes() for a, b in ranges], pa.binary()),
+                        pa.array([p[0] for p in packed], pa.binary()),
+                        pa.array([p[1] for p in packed], pa.binary()),
                     ],
-                    ["node", "shingles", "weights"],
+                    ["node", "shingles", "uneven"],
                 )
 
     weighed = source.select("digest", "text").mapInArrow(weigh, _WEIGHTS)
-    weighed = weighed.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("weights").alias("weights"))
-    left = weighed.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
-    right = weighed.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(_compare, _PAIR)
+    return weighed.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("uneven").alias("uneven"))
+
+
+def _pack(names, weights, top):
+    """Sorted shingles by the upper 48 bits of their names, and the weights that are not ``top``."""
+    high = (names >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+    at = np.flatnonzero(weights != top)
+    return high.tobytes(), at.astype(np.uint32).tobytes() + weights[at].tobytes()
+
+
+def _unpack(shingles, uneven, top):
+    high = np.frombuffer(shingles, np.uint8).reshape(-1, 6)
+    names = np.zeros((len(high), 8), dtype=np.uint8)
+    names[:, :6] = high
+    weights = np.full(len(high), top)
+    at, own = uneven[: len(uneven) // 2], uneven[len(uneven) // 2 :]
+    weights[np.frombuffer(at, np.uint32)] = np.frombuffer(own, np.float32)
+    return names.view(np.uint64).ravel(), weights
 
 
-def _compare(batches):
+def _compare(batches, top):
     for batch in batches:
         column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-        similar = [
-            _weighted_jaccard(*(np.frombuffer(column[c][i].as_buffer(), t) for c, t in _LAYOUT))
-            for i in range(len(batch))
-        ]
+        sides = [zip(column[s].to_pylist(), column[u].to_pylist()) for s, u in (("sa", "ua"), ("sb", "ub"))]
+        similar = [_weighted_jaccard(*_unpack(*a, top), *_unpack(*b, top)) for a, b in zip(*sides)]
         yield pa.RecordBatch.from_arrays(
             [column["a"], column["b"], pa.array(similar, pa.float64())], ["a", "b", "similarity"]
         )
@@ -340,20 +368,57 @@ def _weighted_jaccard(sa, wa, sb, wb):
     return shared / (wa.sum(dtype=np.float64) + wb.sum(dtype=np.float64) - shared)
 
 
-def _across(shared, found, tried, similarity):
-    """Pairs of one bucket in different components that were not compared and whose weights allow a link."""
+def _across(shared, found, tried, named, texts, idf, similarity):
+    """Untried pairs of texts in different components of one bucket that share a prefix shingle.
+
+    A pair is formed at its first common prefix shingle where both lists are short enough to travel
+    along, at each of them otherwise.
+    """
     members = shared.select("band", "value", "node", "weight").join(found, "node", "left")
     members = members.withColumn("component", F.coalesce("component", "node"))
     mixed = members.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     members = members.join(mixed.filter("low <> high").select("band", "value"), ["band", "value"])
-    a, b = members.alias("a"), members.alias("b")
+    members = commit(members.select("node", "weight", "component").distinct(), "members")
+
+    top = np.float32(idf.top)
+    weighed = _weighed(members.select("node"), named, texts, idf)
+    entries = commit(weighed.mapInArrow(lambda b: _entries(b, top), _ENTRY), "entries")
+    df = entries.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    entries = entries.join(df, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    common_first = Window.partitionBy("node").orderBy(F.desc("df"), "shingle")
+    entries = entries.withColumn("reached", F.sum("weight").over(common_first.rowsBetween(Window.unboundedPreceding, 0)))
+    not_alone = F.sum(F.when(F.col("df") > 1, F.col("weight")).otherwise(0.0)).over(Window.partitionBy("node"))
+    entries = entries.withColumn("common", not_alone)
+    entries = entries.select("node", "shingle", "df", "reached", "common").join(members, "node")
+    slack = F.lit(similarity * (1 - 1e-6))
+    prefix = entries.filter((F.col("df") > 1) & (F.col("reached") >= slack * F.col("weight")))
+    listed = F.collect_list("shingle").over(Window.partitionBy("node"))
+    prefix = prefix.withColumn("listed", F.when(F.size(listed) <= LISTED, listed))
+    prefix = commit(prefix.select("node", "shingle", "component", "weight", "common", "listed"), "prefixes")
+    a, b = prefix.alias("a"), prefix.alias("b")
+    overlap = F.least("a.common", "b.common")
     near = (
-        (F.col("a.band") == F.col("b.band"))
-        & (F.col("a.value") == F.col("b.value"))
+        (F.col("a.shingle") == F.col("b.shingle"))
         & (F.col("a.node") < F.col("b.node"))
         & (F.col("a.component") != F.col("b.component"))
-        & (F.col("a.weight") >= F.lit(similarity) * F.col("b.weight"))
-        & (F.col("b.weight") >= F.lit(similarity) * F.col("a.weight"))
+        & (overlap >= slack * (F.col("a.weight") + F.col("b.weight") - overlap))
+        & F.coalesce(F.array_min(F.array_intersect("a.listed", "b.listed")) == F.col("a.shingle"), F.lit(True))
     )
     pairs = a.join(b, near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     return pairs.join(tried, ["a", "b"], "left_anti")
+
+
+def _entries(batches, top):
+    for batch in batches:
+        unpacked = [_unpack(s, u, top) for s, u in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        if not unpacked:
+            continue
+        of = np.repeat(np.arange(len(unpacked)), [len(names) for names, _ in unpacked])
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0).take(pa.array(of)),
+                pa.array(np.concatenate([names for names, _ in unpacked]).view(np.int64)),
+                pa.array(np.concatenate([weights for _, weights in unpacked]).astype(np.float64)),
+            ],
+            ["node", "shingle", "weight"],
+        )
