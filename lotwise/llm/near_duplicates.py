@@ -29,7 +29,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 SAMPLES = BANDS * ROWS
-RARE = 0.01
+RARE = 0.1
 CENSUS_SHINGLES = 4 << 20
 LOOKUP = 1 << 20
 POOL = 1 << 15
@@ -53,10 +53,37 @@ def near_duplicates(docs, similarity=SIMILARITY, key="doc_id", text="text"):
     each class.  Null texts and texts without words are classes of one row: there is nothing to
     compare.  Repeated rows are copies, also under one key.  Other columns are ignored.
     """
+    found = _classified(docs, similarity, key, text)
+    return found.select(F.col("doc_id").alias(key), "class_id", "n_links", "class_size", "is_kept")
+
+
+def kept_documents(docs, similarity=SIMILARITY, key="doc_id", text="text"):
+    """``docs`` with one row of each class of near duplicates, all columns as they are.
+
+    Rows without words all stay.
+    """
+    found = _classified(docs, similarity, key, text).filter("is_kept")
+    kept = found.groupBy(F.col("doc_id").alias("_key"), F.col("digest").alias("_of")).agg(
+        (F.max("worded") & (F.max("copies") > 1)).alias("_repeated")
+    )
+    same = F.col(key).cast("bigint").eqNullSafe(F.col("_key")) & _digest(F.col(text)).eqNullSafe(F.col("_of"))
+    single = docs.join(kept.filter("not _repeated"), same, "left_semi")
+    repeated = kept.filter("_repeated")
+    if repeated.isEmpty():
+        return single
+    once = docs.join(repeated, same).groupBy("_key", "_of").agg(F.first(F.struct(*docs.columns)).alias("_row"))
+    return single.unionByName(once.select("_row.*"))
+
+
+def _digest(text):
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def _classified(docs, similarity, key, text):
+    """(doc_id, digest, worded, class_id, n_links, class_size, is_kept, copies) of every row."""
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     idf = _Idf(rows)
-    digest = F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
-    named = rows.withColumn("digest", digest)
+    named = rows.withColumn("digest", _digest(F.col("text")))
     sketches = commit(named.mapInArrow(lambda b: _sketch(b, idf), _SKETCH), "sketches")
     worded = sketches.filter("bands is not null")
     texts = worded.groupBy("digest").agg(
@@ -84,22 +111,27 @@ def near_duplicates(docs, similarity=SIMILARITY, key="doc_id", text="text"):
     degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
     of_text = found.join(degree, found.node == degree.a).select("node", "component", "n_links")
     joined = sketches.join(of_text, sketches.digest == of_text.node, "left").select(
-        "doc_id",
+        "doc_id", "digest", F.col("bands").isNotNull().alias("worded"),
         F.coalesce("component", F.when(F.col("bands").isNotNull(), F.col("digest"))).alias("class"),
         F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    joined = joined.withColumn("row", F.monotonically_increasing_id())
     joined = commit(joined, "classed")
-    classes = joined.filter("class is not null").groupBy("class").agg(
+    classes = joined.filter("worded").groupBy("class").agg(
         F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"),
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_key"), "doc_id", "row")).alias("kept"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_key"), "doc_id", "digest", "row")).alias("kept"),
     )
-    return joined.join(classes, "class", "left").select(
-        F.col("doc_id").alias(key),
-        F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+    copies = joined.filter("worded").groupBy("doc_id", "digest").agg(F.count("*").alias("copies"))
+    kept = classes.join(
+        copies, F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.digest") == F.col("digest"))
+    ).select("class", "class_id", "class_size", F.col("kept.row").alias("kept_row"), "copies")
+    return joined.join(kept, "class", "left").select(
+        "doc_id", "digest", "worded",
+        F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         "n_links",
         F.coalesce("class_size", F.lit(1).cast("bigint")).alias("class_size"),
-        (F.col("class").isNull() | (F.col("kept.row") == F.col("row"))).alias("is_kept"),
+        (~F.col("worded") | (F.col("kept_row") == F.col("row"))).alias("is_kept"),
+        F.coalesce("copies", F.lit(1).cast("bigint")).alias("copies"),
     )
 
 
@@ -371,8 +403,8 @@ def _weighted_jaccard(sa, wa, sb, wb):
 def _across(shared, found, tried, named, texts, idf, similarity):
     """Untried pairs of texts in different components of one bucket that share a prefix shingle.
 
-    A pair is formed at its first common prefix shingle where both lists are short enough to travel
-    along, at each of them otherwise.
+    A pair is formed at its rarest common shingle, and only if what weighs no rarer could make a
+    link, where both lists are short enough to travel along; at each common one otherwise.
     """
     members = shared.select("band", "value", "node", "weight").join(found, "node", "left")
     members = members.withColumn("component", F.coalesce("component", "node"))
@@ -392,17 +424,19 @@ def _across(shared, found, tried, named, texts, idf, similarity):
     entries = entries.select("node", "shingle", "df", "reached", "common").join(members, "node")
     slack = F.lit(similarity * (1 - 1e-6))
     prefix = entries.filter((F.col("df") > 1) & (F.col("reached") >= slack * F.col("weight")))
-    listed = F.collect_list("shingle").over(Window.partitionBy("node"))
+    whole = common_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    listed = F.collect_list("shingle").over(whole)
     prefix = prefix.withColumn("listed", F.when(F.size(listed) <= LISTED, listed))
-    prefix = commit(prefix.select("node", "shingle", "component", "weight", "common", "listed"), "prefixes")
+    prefix = commit(prefix.select("node", "shingle", "component", "weight", "common", "reached", "listed"), "prefixes")
     a, b = prefix.alias("a"), prefix.alias("b")
-    overlap = F.least("a.common", "b.common")
+    rarest = F.element_at(F.array_intersect("a.listed", "b.listed"), -1)
+    overlap = F.least("a.common", "b.common", F.when(rarest.isNotNull(), F.least("a.reached", "b.reached")))
     near = (
         (F.col("a.shingle") == F.col("b.shingle"))
         & (F.col("a.node") < F.col("b.node"))
         & (F.col("a.component") != F.col("b.component"))
         & (overlap >= slack * (F.col("a.weight") + F.col("b.weight") - overlap))
-        & F.coalesce(F.array_min(F.array_intersect("a.listed", "b.listed")) == F.col("a.shingle"), F.lit(True))
+        & F.coalesce(rarest == F.col("a.shingle"), F.lit(True))
     )
     pairs = a.join(b, near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     return pairs.join(tried, ["a", "b"], "left_anti")
