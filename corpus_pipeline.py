@@ -15,11 +15,11 @@ from lotwise.llm.secrets import redact
 from lotwise.llm.tables import commit
 
 #: a text in which no language holds this share of the words is rejected
-LANGUAGE_SHARE = 0.5
+LANGUAGE_SHARE = 0.3
 
 
 def language_id(spark, docs, sf_dir):
-    """Rejects texts without a letter and those in which no language has half of the words."""
+    """Rejects texts without a letter and those in which no language has LANGUAGE_SHARE of the words."""
     model = fit(docs.filter(~held_out(F.col("doc_id"))).select("text", "lang"))
     labelled = label(docs, model, with_spans=False)
     kept = labelled.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LANGUAGE_SHARE))
