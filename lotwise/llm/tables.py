@@ -8,17 +8,19 @@ import tempfile
 import uuid
 
 CONF = "spark.checkpoint.dir"
+_own = {}
 
 
 def shared_folder(spark):
     folder = spark.conf.get(CONF, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
         raise ValueError(f"set {CONF} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="llm-tables-")
-    spark.conf.set(CONF, folder)
-    return folder
+    if context.applicationId not in _own:
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="llm-tables-")
+    return _own[context.applicationId]
 
 
 def commit(df, name):
