@@ -30,11 +30,12 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 SAMPLES = BANDS * ROWS
 RARE = 0.1
-CENSUS_SHINGLES = 4 << 20
+CENSUS_SHINGLES = 1 << 20
 LOOKUP = 1 << 20
-POOL = 1 << 15
+POOL = 1 << 14
 GATHER = 16_384
 LISTED = 64
+PAIRS = 512
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -382,8 +383,14 @@ def _unpack(shingles, uneven, top):
     return names.view(np.uint64).ravel(), weights
 
 
-def _compare(batches, top):
+def _slices(batches, rows=PAIRS):
     for batch in batches:
+        for low in range(0, len(batch), rows):
+            yield batch.slice(low, rows)
+
+
+def _compare(batches, top):
+    for batch in _slices(batches):
         column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
         sides = [zip(column[s].to_pylist(), column[u].to_pylist()) for s, u in (("sa", "ua"), ("sb", "ub"))]
         similar = [_weighted_jaccard(*_unpack(*a, top), *_unpack(*b, top)) for a, b in zip(*sides)]
@@ -443,10 +450,8 @@ def _across(shared, found, tried, named, texts, idf, similarity):
 
 
 def _entries(batches, top):
-    for batch in batches:
+    for batch in _slices(batches):
         unpacked = [_unpack(s, u, top) for s, u in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        if not unpacked:
-            continue
         of = np.repeat(np.arange(len(unpacked)), [len(names) for names, _ in unpacked])
         yield pa.RecordBatch.from_arrays(
             [

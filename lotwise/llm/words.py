@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 CHUNK_BYTES = 1 << 20
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD6E8FEB86659FD93
