@@ -4,8 +4,10 @@ A draw depends only on its key, so a task that is retried, or a table that is re
 sees the same numbers.  Use a secret seed for a private run.
 """
 
+import hashlib
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,3 +35,16 @@ def keyed_normal(*parts):
     """Standard normal by the Box-Muller transform of two keyed uniforms."""
     radius = F.sqrt(F.lit(-2.0) * F.log(keyed_uniform(*parts, "r")))
     return radius * F.cos(F.lit(2.0 * math.pi) * keyed_uniform(*parts, "t"))
+
+
+def _uniform(key):
+    digits = hashlib.md5(key.encode()).hexdigest()[:HEX_DIGITS]
+    return (int(digits, 16) + 0.5) / SPAN
+
+
+def normal_vector(width, *parts):
+    """What ``keyed_normal(*parts, i)`` draws for i = 0 .. width - 1, inside a task."""
+    key = "|".join(map(str, parts))
+    radius = [math.sqrt(-2.0 * math.log(_uniform(f"{key}|{i}|r"))) for i in range(width)]
+    angle = [2.0 * math.pi * _uniform(f"{key}|{i}|t") for i in range(width)]
+    return np.array(radius) * np.cos(angle)

@@ -132,19 +132,25 @@ def assemble(df, numeric, indicators, keep=("row_id", "y")):
 
 
 def to_dense(df, width=None):
-    """Sparse pair to a dense vector of ``width`` entries."""
+    """Sparse pair to a dense vector of ``width`` entries; an index outside it is an error."""
     width = F.col("width") if width is None else F.lit(width)
     lookup = F.map_from_arrays("indices", "values")
     filled = F.transform(
         F.sequence(F.lit(0), width - 1),
         lambda i: F.coalesce(F.try_element_at(lookup, i), F.lit(0.0)),
     )
-    # A row with every entry present is already its own dense vector.
-    dense = F.when(F.size("indices") == width, F.col("values")).otherwise(filled)
+    dense = _inside(F.col("indices"), width, filled)
     rest = [c for c in df.columns if c not in ("indices", "values", "width")]
     return df.select(*rest, dense.alias("features"))
 
 
+def _inside(indices, width, vector):
+    """``vector``, or an error where an index is negative or not below ``width``."""
+    outside = (F.array_min(indices) < 0) | (F.array_max(indices) >= width)
+    message = F.concat(F.lit("feature index outside the width "), width.cast("string"))
+    return F.when(outside, F.raise_error(message)).otherwise(vector)
+
+
 def to_sparse(df):
     """Dense vector to the sparse pair; zeros are left out."""
     pairs = F.filter(
@@ -176,7 +182,7 @@ def to_long(df):
 
 
 def to_wide(long, width):
-    """Long rows back to one vector per row; a row has at most ``width`` entries."""
+    """Long rows back to one vector per row; an index outside ``width`` is an error."""
     pairs = F.array_sort(F.collect_list(F.struct("idx", "value")))
     gathered = long.groupBy("row_id").agg(pairs.alias("_p"))
     lookup = F.map_from_entries("_p")
@@ -184,8 +190,7 @@ def to_wide(long, width):
         F.sequence(F.lit(0), F.lit(width - 1)),
         lambda i: F.coalesce(F.try_element_at(lookup, i), F.lit(0.0)),
     )
-    full = F.transform("_p", lambda p: p["value"])
-    dense = F.when(F.size("_p") == width, full).otherwise(filled)
+    dense = _inside(F.transform("_p", lambda p: p["idx"]), F.lit(width), filled)
     return gathered.select("row_id", dense.alias("features"))
 
 

@@ -168,15 +168,15 @@ def assign_lots(df, lot_size, epochs, seed, mode="exact"):
 FEW_LOTS = 64
 
 
-def _lot_ends(keys, lot_size, whole):
-    """Last key of each of the first ``whole`` lots, in order.
+def _lot_ends(keys, lot_size, whole, shift):
+    """Last key of each of the first ``whole`` lots, in order; the first one lacks ``shift`` rows.
 
     Two narrow jobs over the keys: bucket sizes (at most 65,536 numbers) tell in which bucket and
     at which place a lot ends, then only those buckets are ranked.
     """
     sizes = keys.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).orderBy("_bucket").toArrow()
     buckets, ends = sizes["_bucket"].to_pylist(), np.cumsum(sizes["n"].to_numpy())
-    positions = lot_size * np.arange(1, whole + 1)
+    positions = lot_size * np.arange(1, whole + 1) - shift
     found = np.searchsorted(ends, positions)
     places = positions - np.concatenate(([0], ends))[found]
     wanted = [
@@ -188,27 +188,31 @@ def _lot_ends(keys, lot_size, whole):
     return [r["_key"] for r in ranked.select("_key").orderBy("_key").collect()]
 
 
-def slice_lots(df, lot_size, n, *seed_parts):
+def slice_lots(df, lot_size, n, *seed_parts, skip=0):
     """Lot of every row within one epoch, for a known row count; the tail beyond whole lots is -1.
 
+    The first ``skip`` rows of the order (fewer than a lot) come before lot 0 and are -1 too.
+
     Lots larger than a bucket are told apart by the keys at which they end, so the rows stay where
     they are; small lots are cut from full ranks.
     """
-    whole = n // lot_size
+    shift = (lot_size - skip) % lot_size
+    whole = (n + shift) // lot_size
+    own = lambda lot: F.when(lot < whole, lot - int(shift > 0)).otherwise(F.lit(-1))
     if whole <= FEW_LOTS:
         keyed = _keyed(df, *seed_parts)
         lot = F.lit(-1)
-        ends = _lot_ends(_keyed(df.select("row_id"), *seed_parts), lot_size, whole) if whole else []
-        for number, end in reversed(list(enumerate(ends))):
+        ends = _lot_ends(_keyed(df.select("row_id"), *seed_parts), lot_size, whole, shift) if whole else []
+        for number, end in reversed(list(enumerate(ends, -int(shift > 0)))):
             edge = F.struct(F.lit(end["h"]).alias("h"), F.lit(end["r"]).cast("bigint").alias("r"))
             lot = F.when(F.col("_key") <= edge, F.lit(number)).otherwise(lot)
         return keyed.withColumn("lot", lot).drop("_key", "_bucket")
     if n // 16**BUCKET_DIGITS > lot_size:
-        lot = F.floor((F.col("rn") - 1) / F.lit(lot_size)).cast("int")
-        ranked = random_rank(df, *seed_parts).withColumn("lot", lot).drop("rn")
-        return ranked.withColumn("lot", F.when(F.col("lot") < whole, F.col("lot")).otherwise(-1))
+        lot = F.floor((F.col("rn") - 1 + shift) / F.lit(lot_size)).cast("int")
+        return random_rank(df, *seed_parts).withColumn("lot", own(lot)).drop("rn")
     keys = _keyed(df.select("row_id"), *seed_parts)
-    starts = _bucket_starts(keys).withColumn("_first", F.expr(f"_start div {lot_size}"))
+    starts = _bucket_starts(keys).withColumn("_start", F.col("_start") + shift)
+    starts = starts.withColumn("_first", F.expr(f"_start div {lot_size}"))
     crossed = F.expr(f"(_start + _n) div {lot_size} > _first")
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key"))
     # A bucket holds about n / 65,536 rows and a lot at least that many: few cuts per bucket.
@@ -227,11 +231,27 @@ def slice_lots(df, lot_size, n, *seed_parts):
     return (
         _keyed(df, *seed_parts)
         .join(F.broadcast(table), "_bucket")
-        .withColumn("lot", F.when(lot < whole, lot).otherwise(F.lit(-1)))
+        .withColumn("lot", own(lot))
         .drop("_key", "_bucket", "_first", "_cuts")
     )
 
 
+def spanning_lot(df, lot, lot_size, n, seed):
+    """Column ``lots`` of the lot that holds an epoch's last rows and the next one's first.
+
+    A row that is in both ends is in the lot twice; a row of neither has an empty list.
+    """
+    epoch = lot * lot_size // n
+    tail = (epoch + 1) * n - lot * lot_size
+    ends = {"_tail": (epoch, n - tail), "_head": (epoch + 1, lot_size - tail)}
+    for name, (of, size) in ends.items():
+        first = _first_n_condition(df, f"{seed}|{of}", lambda _, size=size: F.lit(size).cast("bigint"))
+        inside = first if name == "_head" else ~first
+        inside = F.lit(name == "_tail") if size == 0 else inside
+        df = _keyed(df, f"{seed}|{of}").withColumn(name, F.when(inside, F.lit(lot).cast("int"))).drop("_key", "_bucket")
+    return df.withColumn("lots", F.array_compact(F.array("_tail", "_head"))).drop("_tail", "_head")
+
+
 def poisson_lots(df, lot_size, n, steps, seed):
     """Ordered list of the lots a row joins among ``steps`` (a range of lot numbers)."""
     rate = lot_size / n

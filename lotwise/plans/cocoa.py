@@ -2,34 +2,22 @@
 
 A part is one partition, read as a stream in its own random order; a task holds the current
 batch, one model and, with several local passes, its rows' dual values.  Parts are equal in size
-by construction, and their number is raised until a part fits.
-"""
+by construction; the caller chooses their number.
 
-import hashlib
+A part's view moves by sigma' times its steps and its noise, and the part's change is divided by
+sigma' in the end: steps and noise both enter the shared vector at their stated size.
+"""
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lotwise.functions.keyed import keyed_hex, keyed_normal
+from lotwise.functions.keyed import keyed_hex, keyed_normal, normal_vector
 from lotwise.operators.split import assign_partitions, lot_size_of
 from lotwise.operators.update import noise_scale
 from lotwise.plans import kernels
 from lotwise.sources.scratch import commit, scratch_path
 
-# Numbers (8 bytes each) of one part's features: 4 GB read as a stream by one task.
-PART_CELLS = 1 << 29
-
-
-def parts_needed(n, width):
-    """Fewest parts that keep a part within the bound."""
-    return max(1, -(-n * width // PART_CELLS))
-
-
-def _generator(*key):
-    digest = hashlib.sha256("|".join(map(str, key)).encode()).digest()
-    return np.random.default_rng(np.frombuffer(digest, dtype=np.uint32))
-
 
 def part_sizes(n, k):
     small, large = divmod(n, k)
@@ -93,8 +81,8 @@ def local_pass(
                         alpha += scales[part] * noise[i]
                     state["count"] += 1
                     if scales and state["count"] % size == 0:
-                        draw = _generator(*key, part, state["count"] // size)
-                        view += scales[part] * draw.standard_normal(width)
+                        draw = normal_vector(width, *key, part, state["count"] // size)
+                        view += sigma_p * scales[part] * draw
                 if passes > 1:
                     state["alpha"][int(ids[i])] = alpha
                 out_alpha[i] = start[i] + gamma * (alpha - start[i])
@@ -128,7 +116,7 @@ def _row_access(block):
     )
 
 
-def train_cocoa(table, task, params, k, rounds, gamma=1.0, sigma_p=None, on_round=None):
+def train_cocoa(table, task, params, k, rounds, gamma=1.0, sigma_p=None, on_round=None, solver="cocoa"):
     """Outer rounds over k parts; returns the shared vector and the frame ``(row_id, alpha)``."""
     spark = table.df.sparkSession
     sigma_p = float(k if sigma_p is None else sigma_p)
@@ -149,6 +137,7 @@ def train_cocoa(table, task, params, k, rounds, gamma=1.0, sigma_p=None, on_roun
     state = commit(state.select(*keep), scratch_path(spark, "parts"))
     paths = [scratch_path(spark, "round-a"), scratch_path(spark, "round-b")]
     model = np.zeros(table.width)
+    noise_key = params.noise_key(solver, task.name)
     if on_round:
         on_round(0, model)
     passes = int(params.max_iter)
@@ -158,14 +147,14 @@ def train_cocoa(table, task, params, k, rounds, gamma=1.0, sigma_p=None, on_roun
             "place", keyed_hex(params.seed, "order", number, F.col("turn"), F.col("row_id"))
         )
         if scales:
-            drawn = keyed_normal(params.seed, "a", number, F.col("turn"), F.col("row_id"))
+            drawn = keyed_normal(noise_key, "a", number, F.col("turn"), F.col("row_id"))
             ordered = ordered.withColumn("noise", drawn)
         ordered = ordered.repartitionById(k, F.col("part")).sortWithinPartitions(
             "part", "turn", "place"
         ).drop("place")
         work = local_pass(
             task, model, params.lambda_ * table.n, sigma_p, params.bounded_clip, gamma, lots,
-            passes, scales, (params.seed, "w", number), table.width, keep,
+            passes, scales, (noise_key, "w", number), table.width, keep,
         )
         written = commit(ordered.mapInArrow(work, schema), paths[number % 2], ["kind"])
         changes = written.where(F.col("kind") == 1)

@@ -9,20 +9,18 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotwise.functions.keyed import keyed_normal
 from lotwise.functions.tasks import task_of
 from lotwise.operators import privacy
 from lotwise.operators.encode import add_intercept
 from lotwise.operators.metrics import STOP_FACTOR
 from lotwise.operators.objective import max_row_norm, score
-from lotwise.operators.split import lot_size_of
 from lotwise.operators.update import (
     delta_theta_logistic,
     delta_theta_ridge,
     optimal_dampening_primal,
 )
 from lotwise.plans import kernels
-from lotwise.plans.cocoa import parts_needed, train_cocoa
+from lotwise.plans.cocoa import train_cocoa
 from lotwise.plans.lots import MODEL_CELLS, TrainingTable, train_group, training_table
 from lotwise.plans.params import PARAM_SCHEMA, RunParams, runs_of
 from lotwise.sources.scratch import commit, scratch_path
@@ -56,7 +54,11 @@ COEF_SCHEMA = T.StructType([
 
 @dataclass
 class FitResult:
-    """Trained models.  ``coef`` and ``shared`` map a run to a NumPy vector."""
+    """Trained models.  ``coef`` and ``shared`` map a run to a NumPy vector.
+
+    ``coef`` is for rows as they are given (with the constant 1 in front); ``shared`` is for the
+    rows that were trained on, which a private run with an intercept shortens by sqrt(2).
+    """
 
     spark: object
     runs: list
@@ -128,28 +130,30 @@ def evaluation_frame(df, task, models, run_ids):
     )
 
 
-def releases(run, n, solver, steps):
-    """(mech_id, sampling rate, number of releases) of one run; ``steps`` is what was planned."""
+def releases(run, n, solver, mode):
+    """(mech_id, sampling rate, number of releases) of one run, as it is trained.
+
+    Lots drawn independently are releases at rate lot / n.  Lots cut from a permutation hold a row
+    at most once an epoch: an epoch is one release at rate 1.  The same holds for each pass over
+    the parts of CoCoA, which are disjoint.
+    """
+    if solver in ("cocoa", "dual_sequential"):
+        rounds = run.out_iter if solver == "cocoa" else 1
+        return 0, 1.0, rounds * int(run.max_iter)
+    if mode == "exact":
+        return 0, 1.0, int(run.max_iter)
     lot = run.lot_size(n)
-    if solver == "sgd":
-        return [(0, lot / n, steps)]
-    if solver == "dual_parallel":
-        return [(0, min(1.0, lot / (n * run.k)), steps)]
-    if solver == "dual_sequential":
-        lots = n * run.max_iter // lot
-        return [(0, min(1.0, lot / (n * run.k)), run.k * run.out_iter * lots)]
-    return None
+    return 0, lot / n, n * int(run.max_iter) // lot
 
 
-def _with_noise(spark, runs, n, solver, steps_of):
+def _with_noise(spark, runs, n, solver, mode_of):
     """Noise scale of every run that names a target epsilon, and the ledger of all runs."""
     wanted = [r for r in runs if r.eps > 0]
     found = {}
     if wanted:
         rows = []
         for r in wanted:
-            # The search takes one mechanism; parts of CoCoA run on disjoint rows at one rate.
-            _, q, iters = (releases(r, n, solver, steps_of(r)) or _cocoa_rate(r, n))[0]
+            _, q, iters = releases(r, n, solver, mode_of(r))
             rows.append((int(r.run_id), float(r.eps), privacy.TRAINING_DELTA, float(q), int(iters)))
         targets = spark.createDataFrame(rows, PARAM_SCHEMA)
         calibrated = privacy.calibrate_sigma(targets, privacy.TRAINING_ORDERS)
@@ -160,33 +164,23 @@ def _with_noise(spark, runs, n, solver, steps_of):
     return [replace(r, sigma=found.get(r.run_id, r.sigma)) for r in runs]
 
 
-def _cocoa_rate(run, n):
-    """CoCoA as one mechanism: lots of the largest part, at their share of the whole table."""
-    size = -(-n // run.k)
-    lot = min(lot_size_of(run.lot_ratio, size, run.max_iter), size)
-    lots = size * int(run.max_iter) // lot
-    return [(0, min(1.0, lot / (size * run.k)), run.k * run.out_iter * lots)]
-
-
-def ledger_of(spark, runs, n, solver, steps_of):
+def ledger_of(spark, runs, n, solver, mode_of):
     rows = []
     for r in runs:
-        if r.sigma <= 0:
-            continue
-        for mech, q, iters in releases(r, n, solver, steps_of(r)) or _cocoa_rate(r, n):
+        if r.sigma > 0:
+            mech, q, iters = releases(r, n, solver, mode_of(r))
             rows.append((int(r.run_id), int(mech), float(r.sigma), float(q), int(iters)))
     schema = "run_id bigint, mech_id int, sigma double, q double, iters bigint"
     return spark.createDataFrame(rows, schema)
 
 
-def _lot_steps(run, n):
-    """Lots of a run: whole lots per epoch; rows beyond them sit an epoch out."""
-    return (n // run.lot_size(n)) * int(run.max_iter)
-
-
 def _check_private(table, runs, solver):
     for r in runs:
         r.check()
+        if solver in ("dual_parallel", "sgd", "primal_cd") and r.k != 1:
+            raise ValueError("K is the number of parts of CoCoA and of sequential training only")
+        if solver == "primal_cd" and r.private:
+            raise ValueError("primal coordinates have no private form: steps are not clipped")
     if any(r.private for r in runs) and solver != "sgd":
         longest = max_row_norm(table.df).first()[0]
         if longest > 1.0 + NORM_SLACK:
@@ -243,23 +237,31 @@ def fit_runs(df, task, solver, runs, fit_intercept=True, mode=None, validation=N
     solver = SOLVER_ALIASES.get(solver, solver)
     if solver not in SOLVERS:
         raise ValueError(f"unknown solver {solver!r}; known: {SOLVERS}")
-    rows = add_intercept(df) if fit_intercept else df
+    shorten = fit_intercept and solver != "sgd"
+    if shorten and len({r.private for r in runs}) == 2:
+        # Rows are shortened for private runs only, so these have their own passes.
+        sides = [[r for r in runs if r.private is private] for private in (False, True)]
+        parts = [fit_runs(df, task, solver, s, fit_intercept, mode, validation, trace) for s in sides]
+        return _joined(runs, *parts)
+    # With its constant 1 a unit row is sqrt(2) long; private dual steps need length 1.
+    factor = math.sqrt(0.5) if shorten and any(r.private for r in runs) else 1.0
+    rows = _shortened(add_intercept(df), factor) if fit_intercept else df
     table = training_table(rows)
     spark = df.sparkSession
     held = None
     if validation is not None:
-        held = add_intercept(validation) if fit_intercept else validation
+        held = _shortened(add_intercept(validation), factor) if fit_intercept else validation
     _check_private(table, runs, solver)
     if trace or solver == "primal_cd" or len(runs) > 1:
         # Read many times: written once, so that preparation is not repeated and lineage ends here.
         table.df = commit(table.df, scratch_path(spark, "train"))
-    steps_of = lambda r: _lot_steps(r, table.n)
-    runs = _with_noise(spark, runs, table.n, solver, steps_of)
+    mode_of = lambda r: mode or ("poisson" if r.private else "exact")
+    runs = _with_noise(spark, runs, table.n, solver, mode_of)
     coef, shared, alpha, log = {}, {}, {}, []
     if solver in ("dual_parallel", "sgd"):
         groups = {}
         for r in runs:
-            chosen = mode or ("poisson" if r.private else "exact")
+            chosen = mode_of(r)
             groups.setdefault((r.lot_size(table.n), r.max_iter, r.seed, chosen), []).append(r)
         size = max(1, MODEL_CELLS // table.width)
         for (lot, _, _, chosen), members in groups.items():
@@ -279,17 +281,15 @@ def fit_runs(df, task, solver, runs, fit_intercept=True, mode=None, validation=N
         for r in runs:
             watch = _Watch(table, task, solver, [r], held, log) if trace else None
             one = (lambda e, m: watch(e, m[None, :])) if watch else None
-            if solver == "cocoa":
-                k, rounds = min(r.k, table.n), r.out_iter
-            else:
-                k, rounds = min(table.n, parts_needed(table.n, table.width)), 1
+            k, rounds = min(r.k, table.n), r.out_iter if solver == "cocoa" else 1
             gamma = 1.0 if r.gamma is None else r.gamma
-            w, values = train_cocoa(table, task, r, k, rounds, gamma, r.sigma_p, one)
+            w, values = train_cocoa(table, task, r, k, rounds, gamma, r.sigma_p, one, solver)
             shared[r.run_id], coef[r.run_id] = w, w / (r.lambda_ * table.n)
             alpha[r.run_id] = values
     else:
         for r in runs:
             coef[r.run_id] = primal_cd(table, task, r, fit_log=log if trace else None)
+    coef = {run_id: factor * values for run_id, values in coef.items()}
     if trace:
         closed = {run_id for run_id, *_, status in log if status == "stopped"}
         last = {}
@@ -298,12 +298,27 @@ def fit_runs(df, task, solver, runs, fit_intercept=True, mode=None, validation=N
         for run_id, i in last.items():
             if run_id not in closed:
                 log[i] = (*log[i][:-1], "complete")
-    ledger = ledger_of(spark, runs, table.n, solver, steps_of)
+    ledger = ledger_of(spark, runs, table.n, solver, mode_of)
     return FitResult(
         spark, runs, task, solver, coef, shared, alpha, log, ledger, fit_intercept, table.n
     )
 
 
+def _shortened(df, factor):
+    if factor == 1.0:
+        return df
+    column = "features" if "features" in df.columns else "values"
+    return df.withColumn(column, F.transform(column, lambda v: v * F.lit(factor)))
+
+
+def _joined(runs, one, other):
+    """Results of two sets of runs as one."""
+    both = {name: {**getattr(one, name), **getattr(other, name)} for name in ("coef", "shared", "alpha")}
+    return replace(
+        one, runs=[r for r in runs], trace=one.trace + other.trace, ledger=one.ledger.unionByName(other.ledger), **both
+    )
+
+
 def fit(df, task, solver="dual_parallel", params=None, **options):
     """Train one run."""
     return fit_runs(df, task, solver, [params or RunParams()], **options)
@@ -345,7 +360,7 @@ def primal_cd(table, task, params, fit_log=None):
     spark = table.df.sparkSession
     theta = np.zeros(table.width)
     damping = 1.0 / table.width if params.gamma is None else params.gamma
-    for sweep in range(int(params.max_iter)):
+    for _ in range(int(params.max_iter)):
         coef = _vector_frame(spark, theta)
         if task.name == "ridge":
             steps = delta_theta_ridge(table.df, coef, params.lambda_, table.n)
@@ -357,17 +372,9 @@ def primal_cd(table, task, params, fit_log=None):
         if params.gamma == -1:
             damping = _best_damping(spark, table, theta, move, params)
         theta = theta + damping * move
-        if params.sigma > 0:
-            noise = spark.range(table.width).select("id", _sweep_noise(params, sweep))
-            drawn = noise.toArrow()
-            theta[drawn["id"].to_numpy()] += drawn["noise"].to_numpy()
     return theta
 
 
-def _sweep_noise(params, sweep):
-    return (F.lit(params.sigma) * keyed_normal(params.seed, "p", sweep, F.col("id"))).alias("noise")
-
-
 def _vector_frame(spark, values):
     columns = {"idx": np.arange(len(values), dtype=np.int32), "value": values}
     return spark.createDataFrame(pa.table(columns), "idx int, value double")

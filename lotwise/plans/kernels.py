@@ -110,8 +110,9 @@ class DualStep:
 def _fold(step, block, batch, y, sq, history, before):
     """Dual values of a batch after the lots of ``lots`` that come before lot ``before``.
 
-    ``history`` maps a lot to the models in force when it was processed.  The lots of a row are
-    taken in order; rows that share a lot at the same place in their lists move together.
+    ``history`` maps a lot to the models in force when it was processed and the runs that were
+    still active.  The lots of a row are taken in order; rows that share a lot at the same place in
+    their lists move together.  A row that is twice in one lot takes its step twice, from one score.
     """
     runs = len(step.gamma)
     alpha = _matrix(batch, "alpha", runs).copy()
@@ -130,11 +131,18 @@ def _fold(step, block, batch, y, sq, history, before):
             if before is not None and lot >= before:
                 continue
             chosen = rows[lots == lot]
-            z = block.row_scores(chosen, history[int(lot)])
+            at = starts[chosen] + place
+            if place:
+                fresh = flat[at - 1] != lot
+                chosen, at = chosen[fresh], at[fresh]
+            models, active = history[int(lot)]
+            z = block.row_scores(chosen, models)
             move = step.deltas(z, y[chosen], alpha[chosen], sq[chosen])
+            again = (lengths[chosen] > place + 1) & (flat[np.minimum(at + 1, len(flat) - 1)] == lot)
+            move = move * np.where(again, 2.0, 1.0)[:, None]
             if noisy:
-                move = move + noise[starts[chosen] + place] * step.noise[None, :]
-            alpha[chosen] += step.gamma[None, :] * move
+                move = move + noise[at] * step.noise[None, :]
+            alpha[chosen] += (step.gamma * active)[None, :] * move
     return alpha
 
 

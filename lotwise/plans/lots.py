@@ -6,13 +6,13 @@ then reads its own partition only.  The same rewrite brings the dual values up t
 segment costs one read and one write of the table plus one read spread over its lots.
 """
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from lotwise.functions.keyed import keyed_normal
-from lotwise.operators.split import poisson_lots, slice_lots
+from lotwise.operators.split import poisson_lots, slice_lots, spanning_lot
 from lotwise.operators.update import noise_scale
 from lotwise.plans import kernels
 from lotwise.sources.scratch import commit, scratch_path
@@ -51,10 +51,9 @@ class GroupResult:
     models: np.ndarray  # runs x features: shared vectors (dual) or coefficients (SGD)
     steps: int
     alpha: object = None  # frame (row_id, alpha ARRAY) or None
-    history: list = field(default_factory=list)  # models at the start and after every epoch
 
 
-def add_sums(spark, sums, noise, width, key):
+def add_sums(spark, sums, noise, width, keys, lot):
     """Sum the tasks' partials per run and feature, add the noise, bring the small result back.
 
     Noise is its own frame of runs x features rows, so features that no row of the lot has get
@@ -67,7 +66,8 @@ def add_sums(spark, sums, noise, width, key):
             F.explode(F.sequence(F.lit(0), F.lit(len(noise) - 1))).alias("run"),
             F.col("id").cast("int").alias("idx"),
         )
-        value = F.get(scales, F.col("run")) * keyed_normal(*key, F.col("run"), F.col("idx"))
+        key = F.get(F.array(*[F.lit(k) for k in keys]), F.col("run"))
+        value = F.get(scales, F.col("run")) * keyed_normal(key, "w", lot, F.col("idx"))
         sums = sums.unionByName(drawn.withColumn("value", value))
     total = sums.groupBy("run", "idx").agg(F.sum("value").alias("value")).toArrow()
     out = np.zeros((len(noise), width))
@@ -75,39 +75,54 @@ def add_sums(spark, sums, noise, width, key):
     return out
 
 
-def segments_of(steps_per_epoch, epochs, runs, width):
-    """Consecutive steps between two rewrites: at most an epoch, and models within the bound."""
-    most = max(1, min(steps_per_epoch, MODEL_CELLS // max(1, runs * width)))
-    for epoch in range(epochs):
-        first = epoch * steps_per_epoch
-        for start in range(first, first + steps_per_epoch, most):
-            yield epoch, range(start, min(start + most, first + steps_per_epoch))
+@dataclass(frozen=True)
+class Segment:
+    """Consecutive lots between two rewrites; a lot that spans two epochs is a segment of its own."""
 
+    lots: range
+    spans: bool = False
 
-def _with_lots(df, table, lot_size, epoch, steps, steps_per_epoch, seed, mode):
-    """Column ``lots``: the ordered lots of ``steps`` that a row belongs to."""
+
+def segments_of(n, lot_size, epochs, runs, width, exact):
+    """Segments of all floor(n * epochs / lot_size) lots, models in flight within the bound."""
+    most = max(1, min(n // lot_size, MODEL_CELLS // max(1, runs * width)))
+    lot, last = 0, n * epochs // lot_size
+    while lot < last:
+        within = ((lot * lot_size // n + 1) * n) // lot_size if exact else last
+        if within == lot:
+            yield Segment(range(lot, lot + 1), spans=True)
+            lot += 1
+        else:
+            stop = min(lot + most, within, last)
+            yield Segment(range(lot, stop))
+            lot = stop
+
+
+def _with_lots(df, table, lot_size, segment, seed, mode):
+    """Column ``lots``: the ordered lots of a segment that a row belongs to."""
     if mode == "poisson":
-        return poisson_lots(df, lot_size, table.n, steps, seed)
+        return poisson_lots(df, lot_size, table.n, segment.lots, seed)
     if mode != "exact":
         raise ValueError(f"unknown lot mode {mode!r}")
-    cut = slice_lots(df, lot_size, table.n, seed, epoch)
-    own = F.col("lot") + F.lit(epoch * steps_per_epoch)
-    inside = (F.col("lot") >= 0) & own.between(steps.start, steps.stop - 1)
+    if segment.spans:
+        return spanning_lot(df, segment.lots.start, lot_size, table.n, seed)
+    epoch = segment.lots.start * lot_size // table.n
+    before = -(-epoch * table.n // lot_size)
+    cut = slice_lots(df, lot_size, table.n, seed, epoch, skip=before * lot_size - epoch * table.n)
+    own = F.col("lot") + F.lit(before)
+    inside = (F.col("lot") >= 0) & own.between(segment.lots.start, segment.lots.stop - 1)
     empty = F.array().cast("array<int>")
     return cut.withColumn("lots", F.when(inside, F.array(own.cast("int"))).otherwise(empty)).drop("lot")
 
 
-def _layout(df, poisson):
-    """One copy per lot in ``lots``; rows of no lot are kept in partition -1."""
-    if not poisson:
-        return df.withColumn("lot", F.coalesce(F.get("lots", F.lit(0)), F.lit(-1)))
-    return df.withColumn("lot", F.explode_outer("lots")).withColumn(
-        "lot", F.coalesce("lot", F.lit(-1))
-    )
+def _layout(df):
+    """One copy per entry of ``lots``; rows of no lot are kept in partition -1."""
+    copies = df.select("*", F.posexplode_outer("lots").alias("_copy", "lot"))
+    return copies.withColumns({"lot": F.coalesce("lot", F.lit(-1)), "_copy": F.coalesce("_copy", F.lit(0))})
 
 
 def train_group(table, task, solver, runs, lot_size, mode, on_epoch=None):
-    """Train runs that share lot size, epochs, seed and lot mode.
+    """Train runs that share lot size, epochs, seed and lot mode, over all whole lots of all epochs.
 
     ``on_epoch(epoch, models) -> active`` may watch the models and stop runs; a stopped run keeps
     its last models.
@@ -115,8 +130,8 @@ def train_group(table, task, solver, runs, lot_size, mode, on_epoch=None):
     spark = table.df.sparkSession
     dual = solver == "dual_parallel"
     first = runs[0]
-    per_epoch = table.n // lot_size
     epochs = int(first.max_iter)
+    keys = [r.noise_key(solver, task.name) for r in runs]
     count, width = len(runs), table.width
     noise = [noise_scale(solver, r.sigma, r.clip, lot_size) for r in runs]
     models = np.zeros((count, width))
@@ -137,32 +152,33 @@ def train_group(table, task, solver, runs, lot_size, mode, on_epoch=None):
         state = state.withColumn("alpha", F.array(*[F.lit(0.0)] * count))
     state_columns = list(state.columns)
     poisson = mode == "poisson"
+    lots = table.n * epochs // lot_size
     active = np.ones(count, dtype=bool)
     history = {}
-    watched = [models.copy()]
+    seen = 0
     if on_epoch:
         active &= on_epoch(0, models)
     laid_out = None
-    for number, (epoch, steps) in enumerate(segments_of(per_epoch, epochs, count, width)):
+    for number, segment in enumerate(segments_of(table.n, lot_size, epochs, count, width, not poisson)):
         if not active.any():
             break
         # Lots are drawn on the stored keys, before the Python map, so only keys are read for it.
-        source = state if laid_out is None else _one_copy(laid_out, poisson)
+        source = state if laid_out is None else _one_copy(laid_out)
         source = source.withColumnRenamed("lots", "_done").withColumnRenamed("noise", "_old")
-        drawn = _with_lots(source, table, lot_size, epoch, steps, per_epoch, first.seed, mode)
+        drawn = _with_lots(source, table, lot_size, segment, first.seed, mode)
         if dual and laid_out is not None:
             drawn = _advance(drawn, step, history, width, state_columns, extra=["lots"])
         drawn = drawn.select(*state_columns, "lots")
         if dual and any(s > 0 for s in noise):
             drawn = drawn.withColumn("noise", F.flatten(F.transform("lots", lambda t: F.array(*[
-                keyed_normal(first.seed, "a", r, t, F.col("row_id")) for r in range(count)
+                keyed_normal(key, "a", t, F.col("row_id")) for key in keys
             ]))))
-        laid_out = commit(_layout(drawn, poisson), paths[number % 2], ["lot"])
+        laid_out = commit(_layout(drawn), paths[number % 2], ["lot"])
         history = {}
-        for lot in steps:
+        for lot in segment.lots:
             rows = laid_out.where(F.col("lot") == lot)
             if dual:
-                history[lot] = models.copy()
+                history[lot] = (models.copy(), active.copy())
                 work = kernels.dual_lot(step, models, history if poisson else {}, lot, width)
                 names = ["y", "alpha", "lots", *vectors] + (["noise"] if "noise" in rows.columns else [])
                 if not poisson:
@@ -170,33 +186,30 @@ def train_group(table, task, solver, runs, lot_size, mode, on_epoch=None):
                     rows = rows.withColumn("lots", F.array().cast("array<int>"))
                     names = [c for c in names if c != "noise"]
                 sums = rows.select(*names).mapInArrow(work, kernels.SUM_SCHEMA)
-                total = add_sums(spark, sums, noise, width, (first.seed, "w", lot))
+                total = add_sums(spark, sums, noise, width, keys, lot)
                 moved = models + gamma[:, None] * total
             else:
                 work = kernels.gradient_lot(task, models, [r.bounded_clip for r in runs], width)
                 sums = rows.select("y", *vectors).mapInArrow(work, kernels.SUM_SCHEMA)
-                total = add_sums(spark, sums, noise, width, (first.seed, "w", lot))
+                total = add_sums(spark, sums, noise, width, keys, lot)
                 total += lam[:, None] * models
                 moved = models - gamma[:, None] * total / lot_size
             models = np.where(active[:, None], moved, models)
-        if steps.stop == (epoch + 1) * per_epoch:
-            watched.append(models.copy())
-            if on_epoch:
-                active &= on_epoch(epoch + 1, models)
+            ended = (lot + 1) * lot_size // table.n if lot + 1 < lots else epochs
+            if on_epoch and ended > seen:
+                active &= on_epoch(ended, models)
+                seen = ended
     alpha = None
     if dual and laid_out is not None:
-        final = _one_copy(laid_out, poisson).withColumnRenamed("lots", "_done")
+        final = _one_copy(laid_out).withColumnRenamed("lots", "_done")
         final = final.withColumnRenamed("noise", "_old")
         alpha = _advance(final, step, history, width, state_columns).select("row_id", "alpha")
-    return GroupResult(list(runs), models, per_epoch * epochs, alpha, watched)
+    return GroupResult(list(runs), models, lots, alpha)
 
 
-def _one_copy(laid_out, poisson):
-    """Each row once: the copy in its first lot, or the one without a lot."""
-    if not poisson:
-        return laid_out.drop("lot")
-    first = F.coalesce(F.get("lots", F.lit(0)), F.lit(-1))
-    return laid_out.where(F.col("lot") == first).drop("lot")
+def _one_copy(laid_out):
+    """Each row once: its first copy."""
+    return laid_out.where(F.col("_copy") == 0).drop("lot", "_copy")
 
 
 def _advance(df, step, history, width, columns, extra=()):

@@ -1,7 +1,8 @@
 """Hyperparameters of a run and the grid of runs."""
 
+import hashlib
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +10,9 @@ from pyspark.sql import types as T
 from lotwise.operators.split import lot_size_of
 
 
+PUBLIC_SEED = "1"
+
+
 @dataclass(frozen=True)
 class RunParams:
     """One run.  Values never change during training.
@@ -30,7 +34,7 @@ class RunParams:
     k: int = 1
     gamma: float | None = None
     sigma_p: float | None = None
-    seed: str = "1"
+    seed: str = PUBLIC_SEED
 
     @property
     def private(self):
@@ -52,8 +56,16 @@ class RunParams:
             raise ValueError("lambda must be positive")
         if self.private and (self.clip <= 0 or math.isinf(self.clip)):
             raise ValueError("a private run needs a positive, finite clipping bound")
+        if self.private and str(self.seed) == PUBLIC_SEED:
+            raise ValueError("a private run needs a secret seed, not the default one")
         return self
 
+    def noise_key(self, solver, task):
+        """Names this run's noise.  Runs that differ in anything draw different noise, and a run
+        draws the same alone and in a grid."""
+        values = [f"{f.name}={getattr(self, f.name)!r}" for f in fields(self)]
+        return hashlib.md5("|".join([solver, task, *values]).encode()).hexdigest()
+
 
 # Names, defaults and types of the grid's parameters, in grid order.
 GRID_PARAMETERS = [
@@ -67,7 +79,7 @@ GRID_PARAMETERS = [
     ("out_iter", 1, "int"),
     ("K", 1, "int"),
     ("gamma", 1.0, "double"),
-    ("seed", 1, "int"),
+    ("seed", PUBLIC_SEED, "string"),
 ]
 
 

@@ -157,7 +157,7 @@ def eps_curve(spark, sf):
     return privacy.eps_curve(sigmas, 0.02, 1000).select("sigma", r6("eps", "eps"))
 
 
-NODES = 20001
+NODES = 1_000_001
 TILT = "(ln(q) + (2 * z - 1) / (2 * sigma * sigma))"
 REST = "ln(greatest(1e0 - q, 1e-300))"
 

@@ -20,9 +20,9 @@ class Unrolled:
     ``prefix`` keeps the names of several runs in one statement apart.
     """
 
-    def __init__(self, prefix, ratio, epochs, per_epoch, lam=LAMBDA, mode="exact"):
-        self.p, self.lam, self.mode = prefix, lam, mode
-        self.steps = [(e, s) for e in range(epochs) for s in range(per_epoch)]
+    def __init__(self, prefix, ratio, epochs, per_epoch, lam=LAMBDA, mode="exact", key=None, lots=None):
+        self.p, self.lam, self.mode, self.key = prefix, lam, mode, key
+        self.steps = [(e, s) for e in range(epochs) for s in range(per_epoch)][:lots]
         self.per_epoch = per_epoch
         self.ctes = [
             f"{prefix}nn as (select n, greatest(1, ceil({ratio}e0 * n))::bigint as l "
@@ -36,25 +36,32 @@ class Unrolled:
                 "row_id) as rn from emb)"
             )
 
+        self.stream = " union all ".join(
+            f"select row_id, {e} * n + rn - 1 as pos from {prefix}r{e}, {prefix}nn" for e in range(epochs)
+        )
+
     def members(self, t):
-        """Row ids of lot t as a SQL query."""
+        """Row ids of lot t, and how often each is in it, as a SQL query."""
         epoch, place = self.steps[t]
         if self.mode == "poisson":
             key = f"'{SEED}|{t}|' || row_id"
-            return f"select row_id from emb, {self.p}nn where {u_sql(key)} < l::double / n"
-        return f"select row_id from {self.p}r{epoch}, {self.p}nn where (rn - 1) // l = {place}"
+            return f"select row_id, 1 as times from emb, {self.p}nn where {u_sql(key)} < l::double / n"
+        if self.mode == "spanning":
+            return f"select row_id, count(*) as times from ({self.stream}), {self.p}nn where pos // l = {t} group by row_id"
+        return f"select row_id, 1 as times from {self.p}r{epoch}, {self.p}nn where (rn - 1) // l = {place}"
 
     def scored(self, t):
         p = self.p
         self.ctes.append(f"""{p}s{t} as (
-select el.row_id, any_value(y) as y, any_value(alpha) as alpha, sum(v * w) as z, sum(v * v) as sq
-from el join {p}a{t} using (row_id) join {p}w{t} using (i)
-where el.row_id in ({self.members(t)}) group by el.row_id)""")
+select el.row_id, any_value(y) as y, any_value(alpha) as alpha, sum(v * w) as z, sum(v * v) as sq,
+       any_value(times) as times
+from el join {p}a{t} using (row_id) join {p}w{t} using (i) join ({self.members(t)}) using (row_id)
+group by el.row_id)""")
 
     def noise(self, t, kind, index, sigma):
         if not sigma:
             return "0e0"
-        return f"{sigma}e0 * {normal_sql(f'{chr(39)}{SEED}|{kind}|' + index)}"
+        return f"{sigma}e0 * {normal_sql(f'{chr(39)}{self.key}|{kind}|' + index)}"
 
     def dual(self, task, clip=None, noise=None):
         p = self.p
@@ -63,10 +70,10 @@ where el.row_id in ({self.members(t)}) group by el.row_id)""")
             self.scored(t)
             raw = delta_sql(task, lam_n=f"({self.lam}e0 * n)", sigma_p="l::double")
             step = raw if clip is None else f"({raw} / greatest(1e0, abs({raw}) / {clip}e0))"
-            w_noise = self.noise(t, "w", f"{t}|0|' || i", scale)
-            a_noise = self.noise(t, "a", f"0|{t}|' || row_id", scale)
+            w_noise = self.noise(t, "w", f"{t}|' || i", scale)
+            a_noise = self.noise(t, "a", f"{t}|' || row_id", scale)
             self.ctes += [
-                f"{p}d{t} as (select row_id, {step} as d from {p}s{t}, {p}nn)",
+                f"{p}d{t} as (select row_id, times * {step} as d from {p}s{t}, {p}nn)",
                 f"{p}g{t} as (select i, sum(v * d) as g from el join {p}d{t} using (row_id) group by i)",
                 f"{p}w{t + 1} as (select i, w + coalesce(g, 0e0) + {w_noise} as w "
                 f"from {p}w{t} left join {p}g{t} using (i))",
@@ -80,9 +87,9 @@ where el.row_id in ({self.members(t)}) group by el.row_id)""")
         for t in range(len(self.steps)):
             self.scored(t)
             factor = factor_sql(task)
-            w_noise = self.noise(t, "w", f"{t}|0|' || i", noise)
+            w_noise = self.noise(t, "w", f"{t}|' || i", noise)
             self.ctes += [
-                f"{p}f{t} as (select row_id, {factor} / greatest(1e0, abs({factor}) * sqrt(sq) / {clip}e0) "
+                f"{p}f{t} as (select row_id, times * {factor} / greatest(1e0, abs({factor}) * sqrt(sq) / {clip}e0) "
                 f"as f from {p}s{t})",
                 f"{p}g{t} as (select i, sum(v * f) as g from el join {p}f{t} using (row_id) group by i)",
                 f"{p}w{t + 1} as (select i, w - {eta}e0 * (coalesce(g, 0e0) + {self.lam}e0 * w + {w_noise}) "
@@ -146,19 +153,21 @@ def fit_dual_parallel_alpha(spark, sf):
     return result.alpha[0].select("row_id", r6("alpha", "alpha"))
 
 
-PRIVATE_RUN = Unrolled("", 0.5, 1, 2).dual("logistic", clip=0.5, noise=2.0 * (2 * 0.25) ** 0.5)
+PRIVATE = params(max_iter=1, clip=0.5, sigma=2.0)
+PRIVATE_RUN = Unrolled("", 0.5, 1, 2, key=PRIVATE.noise_key("dual_parallel", "logistic")).dual(
+    "logistic", clip=0.5, noise=2.0 * (2 * 0.25) ** 0.5
+)
 
 
 @query("fit_dual_parallel_private", f"with {EMB},\n{PRIVATE_RUN.text}\n{dual_coef_sql(PRIVATE_RUN)}")
 def fit_dual_parallel_private(spark, sf):
-    run = params(max_iter=1, clip=0.5, sigma=2.0)
     rows = embeddings(spark, sf)
-    return coef_out(fit(rows, "logistic", "PSCD", run, fit_intercept=False, mode="exact"))
+    return coef_out(fit(rows, "logistic", "PSCD", PRIVATE, fit_intercept=False, mode="exact"))
 
 
-PRIVATE_ALPHA = Unrolled("", 0.5, 1, 2, mode="poisson").dual(
-    "ridge", clip=0.5, noise=2.0 * (2 * 0.25) ** 0.5
-)
+PRIVATE_ALPHA = Unrolled(
+    "", 0.5, 1, 2, mode="poisson", key=PRIVATE.noise_key("dual_parallel", "ridge")
+).dual("ridge", clip=0.5, noise=2.0 * (2 * 0.25) ** 0.5)
 
 
 @query("fit_dual_parallel_poisson", f"""with {EMB},
@@ -166,19 +175,41 @@ PRIVATE_ALPHA = Unrolled("", 0.5, 1, 2, mode="poisson").dual(
 select row_id, round(alpha, 6) + 0e0 as alpha from a{PRIVATE_ALPHA.last}""")
 def fit_dual_parallel_poisson(spark, sf):
     """Independent sampling: a row may be in both lots of an epoch."""
-    run = params(max_iter=1, clip=0.5, sigma=2.0)
-    result = fit(embeddings(spark, sf), "ridge", "PSCD", run, fit_intercept=False)
+    result = fit(embeddings(spark, sf), "ridge", "PSCD", PRIVATE, fit_intercept=False)
     return result.alpha[0].select("row_id", r6("alpha", "alpha"))
 
 
-SGD_PRIVATE = Unrolled("", 0.5, 1, 2, mode="poisson").sgd("logistic", 0.5, 0.8, noise=2.0 * 0.5)
+PRIVATE_STEP = params(max_iter=1, clip=0.5, gamma=0.8, sigma=2.0)
+SGD_PRIVATE = Unrolled("", 0.5, 1, 2, mode="poisson", key=PRIVATE_STEP.noise_key("sgd", "logistic")).sgd(
+    "logistic", 0.5, 0.8, noise=2.0 * 0.5
+)
 
 
 @query("fit_sgd_private", f"""with {EMB},
 {SGD_PRIVATE.text}
 select i::int as idx, round(w, 6) + 0e0 as value from w{SGD_PRIVATE.last}""")
 def fit_sgd_private(spark, sf):
-    run = params(max_iter=1, clip=0.5, gamma=0.8, sigma=2.0)
+    return coef_out(fit(embeddings(spark, sf), "logistic", "SGD", PRIVATE_STEP, fit_intercept=False))
+
+
+SPANNING = Unrolled("", 0.4, 3, 3, mode="spanning", lots=7).dual("ridge")
+
+
+@query("fit_dual_parallel_spanning", f"with {EMB},\n{SPANNING.text}\n{dual_coef_sql(SPANNING)}")
+def fit_dual_parallel_spanning(spark, sf):
+    """Seven lots over three epochs: the third holds rows of two of them."""
+    run = params(lot_ratio=0.4, max_iter=3)
+    return coef_out(fit(embeddings(spark, sf), "ridge", "PSCD", run, fit_intercept=False))
+
+
+SPANNING_SGD = Unrolled("", 0.4, 3, 3, mode="spanning", lots=7).sgd("logistic", 0.5, 0.8)
+
+
+@query("fit_sgd_spanning", f"""with {EMB},
+{SPANNING_SGD.text}
+select i::int as idx, round(w, 6) + 0e0 as value from w{SPANNING_SGD.last}""")
+def fit_sgd_spanning(spark, sf):
+    run = params(lot_ratio=0.4, max_iter=3, clip=0.5, gamma=0.8)
     return coef_out(fit(embeddings(spark, sf), "logistic", "SGD", run, fit_intercept=False))
 
 
@@ -311,7 +342,8 @@ def fit_dispatch(spark, sf):
     rows = embeddings(spark, sf)
     out = None
     for name in ("PSCD", "SSCD", "SGD", "COCOA", "primal_cd"):
-        result = fit(rows, "RR", name, params(max_iter=1, k=4, gamma=0.1 if name == "SGD" else None))
+        k = 4 if name in ("SSCD", "COCOA") else 1
+        result = fit(rows, "RR", name, params(max_iter=1, k=k, gamma=0.1 if name == "SGD" else None))
         line = result.evaluate(rows).select(F.lit(name).alias("solver"), "loss", "mse", "r2")
         out = line if out is None else out.unionByName(line)
     return out
@@ -332,18 +364,27 @@ def fit_cocoa(spark, sf):
     return result.trace_frame().select("epoch", "cost", "accuracy", "status")
 
 
-@query("fit_cocoa_private")
-def fit_cocoa_private(spark, sf):
-    rows = embeddings(spark, sf)
-    run = params(max_iter=1, out_iter=2, k=4, sigma=1.0, clip=0.01)
-    return coef_out(fit(rows, "ridge", "COCOA", run, fit_intercept=False))
 
-def walk_sql(r, sigma_p, task):
+def walk_sql(r, sigma_p, task, clip=None, noise=None):
     """Recursive SQL of one local pass in round r: each part's rows in order, one step at a time.
 
     Needs ``o{r}`` (part, t, row_id, y, x, sq, alpha) and ``m{r}`` (w as a list); gives ``v{r}``.
+    With noise also ``z{r}`` (part, t, list): what a part's view gets after its row t.
     """
     step = delta_sql(task, lam_n=f"({LAMBDA}e0 * n)", sigma_p=sigma_p)
+    if clip is not None:
+        step = f"({step} / greatest(1e0, abs({step}) / {clip}e0))"
+    if noise is not None:
+        return f"""v{r} as (
+  select distinct part, 0::bigint as t, w as view, -1::bigint as row_id, 0e0 as d from o{r}, m{r}
+  union all
+  select part, t, list_transform(list_zip(view, x, e), lambda p: p[1] + {sigma_p} * (d * p[2] + {noise}e0 * p[3])),
+         row_id, d
+  from (select part, t, view, x, e, row_id, {step} as d
+        from (select a.part, b.t, a.view, b.x, b.row_id, b.y, b.sq, b.alpha, z.e,
+                     list_inner_product(a.view, b.x) as z
+              from v{r} a join o{r} b on b.part = a.part and b.t = a.t + 1
+                   join z{r} z on z.part = b.part and z.t = b.t), nn))"""
     return f"""v{r} as (
   select distinct part, 0::bigint as t, w as view, -1::bigint as row_id, 0e0 as d from o{r}, m{r}
   union all
@@ -373,23 +414,35 @@ def fit_dual_sequential_pass(spark, sf):
     return coef_out(fit(embeddings(spark, sf), "hinge", "SSCD", run, fit_intercept=False))
 
 
-def cocoa_sql(rounds):
+def cocoa_sql(rounds, clip=None, noise=None, key=None):
+    """``noise`` is the multiple of a lot's deviation that is drawn after each of a part's two lots."""
+    whole = "" if noise is None else " join ls using (part) qualify t <= size - size % l"
     ctes = ["m0 as (select list_transform(range(64), lambda j: 0e0) as w)",
             "a0 as (select row_id, 0e0 as alpha from emb)",
             f"pt as (select row_id, (ntile(4) over (order by md5('{SEED}|' || row_id), row_id) - 1)::int "
-            "as part from emb)"]
+            "as part from emb)",
+            "ls as (select part, count(*) as size, ceil(0.5e0 * count(*))::bigint as l from pt group by part)"]
     for r in range(rounds):
         ctes += [
             f"o{r} as (select part, row_id, y, x, sq, alpha, row_number() over (partition by part "
             f"order by md5('{SEED}|order|{r}|0|' || row_id), row_id) as t "
-            f"from sqs join pt using (row_id) join a{r} using (row_id))",
-            walk_sql(r, "4e0", "ridge"),
+            f"from sqs join pt using (row_id) join a{r} using (row_id){whole})",
+            *([] if noise is None else [f"""h{r} as (
+select part, t, t % l = 0 as ends, t // l as lot, sqrt((4e0 * l * l - 2e0) * {clip}e0 * {clip}e0) as deviation
+from o{r} join ls using (part))""", f"""z{r} as (
+select part, t, list(case when ends then deviation * {normal_sql(f"'{key}|w|{r}|' || part || '|' || lot || '|' || j")}
+                     else 0e0 end order by j) as e
+from h{r}, range(64) q(j) group by part, t)"""]),
+            walk_sql(r, "4e0", "ridge", clip, noise),
             f"e{r} as (select part, max(t) as t from v{r} group by part)",
             f"c{r} as (select i, any_value(w) + sum((v - w) / 4e0) as w from (select "
             f"unnest(range(64)) as i, unnest(view) as v, unnest(w) as w from v{r} join e{r} using (part, t), "
             f"m{r}) group by i)",
             f"m{r + 1} as (select list(w order by i) as w from c{r})",
-            f"a{r + 1} as (select row_id, alpha + d as alpha from a{r} join v{r} using (row_id))",
+            f"a{r + 1} as (select row_id, alpha + d as alpha from a{r} join v{r} using (row_id))"
+            if noise is None else f"""a{r + 1} as (
+select row_id, alpha + coalesce(d + deviation * {normal_sql(f"'{key}|a|{r}|0|' || row_id")}, 0e0) as alpha
+from a{r} left join (select row_id, d, deviation from v{r} join h{r} using (part, t)) using (row_id))""",
         ]
     body = ",\n".join(ctes)
     return f"with recursive {EMB}, {ROWS_SQ},\n{body}\n"
@@ -403,6 +456,17 @@ def fit_cocoa_rounds(spark, sf):
     return coef_out(fit(embeddings(spark, sf), "ridge", "COCOA", run, fit_intercept=False))
 
 
+PRIVATE_PARTS = params(max_iter=1, out_iter=2, k=4, sigma=1.0, clip=0.01)
+
+
+@query("fit_cocoa_private", cocoa_sql(
+    2, 0.01, 1.0, PRIVATE_PARTS.noise_key("cocoa", "ridge")
+) + f"select i::int as idx, round(w / ({LAMBDA}e0 * n), 6) + 0e0 as value from c1, nn")
+def fit_cocoa_private(spark, sf):
+    """Two rounds over four parts of two lots, with noise in the view after every lot."""
+    return coef_out(fit(embeddings(spark, sf), "ridge", "COCOA", PRIVATE_PARTS, fit_intercept=False))
+
+
 @query("fit_cocoa_alpha", cocoa_sql(2) + "select row_id, round(alpha, 6) + 0e0 as alpha from a2")
 def fit_cocoa_alpha(spark, sf):
     run = params(max_iter=1, out_iter=2, k=4, lot_ratio=1.0)
@@ -411,7 +475,9 @@ def fit_cocoa_alpha(spark, sf):
 
 
 FLAGSHIP = dict(lambda_=0.1, lot_ratio=0.5, max_iter=1, clip=0.5, sigma=0.5, seed=SEED)
-FLAG_RUN = Unrolled("", 0.5, 1, 2, lam=0.1).dual("ridge", clip=0.5, noise=0.5 * (2 * 0.25) ** 0.5)
+FLAG_RUN = Unrolled(
+    "", 0.5, 1, 2, lam=0.1, key=RunParams(**FLAGSHIP).noise_key("dual_parallel", "ridge")
+).dual("ridge", clip=0.5, noise=0.5 * (2 * 0.25) ** 0.5)
 
 
 @query("flagship", f"""with {EMB},
@@ -426,3 +492,74 @@ def flagship(spark, sf):
     result = fit_runs(rows, "ridge", "PSCD", [run], fit_intercept=False, mode="exact")
     label = F.when(F.col("z") > 0, F.lit(1.0)).otherwise(F.lit(-1.0))
     return metrics.accuracy(result.scores(rows).withColumn("prediction", label))
+
+
+def _ledger_out(result):
+    return result.ledger.select("run_id", r6("sigma", "sigma"), r6("q", "q"), "iters")
+
+
+def _ledger_sql(q, iters):
+    return (
+        f"select 0::bigint as run_id, 2e0 as sigma, round({q}, 6) + 0e0 as q, ({iters})::bigint as iters "
+        "from (select count(*) as n, greatest(1, ceil(0.4e0 * count(*)))::bigint as l from embeddings)"
+    )
+
+
+def _register_ledgers():
+    """What a private run books, as it was trained."""
+    for solver, name in (("SGD", "sgd"), ("PSCD", "dual_parallel")):
+
+        @query(f"fit_ledger_{name}", _ledger_sql("l::double / n", "2 * n // l"))
+        def independent(spark, sf, solver=solver):
+            run = params(lot_ratio=0.4, clip=0.5, sigma=2.0)
+            return _ledger_out(fit(embeddings(spark, sf), "ridge", solver, run, fit_intercept=False))
+
+    @query("fit_ledger_cocoa", _ledger_sql("1e0", "3"))
+    def parts(spark, sf):
+        run = params(lot_ratio=0.4, max_iter=1, out_iter=3, k=4, clip=0.5, sigma=2.0)
+        return _ledger_out(fit(embeddings(spark, sf), "ridge", "COCOA", run, fit_intercept=False))
+
+
+_register_ledgers()
+
+SHORT = params(max_iter=1, clip=0.5, sigma=2.0, lot_ratio=1.0)
+
+
+@query("fit_private_intercept", f"""with {EMB},
+ones as (select row_id, y, 0::int as i, sqrt(0.5e0) as v from emb
+         union all select row_id, y, i + 1, v * sqrt(0.5e0) from el),
+nn as (select count(*) as n from emb),
+d as (select row_id, {delta_sql("ridge", lam_n=f"({LAMBDA}e0 * n)", sigma_p="n::double")} as raw
+      from (select row_id, any_value(y) as y, 0e0 as alpha, 0e0 as z, sum(v * v) as sq from ones group by row_id), nn),
+w as (select i, sum(v * raw / greatest(1e0, abs(raw) / 0.5e0)) as w from ones join d using (row_id) group by i)
+select i as idx, round(sqrt(0.5e0) * (w + {2.0 * (2 * 0.25) ** 0.5}e0
+       * {normal_sql(f"'{SHORT.noise_key('dual_parallel', 'ridge')}|w|0|' || i")}) / ({LAMBDA}e0 * n), 6) + 0e0 as value
+from w, nn""")
+def fit_private_intercept(spark, sf):
+    """One private lot of all rows, shortened so that a row with its constant has length 1."""
+    return coef_out(fit(embeddings(spark, sf), "ridge", "PSCD", SHORT))
+
+
+NOISY_GRID = [(0.5, 0), (0.34, 1)]
+
+
+def _grid_run(ratio, run_id):
+    return params(run_id=run_id, lot_ratio=ratio, max_iter=1, clip=0.5, sigma=2.0)
+
+
+NOISY_RUNS = [
+    Unrolled(f"g{i}_", ratio, 1, 2, mode="poisson", key=_grid_run(ratio, i).noise_key("sgd", "ridge")).sgd(
+        "ridge", 0.5, 1.0, noise=2.0 * 0.5
+    )
+    for ratio, i in NOISY_GRID
+]
+
+
+@query("fit_grid_private", f"with {EMB},\n" + ",\n".join(r.text for r in NOISY_RUNS) + "\n" + "\nunion all\n".join(
+    f"select {i}::bigint as run_id, i::int as idx, round(w, 6) + 0e0 as value from {r.p}w{r.last}"
+    for i, r in enumerate(NOISY_RUNS)
+))
+def fit_grid_private(spark, sf):
+    """Two runs with one seed and different lots: each draws its own noise."""
+    result = fit_runs(embeddings(spark, sf), "ridge", "SGD", [_grid_run(*g) for g in NOISY_GRID], fit_intercept=False)
+    return result.coef_frame().select("run_id", F.col("idx").cast("int").alias("idx"), r6("value", "value"))

@@ -162,3 +162,15 @@ def test_plain_streams_accept_row_local_operators(spark, tmp_path):
     running.stop()
     got = {r["row_id"]: r["prediction"] for r in spark.table("streamed").collect()}
     assert got == {0: 1.0, 1: -1.0, 2: -1.0}
+
+
+def test_indices_outside_the_width_are_an_error(spark):
+    from pyspark.errors import PySparkException
+
+    rows = spark.createDataFrame([(0, [0, 7], [1.0, 2.0], 4), (1, [1, 0], [1.0, 2.0], 2)], "row_id int, indices array<int>, values array<double>, width int")
+    with pytest.raises(PySparkException):
+        encode.to_dense(rows).collect()
+    assert encode.to_dense(rows.filter("row_id = 1")).first()["features"] == [2.0, 1.0]
+    long = spark.createDataFrame([(0, 0, 1.0), (0, 5, 2.0)], "row_id int, idx int, value double")
+    with pytest.raises(PySparkException):
+        encode.to_wide(long, 2).collect()

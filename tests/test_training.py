@@ -35,16 +35,15 @@ def normal(key):
 
 
 def lots(n, size, epochs, seed, mode):
-    whole = n // size
-    for t in range(whole * epochs):
+    stream = [i for e in range(epochs) for i in order(n, f"{seed}|{e}")]
+    for t in range(n * epochs // size):
         if mode == "poisson":
             yield t, [i for i in range(n) if uniform(f"{seed}|{t}|{i}") < size / n]
         else:
-            place = t % whole
-            yield t, order(n, f"{seed}|{t // whole}")[place * size : (place + 1) * size]
+            yield t, stream[t * size : (t + 1) * size]
 
 
-def dual(task, x, y, size, epochs, seed, mode="exact", clip=0.0, noise=0.0, lam=LAM):
+def dual(task, x, y, size, epochs, seed, mode="exact", clip=0.0, noise=0.0, lam=LAM, key=""):
     n, m = x.shape
     alpha, w = np.zeros(n), np.zeros(m)
     for t, rows in lots(n, size, epochs, seed, mode):
@@ -54,9 +53,11 @@ def dual(task, x, y, size, epochs, seed, mode="exact", clip=0.0, noise=0.0, lam=
             d = d / np.maximum(1, np.abs(d) / clip)
         move = d @ x[rows]
         if noise:
-            move += noise * np.array([normal(f"{seed}|w|{t}|0|{i}") for i in range(m)])
-            d = d + noise * np.array([normal(f"{seed}|a|0|{t}|{i}") for i in rows])
-        w, alpha[rows] = w + move, alpha[rows] + d
+            move += noise * np.array([normal(f"{key}|w|{t}|{i}") for i in range(m)])
+            for i in set(rows):
+                alpha[i] += noise * normal(f"{key}|a|{t}|{i}")
+        w = w + move
+        np.add.at(alpha, rows, d)
     return w, alpha
 
 
@@ -83,7 +84,8 @@ def test_private_dual_adds_the_stated_noise(small):
     run = RunParams(lambda_=LAM, lot_ratio=0.3, max_iter=2, seed="s", sigma=1.3, clip=0.2)
     got = fit(df, "ridge", "PSCD", run, fit_intercept=False)
     scale = 1.3 * math.sqrt(2 * 0.2**2)
-    w, alpha = dual(task_of("ridge"), x, y, 18, 2, "s", "poisson", 0.2, scale)
+    key = run.noise_key("dual_parallel", "ridge")
+    w, alpha = dual(task_of("ridge"), x, y, 18, 2, "s", "poisson", 0.2, scale, key=key)
     np.testing.assert_allclose(got.shared[0], w, atol=1e-9)
     np.testing.assert_allclose(alphas(got, 60), alpha, atol=1e-9)
     ledger = got.ledger.first()
@@ -175,7 +177,8 @@ def test_private_cocoa_repeats_itself(small):
 @pytest.mark.parametrize("solver", ["PSCD", "SGD", "COCOA"])
 def test_sparse_layout_equals_dense(small, solver):
     df, _, _ = small
-    run = RunParams(lambda_=LAM, lot_ratio=0.5, max_iter=1, out_iter=2, k=3, seed="s")
+    k = 3 if solver == "COCOA" else 1
+    run = RunParams(lambda_=LAM, lot_ratio=0.5, max_iter=1, out_iter=2, k=k, seed="s")
     dense = fit(df, "logistic", solver, run)
     sparse = fit(to_sparse(df), "logistic", solver, run)
     np.testing.assert_allclose(sparse.coef[0], dense.coef[0], atol=1e-10)
@@ -260,10 +263,11 @@ def test_target_epsilon_sets_the_noise(small):
 
 @pytest.mark.parametrize("changes", [
     {"sigma": 1.0, "clip": 0.0}, {"sigma": 1.0, "clip": -1}, {"lambda_": 0.0}, {"lot_ratio": 61},
+    {"sigma": 1.0, "clip": 0.2, "seed": "1"}, {"k": 4},
 ])
 def test_bad_parameters_are_refused(small, changes):
     df, _, _ = small
-    run = RunParams(**{"lambda_": LAM, "max_iter": 2, **changes})
+    run = RunParams(**{"lambda_": LAM, "max_iter": 2, "seed": "s", **changes})
     with pytest.raises(ValueError):
         fit(df, "ridge", "PSCD", run, fit_intercept=False)
 
@@ -271,7 +275,7 @@ def test_bad_parameters_are_refused(small, changes):
 def test_private_rows_must_be_short(small):
     df, _, _ = small
     long = df.withColumn("features", F.transform("features", lambda v: v * 2.0))
-    run = RunParams(lambda_=LAM, lot_ratio=0.5, max_iter=1, sigma=1.0, clip=0.2)
+    run = RunParams(lambda_=LAM, lot_ratio=0.5, max_iter=1, sigma=1.0, clip=0.2, seed="s")
     with pytest.raises(ValueError):
         fit(long, "ridge", "PSCD", run, fit_intercept=False)
     with pytest.raises(ValueError):
@@ -289,7 +293,8 @@ def test_segments_within_an_epoch_give_the_same_result(small, monkeypatch, mode,
     run = RunParams(lambda_=LAM, lot_ratio=0.3, max_iter=2, seed="s", sigma=0.4, clip=0.3)
     got = fit(df, "hinge", "PSCD", run, fit_intercept=False, mode=mode)
     scale = 0.4 * math.sqrt(2 * 0.3**2)
-    w, alpha = dual(task_of("hinge"), x, y, 18, 2, "s", mode, 0.3, scale)
+    key = run.noise_key("dual_parallel", "hinge")
+    w, alpha = dual(task_of("hinge"), x, y, 18, 2, "s", mode, 0.3, scale, key=key)
     np.testing.assert_allclose(got.shared[0], w, atol=1e-9)
     np.testing.assert_allclose(alphas(got, 60), alpha, atol=1e-9)
 
@@ -306,17 +311,91 @@ def test_wide_grids_are_trained_in_chunks(spark, small, monkeypatch):
         np.testing.assert_allclose(chunked.coef[run_id], coef, atol=1e-12)
 
 
-def test_sequential_training_takes_more_parts_when_one_is_too_large(small, monkeypatch):
-    from lotwise.plans import cocoa as cocoa_module
-
-    monkeypatch.setattr(cocoa_module, "PART_CELLS", 100)
+def test_sequential_training_takes_the_parts_it_is_given(small):
     df, x, y = small
-    run = RunParams(lambda_=LAM, max_iter=1, seed="s")
+    run = RunParams(lambda_=LAM, max_iter=1, seed="s", k=3)
     got = fit(df, "ridge", "SSCD", run, fit_intercept=False)
     w, _ = cocoa(task_of("ridge"), x, y, 3, 1, 1, 1.0, "s")
     np.testing.assert_allclose(got.shared[0], w, atol=1e-9)
 
 
+@pytest.mark.parametrize("ratio", [7, 25, 45, 60])
+def test_lots_span_epochs_and_leave_no_row_out(small, ratio):
+    df, x, y = small
+    run = RunParams(lambda_=LAM, lot_ratio=ratio, max_iter=3, seed="s")
+    got = fit(df, "ridge", "PSCD", run, fit_intercept=False)
+    w, alpha = dual(task_of("ridge"), x, y, ratio, 3, "s")
+    np.testing.assert_allclose(got.shared[0], w, atol=1e-10)
+    np.testing.assert_allclose(alphas(got, 60), alpha, atol=1e-10)
+    np.testing.assert_allclose(x.T @ alpha, w, atol=1e-10)
+
+
+@pytest.mark.parametrize("skip", [0, 3, 6])
+@pytest.mark.parametrize("few", [0, 64])
+def test_slices_after_skipped_rows(spark, monkeypatch, skip, few):
+    from lotwise.operators import split
+
+    monkeypatch.setattr(split, "FEW_LOTS", few)
+    df = spark.range(200).withColumnRenamed("id", "row_id")
+    got = {r["row_id"]: r["lot"] for r in split.slice_lots(df, 7, 200, "s", 1, skip=skip).collect()}
+    whole = (200 - skip) // 7
+    for place, i in enumerate(order(200, "s|1")):
+        lot = (place - skip) // 7
+        assert got[i] == (lot if 0 <= lot < whole else -1)
+
+
+@pytest.mark.parametrize("k", [1, 4, 16])
+def test_cocoa_noise_has_its_stated_size(small, k):
+    """The shared vector's noise is the sum of the parts' draws, at any number of parts."""
+    df, _, _ = small
+    wide = df.withColumn("features", F.concat("features", F.array(*[F.lit(0.0)] * 395)))
+    common = dict(lambda_=LAM, lot_ratio=1.0, max_iter=1, k=k, clip=0.1, seed="s")
+    noisy = fit(wide, "ridge", "COCOA", RunParams(sigma=1.0, **common), fit_intercept=False)
+    plain = fit(wide, "ridge", "COCOA", RunParams(**common), fit_intercept=False)
+    drawn = (noisy.shared[0] - plain.shared[0])[5:]
+    stated = math.sqrt(sum((4 * size**2 - 2) * 0.1**2 for size in part_sizes(60, k)))
+    assert drawn.std() == pytest.approx(stated, rel=0.15)
+
+
+def test_runs_do_not_share_noise(small):
+    df, _, _ = small
+    wide = df.withColumn("features", F.concat("features", F.array(*[F.lit(0.0)] * 395)))
+    draws = []
+    for changes in ({"lot_ratio": 1.0}, {"lot_ratio": 0.5}, {"lot_ratio": 1.0, "run_id": 1}, {"lot_ratio": 1.0, "lambda_": 0.1}):
+        run = RunParams(**{"lambda_": LAM, "max_iter": 1, "sigma": 1.0, "clip": 0.1, "seed": "s", **changes})
+        draws.append(fit(wide, "ridge", "SGD", run, fit_intercept=False).coef[run.run_id][5:])
+    assert np.abs(np.corrcoef(draws) - np.eye(4)).max() < 0.2
+
+
+def test_primal_coordinates_refuse_noise(small):
+    df, _, _ = small
+    with pytest.raises(ValueError):
+        fit(df, "ridge", "primal_cd", RunParams(sigma=1.0, clip=0.1, seed="s"), fit_intercept=False)
+
+
+def test_stopped_runs_keep_their_shared_vector(small):
+    df, x, _ = small
+    run = RunParams(lambda_=LAM, lot_ratio=0.5, max_iter=4, seed="s", gamma=40.0, sigma_p=1.0)
+    got = fit(df, "ridge", "PSCD", run, fit_intercept=False, validation=df, trace=True)
+    assert got.trace[-1][-1] == "stopped"
+    np.testing.assert_allclose(x.T @ alphas(got, 60), got.shared[0], rtol=1e-9)
+
+
+def test_private_training_with_an_intercept(small):
+    df, x, y = small
+    run = RunParams(lambda_=LAM, lot_ratio=1.0, max_iter=1, seed="s", sigma=1e-9, clip=5.0)
+    got = fit(df, "ridge", "PSCD", run, mode="exact")
+    rows = np.hstack((np.ones((60, 1)), x)) * math.sqrt(0.5)
+    w, _ = dual(task_of("ridge"), rows, y, 60, 1, "s", clip=5.0)
+    np.testing.assert_allclose(got.coef[0], math.sqrt(0.5) * w / (LAM * 60), atol=1e-6)
+    mixed = [run, RunParams(run_id=1, lambda_=LAM, lot_ratio=1.0, max_iter=1, seed="s")]
+    from lotwise.plans.fit import fit_runs
+
+    both = fit_runs(df, "ridge", "PSCD", mixed, mode="exact")
+    alone = fit(df, "ridge", "PSCD", mixed[1], mode="exact")
+    np.testing.assert_allclose(both.coef[1], alone.coef[1], atol=1e-12)
+
+
 def test_many_lots_per_epoch(small):
     """More lots than can be told apart by their last keys alone."""
     from lotwise.operators import split
