@@ -7,11 +7,15 @@ get their context: ``passage`` words to the right and to the left, as 32-bit nam
 sorted by the words to the right (then left); a suffix is compared with the NEAR before it and
 every match is extended both ways.  A match of ``passage`` words or more is reported with both its
 places; longer passages are the union of the matches along them.  The nearest suffix has the
-longest match to the right, but not always to the left; looking further back finds those too.
+longest match to the right, but not always to the left, so this is whole only where at most
+NEAR + 1 suffixes begin with the same GRAM words: these are all compared with each other.
 
-The order is range-partitioned with document and position as last keys, so a passage with any
-number of copies spreads over partitions; suffixes on both sides of a partition's edge are
-compared in a second step.
+Where more do (a line that many documents share), the passages themselves are grouped: each passage
+whose smallest run is such a frequent one is named by its words, and equal names are repeats.
+Equal passages have the same smallest run, so every passage is found in one of the two ways.
+
+The order is range-partitioned with document and position as last keys; suffixes on both sides of a
+partition's edge are compared in a second step.
 """
 
 import numpy as np
@@ -29,6 +33,7 @@ _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SAMPLES = "uid bigint, gram bigint, pos int"
 _SUFFIX = "right binary, left binary, uid bigint, pos int"
 _MATCH = "uid bigint, start int, end int, right binary, left binary, pos int"
+_WINDOW = "window bigint, uid bigint, start int"
 _ORDER = ("right", "left", "uid", "pos")
 
 
@@ -48,15 +53,25 @@ def repeated_passages(docs, passage=PASSAGE, key="doc_id", text="text"):
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     samples = rows.select("uid", "text").mapInArrow(lambda b: _sample(b, passage), _SAMPLES)
     grams = samples.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = samples.join(grams, "gram").groupBy("uid").agg(F.collect_set("pos").alias("at"))
-    suffixes = rows.select("uid", "text").join(shared, "uid").mapInArrow(lambda b: _suffixes(b, passage), _SUFFIX)
+    shared = samples.join(grams, "gram").groupBy("uid").agg(
+        F.collect_set(F.when(F.col("n") <= NEAR + 1, F.col("pos"))).alias("at"),
+        F.collect_set(F.when(F.col("n") > NEAR + 1, F.col("pos"))).alias("often"),
+    )
+    sampled = rows.select("uid", "text").join(shared, "uid")
+    suffixes = sampled.mapInArrow(lambda b: _suffixes(b, passage), _SUFFIX)
     ranked = suffixes.repartitionByRange(partitions, *_ORDER).sortWithinPartitions(*_ORDER)
-    matches = commit(ranked.mapInArrow(lambda b: _neighbours(b, passage), _MATCH), "matches")
+    windows = sampled.mapInArrow(lambda b: _windows(b, passage), _WINDOW)
+    windows = windows.repartition(partitions, "window").sortWithinPartitions("window")
+    matches = ranked.mapInArrow(lambda b: _neighbours(b, passage), _MATCH)
+    matches = commit(matches.unionByName(windows.mapInArrow(lambda b: _equal(b, passage), _MATCH)), "matches")
 
-    edges = matches.filter("right is not null").select(*_ORDER).repartition(1).sortWithinPartitions(*_ORDER)
+    # rows of a small partition are at both its edges; equal rows are never in two partitions
+    edges = matches.filter("right is not null").select(*_ORDER).distinct()
+    edges = edges.repartition(1).sortWithinPartitions(*_ORDER)
     crossing = edges.mapInArrow(lambda b: _neighbours(b, passage, edges=True), _MATCH)
     found = matches.unionByName(crossing).filter("right is null")
-    stretches = found.groupBy("uid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    span = F.shiftleft(F.col("start").cast("bigint"), 32) + F.col("end")
+    stretches = found.groupBy("uid").agg(F.sort_array(F.collect_set(span)).alias("spans"))
     stretches = stretches.select("uid", F.explode(_union("spans")).alias("s"))
     return rows.select("doc_id", "uid").join(stretches, "uid").select(
         F.col("doc_id").alias(key), "s.start", "s.end", (F.col("s.end") - F.col("s.start")).alias("words")
@@ -68,9 +83,7 @@ def _sample(batches, passage):
     for batch in batches:
         for piece in pieces(batch):
             words = Words.of(piece.column(piece.schema.get_field_index("text")))
-            at = words.run_starts(GRAM)
-            grams = np.full(len(words.name), _LAST)
-            grams[at] = words.run_names(GRAM)[at] if len(at) else grams[at]
+            at, grams = _grams(words)
             chosen = at[_smallest_of_some_window(grams, width)[at]]
             document = words.document()[chosen]
             uid = piece.column(piece.schema.get_field_index("uid")).to_numpy()
@@ -84,6 +97,14 @@ def _sample(batches, passage):
             )
 
 
+def _grams(words):
+    """Words at which GRAM words of a document begin, and the name of these for each word (_LAST: none)."""
+    at = words.run_starts(GRAM)
+    grams = np.full(len(words.name), _LAST)
+    grams[at] = words.run_names(GRAM)[at] if len(at) else grams[at]
+    return at, grams
+
+
 def _smallest_of_some_window(values, width):
     """Flags values that are the minimum of a window of ``width`` that holds them."""
     if len(values) < width:
@@ -121,6 +142,58 @@ def _suffixes(batches, passage):
             )
 
 
+def _windows(batches, passage):
+    """Passages whose smallest run of GRAM words is a frequent one, by name."""
+    width = passage - GRAM + 1
+    for batch in batches:
+        for piece in pieces(batch.filter(pa.compute.greater(pa.compute.list_value_length(batch["often"]), 0))):
+            column = {name: piece.column(i) for i, name in enumerate(piece.schema.names)}
+            words = Words.of(column["text"])
+            _, grams = _grams(words)
+            often = column["often"].flatten().to_numpy()
+            often = often + np.repeat(words.first[:-1], pa.compute.list_value_length(column["often"]).to_numpy())
+            often = often[often < len(grams)]
+            frequent = np.full(len(grams), _LAST)
+            frequent[often] = grams[often]
+            at, names = words.runs(passage)
+            hit = sliding(frequent, width, np.minimum)[at] == sliding(grams, width, np.minimum)[at]
+            document = words.document()[at[hit]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(names[hit].view(np.int64)),
+                    pa.array(column["uid"].to_numpy()[document]),
+                    pa.array((at[hit] - words.first[document]).astype(np.int32)),
+                ],
+                ["window", "uid", "start"],
+            )
+
+
+def _equal(batches, passage):
+    """Passages of a sorted partition that have an equal one; a batch's last row waits for the next."""
+    held, before = None, None
+    for batch in batches:
+        rows = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("window", "uid", "start")]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows)]
+        if not len(rows[0]):
+            continue
+        same = np.concatenate(([before is not None and before == rows[0][0]], rows[0][1:] == rows[0][:-1]))
+        yield _spans(*(x[:-1][same[:-1] | same[1:]] for x in rows[1:]), passage)
+        held, before = [x[-1:] for x in rows], rows[0][-2] if len(rows[0]) > 1 else before
+    if held is not None and before is not None and before == held[0][0]:
+        yield _spans(*held[1:], passage)
+
+
+def _spans(uid, start, passage):
+    none = pa.nulls(len(uid), pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(uid), pa.array(start), pa.array(start + np.int32(passage)), none, none, pa.nulls(len(uid), pa.int32()),
+        ],
+        ["uid", "start", "end", "right", "left", "pos"],
+    )
+
+
 def _matrix(contexts, passage):
     """Contexts as rows of ``passage`` words, and how many of these are theirs."""
     data = b"".join(x.ljust(4 * passage, b"\0") for x in contexts)
@@ -139,14 +212,14 @@ def _neighbours(batches, passage, edges=False):
 
     Equal rows are repeated rows of the input, but among ``edges`` they may be one row twice.
     """
-    held, first = None, True
+    held, seen = None, 0
     for batch in batches:
         batch = batch.select(list(_ORDER))
         if not len(batch):
             continue
-        if first:
-            yield _edges(batch.slice(0, NEAR))
-            first = False
+        if seen < NEAR:
+            yield _edges(batch.slice(0, NEAR - seen))
+            seen += len(batch)
         rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
         yield _matches(rows, 0 if held is None else len(held), passage, edges)
         held = rows.slice(max(0, len(rows) - NEAR)).combine_chunks().to_batches()[0]
@@ -190,10 +263,12 @@ def _edges(batch):
 
 
 def _union(spans):
-    """Spans as their union in order; the last span of the fold grows or a new one begins."""
+    """Sorted spans (start * 2**32 + end) as their union in order; the last span grows or a new one begins."""
     start = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"))
     merged = F.aggregate(
-        F.array_sort(spans),
+        F.transform(spans, lambda s: F.struct(
+            F.shiftright(s, 32).cast("int").alias("start"), s.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("end")
+        )),
         F.array(start),
         lambda done, s: F.when(
             s["start"] <= F.element_at(done, -1)["end"],

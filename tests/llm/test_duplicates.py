@@ -78,6 +78,23 @@ def test_repeated_passages(spark, corpus):
     assert got == expected
 
 
+def test_passages_that_end_or_begin_in_a_frequent_line(spark):
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line, notice = fresh(40), fresh(60)
+    lists = [fresh(30) + line + fresh(8) for _ in range(600)] + [fresh(20) + notice + fresh(20) for _ in range(60)]
+    for a, b, words in ((40, 570, 16), (100, 333, 30), (7, 8, 9)):
+        lists[a][30 - words : 30] = lists[b][30 - words : 30] = fresh(words)
+    lists[50][70:] = lists[500][70:] = fresh(12)
+    lists[610][5:20] = lists[650][5:20] = fresh(15)
+    expected = covered(lists, 50)
+    got = [[False] * len(w) for w in lists]
+    rows = [(i, " ".join(w)) for i, w in enumerate(lists)]
+    for row in repeated_passages(docs(spark, rows)).collect():
+        got[row.doc_id][row.start : row.end] = [True] * (row.end - row.start)
+    assert got == expected and all(any(expected[i]) for i in (40, 570, 100, 333, 50, 500))
+
+
 def jaccard(a, b, weight):
     shared = sum(min(a[s], b[s]) * weight(s) for s in a.keys() & b.keys())
     return shared / (sum(n * weight(s) for s, n in (a + b).items()) - shared)
