@@ -1,8 +1,9 @@
 """Near duplicates: consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 A shingle is five consecutive words (a shorter text is one shingle); its weight in a text is its
-count times ``ln(1 + N / max(df, RARE * N))``: shingles in at most RARE of all N documents weigh
-alike, frequent ones less.  A text is sampled SAMPLES times by improved consistent weighted
+count times ``ln(1 + N / df)``, df of all N documents hold it.  Document frequencies are summed in
+buckets of names: stretches of documents send their sorted names and get the sums back in that
+order, so names travel once and nothing passes through the driver.  A text is sampled SAMPLES times by improved consistent weighted
 sampling: two texts draw the same (shingle, level) with the probability of their weighted Jaccard
 similarity.  ROWS draws make a band; texts that share a band are candidates; every candidate pair
 kept as a link has its exact weighted Jaccard similarity computed.  At 0.8 a pair is missed by all
@@ -29,9 +30,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 SAMPLES = BANDS * ROWS
-RARE = 0.1
-CENSUS_SHINGLES = 1 << 20
-LOOKUP = 1 << 20
+#: share of the documents up to which shingles weigh alike: none, every frequency is counted
+RARE = 0.0
+STRETCH_BYTES = 1 << 22
 POOL = 1 << 14
 GATHER = 16_384
 LISTED = 64
@@ -39,8 +40,9 @@ PAIRS = 512
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
-_COUNTS = "shingle bigint, df bigint"
-_SKETCH = "doc_id bigint, digest binary, weight double, bands array<bigint>"
+_NAMES = "bucket int, stretch int, names binary, dfs binary"
+_SUMS = "stretch int, bucket int, dfs binary"
+_SKETCH = "doc_id bigint, digest binary, weight double, bands array<bigint>, dfs binary"
 _WEIGHTS = "node binary, shingles binary, uneven binary"
 _ENTRY = "node binary, shingle bigint, weight double"
 _PAIR = "a binary, b binary, similarity double"
@@ -85,7 +87,7 @@ def _classified(docs, similarity, key, text):
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     idf = _Idf(rows)
     named = rows.withColumn("digest", _digest(F.col("text")))
-    sketches = commit(named.mapInArrow(lambda b: _sketch(b, idf), _SKETCH), "sketches")
+    sketches = commit(_sketches(named, idf), "sketches")
     worded = sketches.filter("bands is not null")
     texts = worded.groupBy("digest").agg(
         F.min("doc_id").alias("sample"), F.first("weight").alias("weight"), F.first("bands").alias("bands")
@@ -100,12 +102,12 @@ def _classified(docs, similarity, key, text):
     shared = shared.join(pivots, ["band", "value"])
     pairs = shared.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
     pairs = commit(pairs.filter("a <> b").distinct(), "pairs")
-    links = commit(_verify(pairs, named, texts, idf).filter(F.col("similarity") >= similarity), "links")
+    links = commit(_verify(pairs, named, sketches, texts, idf).filter(F.col("similarity") >= similarity), "links")
     found = commit(components(links), "components")
 
-    rest = commit(_across(shared, found, pairs, named, texts, idf, similarity), "across")
+    rest = commit(_across(shared, found, pairs, named, sketches, texts, idf, similarity), "across")
     if not rest.isEmpty():
-        more = _verify(rest, named, texts, idf).filter(F.col("similarity") >= similarity)
+        more = _verify(rest, named, sketches, texts, idf).filter(F.col("similarity") >= similarity)
         links = commit(links.unionByName(more), "links")
         found = commit(components(links), "components")
 
@@ -161,76 +163,67 @@ def _counted(words):
 
 
 class _Idf:
-    """Weights of shingles, from counts over all documents.
-
-    Only shingles in more than RARE of the documents weigh less than the rest, so only these are
-    kept: no more than (mean shingles per document) / RARE.  One that is frequent overall is
-    frequent in some stretch of documents; those are the candidates, counted in blocks.
-    """
+    """Weights of shingles from the numbers of documents that hold them."""
 
     def __init__(self, rows):
-        self.n = rows.count()
-        floor = max(1.0, RARE * self.n)
-        self.top = float(np.log1p(self.n / floor))
-        candidates = commit(_frequent_somewhere(rows), "frequent")
-        blocks = -(-2 * candidates.count() // LOOKUP)
-        found = {}
-        for block in range(blocks):
-            part = candidates.filter(F.pmod(F.xxhash64("shingle"), F.lit(blocks)) == block)
-            names = np.sort(np.array([r[0] for r in part.collect()], dtype=np.int64).view(np.uint64))
-            found |= {r[0]: r[1] for r in _document_counts(rows, names).filter(F.col("df") > floor).collect()}
-        names = np.array(sorted(found), dtype=np.int64)
-        names = names[np.argsort(names.view(np.uint64))]
-        self.names = names.view(np.uint64)
-        self.idf = np.array([np.log1p(self.n / found[int(x)]) for x in names])
-
-    def weights(self, names):
-        out = np.full(len(names), self.top)
-        if len(self.names):
-            at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
-            hit = self.names[at] == names
-            out[hit] = self.idf[at[hit]]
+        self.n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        self.floor = max(1.0, RARE * self.n)
+        self.top = float(np.log1p(self.n / self.floor))
+        self.stretches = int(size) // STRETCH_BYTES + 1
+
+    def weights(self, df):
+        out = np.log1p(self.n / np.maximum(df, self.floor))
+        out[df <= self.floor] = self.top
         return out
 
 
-def _frequent_somewhere(rows):
-    """Shingles in more than RARE of the documents of some stretch of them."""
-
-    def flush(seen, documents):
-        names, df = np.unique(np.concatenate(seen), return_counts=True)
-        names = names[df > RARE * documents]
-        return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64))], ["shingle"])
-
-    def scan(batches):
-        seen, documents, held = [], 0, 0
-        for batch in batches:
-            for piece in pieces(batch):
-                _, names, _ = _counted(Words.of(piece.column(0)))
-                seen.append(names)
-                documents, held = documents + len(piece), held + len(names)
-                if held >= CENSUS_SHINGLES:
-                    yield flush(seen, documents)
-                    seen, documents, held = [], 0, 0
-        if held:
-            yield flush(seen, documents)
-
-    return rows.select("text").mapInArrow(scan, "shingle bigint").distinct()
-
-
-def _document_counts(rows, names):
-    """Documents that hold each of ``names`` (sorted)."""
+def _sketches(named, idf):
+    """Sketch of every row, with the document frequencies of its shingles in order of their names."""
+    parts = idf.stretches
+    of = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(parts)).cast("int")
+    rows = named.select("doc_id", "digest", "text", of.alias("stretch"))
+    names = rows.groupBy("stretch").applyInArrow(lambda t: _stretch_names(t, parts), _NAMES)
+    sums = names.groupBy("bucket").applyInArrow(_sums, _SUMS)
+    return rows.groupBy("stretch").cogroup(sums.groupBy("stretch")).applyInArrow(lambda t, u: _sketch(t, u, idf), _SKETCH)
+
+
+def _held(table):
+    """Different shingles of a stretch in order, and how many of its documents hold each."""
+    found = [np.zeros(0, dtype=np.uint64)]
+    for batch in table.select(["text"]).to_batches():
+        found += [_counted(Words.of(piece.column(0)))[1] for piece in pieces(batch)]
+    return np.unique(np.concatenate(found), return_counts=True)
+
+
+def _stretch_names(table, parts):
+    names, df = _held(table)
+    bucket = (names >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    cuts = np.flatnonzero(np.append(bucket[:1] == bucket[:1], bucket[1:] != bucket[:-1])).tolist()
+    ranges = list(zip(cuts, [*cuts[1:], len(names)]))
+    df = df.astype(np.int64)
+    return pa.Table.from_arrays(
+        [
+            pa.array(bucket[cuts].astype(np.int32)),
+            pa.array(np.full(len(cuts), table.column("stretch")[0].as_py(), dtype=np.int32)),
+            pa.array([names[a:b].tobytes() for a, b in ranges], pa.binary()),
+            pa.array([df[a:b].tobytes() for a, b in ranges], pa.binary()),
+        ],
+        ["bucket", "stretch", "names", "dfs"],
+    )
 
-    def scan(batches):
-        df = np.zeros(len(names), dtype=np.int64)
-        for batch in batches:
-            for piece in pieces(batch):
-                _, found, _ = _counted(Words.of(piece.column(0)))
-                at = np.minimum(np.searchsorted(names, found), len(names) - 1)
-                np.add.at(df, at[names[at] == found], 1)
-        hit = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(names[hit].view(np.int64)), pa.array(df[hit])], ["shingle", "df"])
 
-    return rows.select("text").mapInArrow(scan, _COUNTS).groupBy("shingle").agg(F.sum("df").alias("df"))
+def _sums(table):
+    """For each stretch the documents everywhere that hold its names of one bucket, in their order."""
+    listed = [np.frombuffer(x, np.uint64) for x in table.column("names").to_pylist()]
+    df = np.frombuffer(b"".join(table.column("dfs").to_pylist()), np.int64)
+    names, place = np.unique(np.concatenate(listed), return_inverse=True)
+    total = np.zeros(len(names), dtype=np.int64)
+    np.add.at(total, place, df)
+    sums = np.split(total[place], np.cumsum([len(x) for x in listed])[:-1])
+    return pa.Table.from_arrays(
+        [table.column("stretch"), table.column("bucket"), pa.array([x.tobytes() for x in sums], pa.binary())],
+        ["stretch", "bucket", "dfs"],
+    )
 
 
 class _Draws:
@@ -293,34 +286,47 @@ def _draws(top):
     return _DRAWS[top]
 
 
-def _sketch(batches, idf):
+def _sketch(table, sums, idf):
+    held, _ = _held(table)
+    order = np.argsort(sums.column("bucket").to_numpy())
+    listed = sums.column("dfs").to_pylist()
+    total = np.frombuffer(b"".join(listed[i] for i in order), np.int64)
+    sketched = [p for batch in table.to_batches() for p in pieces(batch)]
+    schema = pa.schema({
+        "doc_id": pa.int64(), "digest": pa.binary(), "weight": pa.float64(),
+        "bands": pa.list_(pa.int64()), "dfs": pa.binary(),
+    })
+    return pa.Table.from_batches([_sketch_piece(p, held, total, idf).cast(schema) for p in sketched], schema)
+
+
+def _sketch_piece(piece, held, total, idf):
     draws = _draws(idf.top)
-    for batch in batches:
-        for piece in pieces(batch):
-            words = Words.of(piece.column(piece.schema.get_field_index("text")))
-            owner, names, count = _counted(words)
-            weights = idf.weights(names) * count
-            cuts = np.searchsorted(owner, np.arange(len(piece) + 1))
-            sums = np.concatenate(([0.0], np.cumsum(weights)))
-            bands = []
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    bands.append(None)
-                    continue
-                sample = _draw(draws, names[a:b], weights[a:b], idf.top).reshape(BANDS, ROWS)
-                name = np.zeros(BANDS, dtype=np.uint64)
-                for r in range(ROWS):
-                    name = mix(name * _SPREAD + sample[:, r])
-                bands.append(name.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    piece.column(piece.schema.get_field_index("doc_id")),
-                    piece.column(piece.schema.get_field_index("digest")),
-                    pa.array(sums[cuts[1:]] - sums[cuts[:-1]]),
-                    pa.array(bands, pa.list_(pa.int64())),
-                ],
-                ["doc_id", "digest", "weight", "bands"],
-            )
+    column = {name: piece.column(i) for i, name in enumerate(piece.schema.names)}
+    owner, names, count = _counted(Words.of(column["text"]))
+    df = total[np.searchsorted(held, names)]
+    weights = idf.weights(df) * count
+    cuts = np.searchsorted(owner, np.arange(len(piece) + 1))
+    sums = np.concatenate(([0.0], np.cumsum(weights)))
+    bands = []
+    for a, b in zip(cuts, cuts[1:]):
+        if a == b:
+            bands.append(None)
+            continue
+        sample = _draw(draws, names[a:b], weights[a:b], idf.top).reshape(BANDS, ROWS)
+        name = np.zeros(BANDS, dtype=np.uint64)
+        for r in range(ROWS):
+            name = mix(name * _SPREAD + sample[:, r])
+        bands.append(name.view(np.int64))
+    return pa.RecordBatch.from_arrays(
+        [
+            column["doc_id"],
+            column["digest"],
+            pa.array(sums[cuts[1:]] - sums[cuts[:-1]]),
+            pa.array(bands, pa.list_(pa.int64())),
+            pa.array([df[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+        ],
+        ["doc_id", "digest", "weight", "bands", "dfs"],
+    )
 
 
 def _buckets(texts):
@@ -330,27 +336,31 @@ def _buckets(texts):
     )
 
 
-def _verify(pairs, named, texts, idf):
+def _verify(pairs, named, sketches, texts, idf):
     """Exact weighted Jaccard similarity of pairs of texts."""
-    weighed = _weighed(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), named, texts, idf)
+    weighed = _weighed(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), named, sketches, texts, idf)
     left = weighed.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("uneven").alias("ua"))
     right = weighed.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("uneven").alias("ub"))
     return pairs.join(left, "a").join(right, "b").mapInArrow(lambda b: _compare(b, np.float32(idf.top)), _PAIR)
 
 
-def _weighed(nodes, named, texts, idf):
+def _weighed(nodes, named, sketches, texts, idf):
     """(node, shingles, weights) of texts, sorted by shingle; the text is read at one of its copies."""
     wanted = texts.join(nodes, F.col("digest") == F.col("node"))
     wanted = wanted.select(F.col("digest").alias("d"), F.col("sample").alias("s"))
     source = named.join(wanted, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("s")), "left_semi")
 
+    counted = sketches.join(nodes, F.col("digest") == F.col("node"), "left_semi")
+    counted = counted.groupBy("digest").agg(F.first("dfs").alias("dfs"))
     top = np.float32(idf.top)
 
     def weigh(batches):
         for batch in batches:
             for piece in pieces(batch):
                 owner, names, count = _counted(Words.of(piece.column(piece.schema.get_field_index("text"))))
-                weights = (idf.weights(names) * count).astype(np.float32)
+                dfs = piece.column(piece.schema.get_field_index("dfs")).to_pylist()
+                df = np.frombuffer(b"".join(dfs), np.int64)
+                weights = (idf.weights(df) * count).astype(np.float32)
                 cuts = np.searchsorted(owner, np.arange(len(piece) + 1)).tolist()
                 packed = [_pack(names[a:b], weights[a:b], top) for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays(
@@ -362,7 +372,7 @@ def _weighed(nodes, named, texts, idf):
                     ["node", "shingles", "uneven"],
                 )
 
-    weighed = source.select("digest", "text").mapInArrow(weigh, _WEIGHTS)
+    weighed = source.select("digest", "text").join(counted, "digest").mapInArrow(weigh, _WEIGHTS)
     return weighed.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("uneven").alias("uneven"))
 
 
@@ -407,7 +417,7 @@ def _weighted_jaccard(sa, wa, sb, wb):
     return shared / (wa.sum(dtype=np.float64) + wb.sum(dtype=np.float64) - shared)
 
 
-def _across(shared, found, tried, named, texts, idf, similarity):
+def _across(shared, found, tried, named, sketches, texts, idf, similarity):
     """Untried pairs of texts in different components of one bucket that share a prefix shingle.
 
     A pair is formed at its rarest common shingle, and only if what weighs no rarer could make a
@@ -420,7 +430,7 @@ def _across(shared, found, tried, named, texts, idf, similarity):
     members = commit(members.select("node", "weight", "component").distinct(), "members")
 
     top = np.float32(idf.top)
-    weighed = _weighed(members.select("node"), named, texts, idf)
+    weighed = _weighed(members.select("node"), named, sketches, texts, idf)
     entries = commit(weighed.mapInArrow(lambda b: _entries(b, top), _ENTRY), "entries")
     df = entries.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
     entries = entries.join(df, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))

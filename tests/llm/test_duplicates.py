@@ -131,6 +131,22 @@ def test_near_duplicates_match_all_pairs(spark):
     assert sorted(kept) == sorted({root(i) for i in parent})
 
 
+def test_unique_text_weighs_more_than_lines_of_a_few_percent(spark):
+    """5 % of the documents hold a notice: two of them with 20 own words each are alike only without the weights."""
+    rng = random.Random(13)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    notice, story = fresh(300), fresh(300)
+    lists = [notice + fresh(20) for _ in range(20)] + [fresh(60) for _ in range(378)] + [story + fresh(20), story + fresh(4)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(lists)]
+    counts = [collections.Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for w in lists]
+    df = collections.Counter(s for c in counts for s in c)
+    true = lambda s: math.log1p(len(rows) / df[s])
+    assert jaccard(counts[0], counts[1], lambda s: 1.0) >= 0.8 > jaccard(counts[0], counts[1], true)
+    assert jaccard(counts[-1], counts[-2], true) >= 0.8
+    found = {r.doc_id: r.class_id for r in near_duplicates(docs(spark, rows)).collect()}
+    assert found == {**{i: i for i in range(399)}, 399: 398}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, j) for j in range(101, 140)] + [(139, 200), (7, 7)]
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
