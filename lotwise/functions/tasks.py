@@ -5,6 +5,8 @@ the dual value ``alpha`` and ``sq = |x|^2``; none needs the feature vector itsel
 forms take NumPy arrays of the same quantities and serve the training kernels.
 """
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -47,6 +49,13 @@ class Task:
     def block_factor(self, z, y):
         raise NotImplementedError
 
+    def step(self, z, y, alpha, sq, lam_n, sigma_p):
+        """``block_delta`` of one row, in plain numbers."""
+        raise NotImplementedError
+
+    def _box(self, value):
+        return min(max(value, self.box), 1.0 - self.box)
+
     def _boxed(self, alpha, y):
         return np.clip(y * alpha, self.box, 1.0 - self.box)
 
@@ -77,6 +86,9 @@ class Ridge(Task):
     def block_factor(self, z, y):
         return z - y
 
+    def step(self, z, y, alpha, sq, lam_n, sigma_p):
+        return (y - z / lam_n - alpha) / (1.0 + sq * (sigma_p / lam_n))
+
 
 class Logistic(Task):
     name = "logistic"
@@ -113,6 +125,12 @@ class Logistic(Task):
     def block_factor(self, z, y):
         return np.exp(-np.logaddexp(0.0, -z)) - (y > 0)
 
+    def step(self, z, y, alpha, sq, lam_n, sigma_p):
+        a = self._box(y * alpha)
+        slope = y * math.log(a / (1.0 - a)) + z / lam_n
+        curvature = 1.0 / (a * (1.0 - a)) + sq * (sigma_p / lam_n)
+        return y * (self._box(y * (y * a - slope / curvature)) - a)
+
 
 class Hinge(Task):
     name = "hinge"
@@ -148,6 +166,12 @@ class Hinge(Task):
     def block_factor(self, z, y):
         return np.where(y * z < 1.0, -y, 0.0)
 
+    def step(self, z, y, alpha, sq, lam_n, sigma_p):
+        a = self._box(y * alpha)
+        curvature = sq * sigma_p
+        goal = 1.0 if curvature == 0.0 else min(1.0, a + y * (lam_n * y - z) / curvature)
+        return y * (self._box(max(0.0, goal)) - a)
+
 
 TASKS = {task.name: task for task in (Ridge, Logistic, Hinge)}
 # The short names of the three applications.

@@ -260,14 +260,48 @@ def poisson_lots(df, lot_size, n, steps, seed):
     return df.withColumn("lots", joined)
 
 
+# Up to this many parts are cut out of the buckets; more are numbered by full ranks of the keys.
+CUT_PARTS = 16**BUCKET_DIGITS
+
+
 def assign_partitions(df, k, seed):
-    """Random near-equal parts 0..k-1; the first N mod k parts are one row larger."""
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    small = F.floor(n / F.lit(k))
-    large = n % F.lit(k)
-    at = F.col("rn") - 1
+    """Random near-equal parts 0..k-1; the first N mod k parts are one row larger.
+
+    Parts end at positions of the random order.  A bucket that no end falls into belongs to one part;
+    the others are ranked, keys only, to find the keys at which parts end.  Features are not moved.
+    """
+    keys = _keyed(df.select("row_id"), seed)
+    if k > CUT_PARTS:
+        n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+        ranked = random_rank(df.select("row_id"), seed)
+        numbered = ranked.select("row_id", _part_of(F.col("rn") - 1, n, k).alias("part"))
+        return df.join(numbered, "row_id")
+    starts = _bucket_starts(keys).withColumn("_total", F.sum("_n").over(Window.partitionBy()))
+    part_of = lambda at: _part_of(at, F.col("_total"), k)
+    starts = starts.withColumns({"_first": part_of(F.col("_start")), "_last": part_of(F.col("_start") + F.col("_n") - 1)})
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key"))
+    cut = starts.where(F.col("_first") < F.col("_last"))
+    cuts = (
+        keys.join(F.broadcast(cut), "_bucket")
+        .withColumn("rn", F.col("_start") + inside)
+        .where(part_of(F.col("rn") - 1) < part_of(F.col("rn")))
+        .groupBy("_bucket")
+        .agg(F.collect_list("_key").alias("_cuts"))
+    )
+    table = starts.select("_bucket", "_first").join(cuts, "_bucket", "left")  # 65,536 rows at most
+    passed = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_key"))), F.lit(0))
+    return (
+        _keyed(df, seed)
+        .join(F.broadcast(table), "_bucket")
+        .withColumn("part", (F.col("_first") + F.when(F.col("_cuts").isNull(), 0).otherwise(passed)).cast("int"))
+        .drop("_key", "_bucket", "_first", "_cuts")
+    )
+
+
+def _part_of(at, n, k):
+    """Part of the row at a place (from 0) of the random order of n rows."""
+    small, large = F.floor(n / F.lit(k)), n % F.lit(k)
     in_large = large * (small + 1)
-    part = F.when(at < in_large, F.floor(at / (small + 1))).otherwise(
+    return F.when(at < in_large, F.floor(at / (small + 1))).otherwise(
         large + F.floor((at - in_large) / F.greatest(small, F.lit(1)))
-    )
-    return random_rank(df, seed).withColumn("part", part.cast("int")).drop("rn")
+    ).cast("int")

@@ -6,14 +6,17 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotwise.functions.tasks import task_of
 from lotwise.operators import privacy
 from lotwise.operators.encode import add_intercept
-from lotwise.operators.metrics import STOP_FACTOR
+from lotwise.operators.metrics import STOP_FACTOR, pending_runs
 from lotwise.operators.objective import max_row_norm, score
+from lotwise.operators.split import sample_rows
 from lotwise.operators.update import (
     delta_theta_logistic,
     delta_theta_ridge,
@@ -21,9 +24,10 @@ from lotwise.operators.update import (
 )
 from lotwise.plans import kernels
 from lotwise.plans.cocoa import train_cocoa
-from lotwise.plans.lots import MODEL_CELLS, TrainingTable, train_group, training_table
+from lotwise.plans.lots import MODEL_CELLS, TrainingTable, narrow, train_group, training_table
 from lotwise.plans.params import PARAM_SCHEMA, RunParams, runs_of
 from lotwise.sources.scratch import commit, scratch_path
+from lotwise.sources.writers import write_trace
 
 # The short solver names.
 SOLVER_ALIASES = {
@@ -44,6 +48,7 @@ TRACE_SCHEMA = T.StructType([
     T.StructField("accuracy", T.DoubleType()),
     T.StructField("ms", T.DoubleType()),
     T.StructField("status", T.StringType()),
+    T.StructField("reason", T.StringType()),
 ])
 COEF_SCHEMA = T.StructType([
     T.StructField("run_id", T.LongType()),
@@ -74,12 +79,7 @@ class FitResult:
 
     def coef_frame(self):
         """Frame ``(run_id, idx, value)``."""
-        runs = sorted(self.coef)
-        return self.spark.createDataFrame(pa.table({
-            "run_id": np.repeat(np.array(runs, dtype=np.int64), [len(self.coef[r]) for r in runs]),
-            "idx": np.concatenate([np.arange(len(self.coef[r]), dtype=np.int32) for r in runs]),
-            "value": np.concatenate([self.coef[r] for r in runs]),
-        }), COEF_SCHEMA)
+        return coef_rows(self.spark, self.coef)
 
     def trace_frame(self):
         return self.spark.createDataFrame(self.trace, TRACE_SCHEMA)
@@ -98,15 +98,33 @@ class FitResult:
         return evaluation_frame(rows, self.task, models, order)
 
 
+def coef_rows(spark, models):
+    """Frame ``(run_id, idx, value)`` of NumPy vectors by run."""
+    runs = sorted(models)
+    if not runs:
+        return spark.createDataFrame([], COEF_SCHEMA)
+    return spark.createDataFrame(pa.table({
+        "run_id": np.repeat(np.array(runs, dtype=np.int64), [len(models[r]) for r in runs]),
+        "idx": np.concatenate([np.arange(len(models[r]), dtype=np.int32) for r in runs]),
+        "value": np.concatenate([np.asarray(models[r], dtype=float) for r in runs]),
+    }), COEF_SCHEMA)
+
+
+def _evaluation_sums(frames, task, models):
+    """Sums of loss, error and confusion per run and side, from one pass over all frames."""
+    rows = None
+    for side, df in enumerate(frames):
+        vectors = ["features"] if "features" in df.columns else ["indices", "values"]
+        one = df.select(F.lit(side).alias("side"), F.col("y").cast("double").alias("y"), *vectors)
+        rows = one if rows is None else rows.unionByName(one)
+    work = kernels.evaluate_rows(task, models, models.shape[1], len(frames))
+    names = ["n", "loss", "sq_error", "tp", "fp", "fn", "tn"]
+    return rows.mapInArrow(work, kernels.EVAL_SCHEMA).groupBy("side", "run").agg(*[F.sum(c).alias(c) for c in names])
+
+
 def evaluation_frame(df, task, models, run_ids):
     """Loss, error and confusion-based metrics per run: one pass serves all models."""
-    vectors = ["features"] if "features" in df.columns else ["indices", "values"]
-    work = kernels.evaluate_rows(task, models, models.shape[1])
-    partial = df.select(F.col("y").cast("double").alias("y"), *vectors).mapInArrow(
-        work, kernels.EVAL_SCHEMA
-    )
-    names = ["n", "loss", "sq_error", "tp", "fp", "fn", "tn"]
-    sums = partial.groupBy("run").agg(*[F.sum(c).alias(c) for c in names])
+    sums = _evaluation_sums([df], task, models)
     spread = df.agg((F.var_pop(F.col("y").cast("double")) * F.count(F.lit(1))).alias("t")).scalar()
     ids = F.array(*[F.lit(int(r)).cast("bigint") for r in run_ids])
 
@@ -147,7 +165,7 @@ def releases(run, n, solver, mode):
 
 
 def _with_noise(spark, runs, n, solver, mode_of):
-    """Noise scale of every run that names a target epsilon, and the ledger of all runs."""
+    """Noise scale of every run that names a target epsilon; None where no noise meets it."""
     wanted = [r for r in runs if r.eps > 0]
     found = {}
     if wanted:
@@ -158,9 +176,6 @@ def _with_noise(spark, runs, n, solver, mode_of):
         targets = spark.createDataFrame(rows, PARAM_SCHEMA)
         calibrated = privacy.calibrate_sigma(targets, privacy.TRAINING_ORDERS)
         found = {r["run_id"]: r["sigma"] for r in calibrated.select("run_id", "sigma").collect()}
-        missed = sorted(run for run, sigma in found.items() if sigma is None)
-        if missed:
-            raise ArithmeticError(f"no noise meets the target epsilon of runs {missed}")
     return [replace(r, sigma=found.get(r.run_id, r.sigma)) for r in runs]
 
 
@@ -174,29 +189,44 @@ def ledger_of(spark, runs, n, solver, mode_of):
     return spark.createDataFrame(rows, schema)
 
 
-def _check_private(table, runs, solver):
+def _refusals(table, runs, solver):
+    """Why a run cannot be trained, by run."""
+    found = {}
     for r in runs:
-        r.check()
-        if solver in ("dual_parallel", "sgd", "primal_cd") and r.k != 1:
-            raise ValueError("K is the number of parts of CoCoA and of sequential training only")
-        if solver == "primal_cd" and r.private:
-            raise ValueError("primal coordinates have no private form: steps are not clipped")
-    if any(r.private for r in runs) and solver != "sgd":
+        try:
+            r.check()
+            if solver in ("dual_parallel", "sgd"):
+                r.lot_size(table.n)
+            if solver in ("dual_parallel", "sgd", "primal_cd") and r.k != 1:
+                raise ValueError("K is the number of parts of CoCoA and of sequential training only")
+            if solver == "primal_cd" and r.private:
+                raise ValueError("primal coordinates have no private form: steps are not clipped")
+        except ValueError as refused:
+            found[r.run_id] = refused
+    private = [r for r in runs if r.private and r.run_id not in found]
+    if private and solver != "sgd":
         longest = max_row_norm(table.df).first()[0]
         if longest > 1.0 + NORM_SLACK:
-            raise ValueError(
+            refused = ValueError(
                 f"private dual training needs rows of length at most 1 (longest: {longest:.6g}); "
                 "apply row_l2_normalize first"
             )
+            found.update({r.run_id: refused for r in private})
+    return found
 
 
 class _Watch:
-    """Per-epoch cost and validation metric of a group, with the two stopping rules."""
+    """Per-epoch cost and validation metric of a group, with the two stopping rules.
+
+    One pass over both tables gives a line per run.  A line that closes a run says so; ``sink``, if
+    given, gets the epoch's lines and the models of the runs that they close.
+    """
 
-    def __init__(self, table, task, solver, runs, validation, trace):
+    def __init__(self, table, task, solver, runs, last, validation, trace, factor=1.0, sink=None):
         self.table, self.task, self.solver, self.runs = table, task, solver, runs
-        self.validation, self.trace = validation, trace
-        self.first = {}
+        self.last, self.validation, self.trace = last, validation, trace
+        self.factor, self.sink = factor, sink
+        self.first, self.closed = {}, set()
         self.start = time.time()
 
     def coef(self, models):
@@ -206,33 +236,44 @@ class _Watch:
 
     def __call__(self, epoch, models):
         coef = self.coef(models)
-        ids = [r.run_id for r in self.runs]
-        train = {
-            r["run_id"]: r for r in evaluation_frame(self.table.df, self.task, coef, ids).collect()
-        }
-        held = train
-        if self.validation is not None:
-            frame = evaluation_frame(self.validation, self.task, coef, ids)
-            held = {r["run_id"]: r for r in frame.collect()}
-        active = []
+        frames = [self.table.df] + ([] if self.validation is None else [self.validation])
+        sums = {(r["side"], r["run"]): r for r in _evaluation_sums(frames, self.task, coef).collect()}
+        ms = (time.time() - self.start) * 1000.0
+        lines, closing, active = [], {}, []
         for i, run in enumerate(self.runs):
-            cost = train[run.run_id]["loss"] + run.lambda_ / 2.0 * float(coef[i] @ coef[i])
-            row = held[run.run_id] if self.validation is not None else None
-            mse = None if row is None or self.task.classifier else row["mse"]
-            hit = row["accuracy"] if row is not None and self.task.classifier else None
+            train, held = sums[0, i], sums.get((1, i))
+            held = held if held and held["n"] else None
+            cost = train["loss"] / train["n"] + run.lambda_ / 2.0 * float(coef[i] @ coef[i])
+            mse = None if held is None or self.task.classifier else held["sq_error"] / held["n"]
+            hit = (held["tp"] + held["tn"]) / held["n"] if held is not None and self.task.classifier else None
             first = self.first.setdefault(run.run_id, mse)
-            broken = not math.isfinite(cost)
-            stopped = broken or (mse is not None and mse > STOP_FACTOR * first)
-            ms = (time.time() - self.start) * 1000.0
-            status = "stopped" if stopped else "running"
-            self.trace.append((int(run.run_id), int(epoch), float(cost), mse, hit, ms, status))
-            active.append(not stopped)
+            reason = None
+            if not math.isfinite(cost):
+                reason = "the cost is not finite"
+            elif mse is not None and mse > STOP_FACTOR * first:
+                reason = f"the error exceeds {STOP_FACTOR:g} times the first"
+            status = "stopped" if reason else "complete" if epoch >= self.last else "running"
+            if run.run_id not in self.closed:
+                lines.append((int(run.run_id), int(epoch), float(cost), mse, hit, ms, status, reason))
+                if status != "running":
+                    closing[run.run_id] = self.factor * coef[i]
+                    self.closed.add(run.run_id)
+            active.append(reason is None)
+        self.trace += lines
+        if self.sink:
+            self.sink(lines, closing)
         return np.array(active)
 
 
-def fit_runs(df, task, solver, runs, fit_intercept=True, mode=None, validation=None, trace=False):
+def fit_runs(
+    df, task, solver, runs, fit_intercept=True, mode=None, validation=None, trace=False, keep_going=False, sink=None,
+):
     """Train every run.  Runs with the same lots share their passes; wide groups are chunked so
-    that the models in flight stay within a fixed size."""
+    that the models in flight stay within a fixed size.
+
+    A run that cannot be trained raises its error; with ``keep_going`` it gets a line ``stopped`` in
+    the trace, with the reason, and the others are trained.
+    """
     task = task_of(task)
     solver = SOLVER_ALIASES.get(solver, solver)
     if solver not in SOLVERS:
@@ -241,34 +282,46 @@ def fit_runs(df, task, solver, runs, fit_intercept=True, mode=None, validation=N
     if shorten and len({r.private for r in runs}) == 2:
         # Rows are shortened for private runs only, so these have their own passes.
         sides = [[r for r in runs if r.private is private] for private in (False, True)]
-        parts = [fit_runs(df, task, solver, s, fit_intercept, mode, validation, trace) for s in sides]
-        return _joined(runs, *parts)
+        rest = (fit_intercept, mode, validation, trace, keep_going, sink)
+        return _joined(runs, *[fit_runs(df, task, solver, side, *rest) for side in sides])
     # With its constant 1 a unit row is sqrt(2) long; private dual steps need length 1.
     factor = math.sqrt(0.5) if shorten and any(r.private for r in runs) else 1.0
     rows = _shortened(add_intercept(df), factor) if fit_intercept else df
-    table = training_table(rows)
     spark = df.sparkSession
     held = None
     if validation is not None:
         held = _shortened(add_intercept(validation), factor) if fit_intercept else validation
-    _check_private(table, runs, solver)
-    if trace or solver == "primal_cd" or len(runs) > 1:
+    if trace or solver in ("primal_cd", "cocoa", "dual_sequential") or len(runs) > 1:
         # Read many times: written once, so that preparation is not repeated and lineage ends here.
-        table.df = commit(table.df, scratch_path(spark, "train"))
+        rows = commit(narrow(rows), scratch_path(spark, "train"))
+        if trace and held is not None:
+            held = rows if validation is df else commit(narrow(held), scratch_path(spark, "held"))
+    table = training_table(rows)
     mode_of = lambda r: mode or ("poisson" if r.private else "exact")
-    runs = _with_noise(spark, runs, table.n, solver, mode_of)
-    coef, shared, alpha, log = {}, {}, {}, []
+    refused = _refusals(table, runs, solver)
+    noisy = _with_noise(spark, [r for r in runs if r.run_id not in refused], table.n, solver, mode_of)
+    missed = [r.run_id for r in noisy if r.sigma is None]
+    refused.update({m: ArithmeticError(f"no noise meets the target epsilon of run {m}") for m in missed})
+    if refused and not keep_going:
+        raise next(iter(refused.values()))
+    log = [(int(r), 0, None, None, None, 0.0, "stopped", str(why)) for r, why in sorted(refused.items())]
+    if sink and log:
+        sink(list(log), {})
+    runs = [r for r in noisy if r.sigma is not None]
+    coef, shared, alpha = {}, {}, {}
+    watch_of = lambda some, last: (
+        _Watch(table, task, solver, some, last, held, log, factor, sink) if trace else None
+    )
     if solver in ("dual_parallel", "sgd"):
         groups = {}
         for r in runs:
-            chosen = mode_of(r)
-            groups.setdefault((r.lot_size(table.n), r.max_iter, r.seed, chosen), []).append(r)
+            key = (r.lot_size(table.n), r.max_iter, r.seed, mode_of(r), r.private)
+            groups.setdefault(key, []).append(r)
         size = max(1, MODEL_CELLS // table.width)
-        for (lot, _, _, chosen), members in groups.items():
+        for (lot, last, _, chosen, _), members in groups.items():
             for start in range(0, len(members), size):
                 chunk = members[start : start + size]
-                watch = _Watch(table, task, solver, chunk, held, log) if trace else None
-                done = train_group(table, task, solver, chunk, lot, chosen, watch)
+                done = train_group(table, task, solver, chunk, lot, chosen, watch_of(chunk, last))
                 for i, r in enumerate(chunk):
                     shared[r.run_id] = done.models[i]
                     scale = 1.0 if solver == "sgd" else r.lambda_ * table.n
@@ -279,25 +332,17 @@ def fit_runs(df, task, solver, runs, fit_intercept=True, mode=None, validation=N
                         )
     elif solver in ("cocoa", "dual_sequential"):
         for r in runs:
-            watch = _Watch(table, task, solver, [r], held, log) if trace else None
-            one = (lambda e, m: watch(e, m[None, :])) if watch else None
             k, rounds = min(r.k, table.n), r.out_iter if solver == "cocoa" else 1
+            watch = watch_of([r], rounds)
+            one = (lambda e, m, watch=watch: watch(e, m[None, :])) if watch else None
             gamma = 1.0 if r.gamma is None else r.gamma
             w, values = train_cocoa(table, task, r, k, rounds, gamma, r.sigma_p, one, solver)
             shared[r.run_id], coef[r.run_id] = w, w / (r.lambda_ * table.n)
             alpha[r.run_id] = values
     else:
         for r in runs:
-            coef[r.run_id] = primal_cd(table, task, r, fit_log=log if trace else None)
+            coef[r.run_id] = primal_cd(table, task, r, watch_of([r], int(r.max_iter)))
     coef = {run_id: factor * values for run_id, values in coef.items()}
-    if trace:
-        closed = {run_id for run_id, *_, status in log if status == "stopped"}
-        last = {}
-        for i, row in enumerate(log):
-            last[row[0]] = i
-        for run_id, i in last.items():
-            if run_id not in closed:
-                log[i] = (*log[i][:-1], "complete")
     ledger = ledger_of(spark, runs, table.n, solver, mode_of)
     return FitResult(
         spark, runs, task, solver, coef, shared, alpha, log, ledger, fit_intercept, table.n
@@ -314,8 +359,9 @@ def _shortened(df, factor):
 def _joined(runs, one, other):
     """Results of two sets of runs as one."""
     both = {name: {**getattr(one, name), **getattr(other, name)} for name in ("coef", "shared", "alpha")}
+    trained = {r.run_id: r for r in [*one.runs, *other.runs]}
     return replace(
-        one, runs=[r for r in runs], trace=one.trace + other.trace, ledger=one.ledger.unionByName(other.ledger), **both
+        one, runs=[trained[r.run_id] for r in runs if r.run_id in trained], trace=one.trace + other.trace, ledger=one.ledger.unionByName(other.ledger), **both
     )
 
 
@@ -344,34 +390,113 @@ def fit_primal_cd(df, task, params, **options):
     return fit(df, task, "primal_cd", params, **options)
 
 
-def fit_grid(df, runs, task, solver="dual_parallel", **options):
-    """Train every row of a ``runs`` frame."""
-    return fit_runs(df, task, solver, runs_of(runs), **options)
+class GridLog:
+    """What a grid has done so far, in two tables below one path.
 
+    ``trace`` holds a line per run and epoch, written when the epoch ends; ``models`` the coefficients
+    of every run, written before the line that closes it.  A grid that was interrupted begins its open
+    runs anew; ``attempt`` tells their lines apart.
+    """
 
-def primal_cd(table, task, params, fit_log=None):
+    def __init__(self, spark, path):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.attempt = int(time.time() * 1000)
+        self.coef_schema = T.StructType([*COEF_SCHEMA.fields[1:], T.StructField("attempt", T.LongType()), COEF_SCHEMA[0]])
+
+    def _read(self, name, schema):
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def trace(self):
+        """Lines of each run's last attempt."""
+        schema = T.StructType([*TRACE_SCHEMA.fields, T.StructField("attempt", T.LongType())])
+        newest = F.max("attempt").over(Window.partitionBy("run_id"))
+        lines = self._read("trace", schema).withColumn("_newest", newest)
+        return lines.where(F.col("attempt") == F.col("_newest")).drop("_newest")
+
+    def models(self, runs):
+        """Coefficients of the given runs, from the attempt that closed them."""
+        closed = self.trace().where("status in ('complete', 'stopped')").select("run_id", "attempt").distinct()
+        wanted = closed.where(F.col("run_id").isin([int(r) for r in runs]))
+        return self._read("models", self.coef_schema).join(F.broadcast(wanted), ["run_id", "attempt"])
+
+    def __call__(self, lines, closing):
+        if closing:
+            frame = coef_rows(self.spark, closing).withColumn("attempt", F.lit(self.attempt))
+            write_trace(frame, f"{self.path}/models")
+        frame = self.spark.createDataFrame(lines, TRACE_SCHEMA).withColumn("attempt", F.lit(self.attempt))
+        write_trace(frame.coalesce(1), f"{self.path}/trace")
+
+
+def fit_grid(df, runs, task, solver="dual_parallel", log=None, keep_going=None, **options):
+    """Train every row of a ``runs`` frame.
+
+    ``log`` names a folder for the trace and the models.  Runs that it already closes are not trained
+    again, and a run that cannot be trained is logged as stopped while the others go on (without a log,
+    ask for that by ``keep_going``).  The result holds the models of all runs that have one, and the
+    trace of all.
+    """
+    if log is None:
+        return fit_runs(df, task, solver, runs_of(runs), keep_going=bool(keep_going), **options)
+    spark = df.sparkSession
+    book = GridLog(spark, log)
+    open_runs = runs_of(pending_runs(runs, book.trace()))
+    every = runs_of(runs)
+    earlier = sorted({r.run_id for r in every} - {r.run_id for r in open_runs})
+    going = True if keep_going is None else keep_going
+    result = fit_runs(df, task, solver, open_runs, **{**options, "trace": True}, keep_going=going, sink=book) if open_runs else None
+    models = {}
+    for row in book.models(earlier).groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("v")).toLocalIterator():
+        models[row["run_id"]] = np.array([e["value"] for e in row["v"]])
+    ids = [r.run_id for r in every]
+    lines = [
+        tuple(row[f.name] for f in TRACE_SCHEMA)
+        for row in book.trace().where(F.col("run_id").isin(ids)).orderBy("run_id", "epoch").toLocalIterator()
+    ]
+    if result is None:
+        chosen = SOLVER_ALIASES.get(solver, solver)
+        empty = ledger_of(spark, [], 0, chosen, None)
+        result = FitResult(spark, [], task_of(task), chosen, {}, {}, {}, [], empty, options.get("fit_intercept", True), 0)
+    known = {**models, **result.coef}
+    trained = {r.run_id: r for r in result.runs}
+    return replace(result, runs=[trained.get(r.run_id, r) for r in every if r.run_id in known], coef=known, trace=lines)
+
+
+def primal_cd(table, task, params, on_sweep=None):
     """Primal coordinates, all at once: one aggregate per sweep gives every coordinate's step.
 
     The summed step is damped by ``gamma`` (default: one over the number of coordinates; -1 asks
-    for the step size that minimises the ridge objective along the summed step).
+    for the step size that minimises the ridge objective along the summed step).  ``sample_ratio``
+    below 1 takes each sweep's steps from that share of the rows, drawn anew per sweep.
     """
     if task.name == "hinge":
         raise ValueError("primal coordinates need a smooth loss: ridge or logistic")
     spark = table.df.sparkSession
     theta = np.zeros(table.width)
     damping = 1.0 / table.width if params.gamma is None else params.gamma
-    for _ in range(int(params.max_iter)):
-        coef = _vector_frame(spark, theta)
+    going = on_sweep is None or on_sweep(0, theta[None, :]).all()
+    for sweep in range(int(params.max_iter)):
+        if not going:
+            break
+        coef, rows, n = _vector_frame(spark, theta), table.df, table.n
+        if params.sample_ratio < 1.0:
+            n = max(1, math.ceil(params.sample_ratio * table.n))
+            rows = sample_rows(rows, n, f"{params.seed}|sample|{sweep}")
         if task.name == "ridge":
-            steps = delta_theta_ridge(table.df, coef, params.lambda_, table.n)
+            steps = delta_theta_ridge(rows, coef, params.lambda_, n)
         else:
-            steps = delta_theta_logistic(table.df, coef, params.lambda_)
+            steps = delta_theta_logistic(rows, coef, params.lambda_)
         got = steps.toArrow()
         move = np.zeros(table.width)
         move[got["idx"].to_numpy()] = got["delta"].to_numpy()
         if params.gamma == -1:
             damping = _best_damping(spark, table, theta, move, params)
         theta = theta + damping * move
+        going = on_sweep is None or on_sweep(sweep + 1, theta[None, :]).all()
     return theta
 
 
@@ -390,6 +515,6 @@ def _best_damping(spark, table, theta, move, params):
 
 
 __all__ = [
-    "FitResult", "TrainingTable", "fit", "fit_cocoa", "fit_dual_parallel", "fit_dual_sequential",
+    "FitResult", "GridLog", "TrainingTable", "fit", "fit_cocoa", "fit_dual_parallel", "fit_dual_sequential",
     "fit_grid", "fit_primal_cd", "fit_runs", "fit_sgd", "primal_cd",
 ]

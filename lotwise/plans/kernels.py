@@ -31,6 +31,14 @@ class DenseBlock:
     def sq_norms(self):
         return np.einsum("ij,ij->i", self.x, self.x)
 
+    def cells_of_row(self):
+        """Numbers that a row of ``matrix_of`` may take."""
+        return max(1, self.x.shape[1])
+
+    def matrix_of(self, rows):
+        """The columns that some of the rows use, and the rows as a matrix over these columns."""
+        return slice(None), self.x[rows]
+
 
 class SparseBlock:
     """Rows of one Arrow batch with index/value lists."""
@@ -44,6 +52,7 @@ class SparseBlock:
         if len(self.index) and self.index.max() >= width:
             raise ValueError(f"feature index {self.index.max()} is beyond the width {width}")
         self.row = np.repeat(np.arange(self.n), lengths)
+        self.starts = np.concatenate(([0], np.cumsum(lengths)))
 
     def scores(self, models):
         return np.stack(
@@ -61,6 +70,19 @@ class SparseBlock:
     def sq_norms(self):
         return np.bincount(self.row, self.value**2, self.n)
 
+    def cells_of_row(self):
+        """A block of b rows uses b times a row's entries at most, so its matrix has b of these cells a row."""
+        longest = max(1, int(np.diff(self.starts).max(initial=0)))
+        return longest * 64
+
+    def matrix_of(self, rows):
+        low, size = self.starts[rows], np.diff(self.starts)[rows]
+        at = np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        columns, place = np.unique(self.index[at], return_inverse=True)
+        matrix = np.zeros((len(rows), len(columns)))
+        np.add.at(matrix, (np.repeat(np.arange(len(rows)), size), place), self.value[at])
+        return columns, matrix
+
 
 def block_of(batch, width):
     kind = DenseBlock if "features" in batch.schema.names else SparseBlock
@@ -200,30 +222,35 @@ def gradient_lot(task, models, clip, width):
 
 
 EVAL_SCHEMA = (
-    "run int, n bigint, loss double, sq_error double, tp bigint, fp bigint, fn bigint, tn bigint"
+    "side int, run int, n bigint, loss double, sq_error double, tp bigint, fp bigint, fn bigint, tn bigint"
 )
 
 
-def evaluate_rows(task, models, width):
-    """Loss, squared error and confusion counts of every run over a task's rows."""
+def evaluate_rows(task, models, width, sides=1):
+    """Loss, squared error and confusion counts of every run over a task's rows, by their ``side``."""
 
     def run(batches):
         runs = len(models)
-        n, loss, error = 0, np.zeros(runs), np.zeros(runs)
-        cells = np.zeros((4, runs), dtype=np.int64)
+        n, loss, error = np.zeros(sides, dtype=np.int64), np.zeros((sides, runs)), np.zeros((sides, runs))
+        cells = np.zeros((4, sides, runs), dtype=np.int64)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             z = block_of(batch, width).scores(models)
             y = np.asarray(batch.column("y"))[:, None]
-            n += batch.num_rows
-            loss += task.block_loss(z, y).sum(axis=0)
-            error += ((z - y) ** 2).sum(axis=0)
+            of = np.asarray(batch.column("side"))
+            losses, errors = task.block_loss(z, y), (z - y) ** 2
             up, real = z > 0, y > 0
-            for i, hit in enumerate((up & real, up & ~real, ~up & real, ~up & ~real)):
-                cells[i] += hit.sum(axis=0)
-        names = ["run", "n", "loss", "sq_error", "tp", "fp", "fn", "tn"]
-        columns = [np.arange(runs, dtype=np.int32), np.full(runs, n, dtype=np.int64), loss, error]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in [*columns, *cells]], names)
+            for side in np.unique(of):
+                mine = of == side
+                n[side] += mine.sum()
+                loss[side] += losses[mine].sum(axis=0)
+                error[side] += errors[mine].sum(axis=0)
+                for i, hit in enumerate((up & real, up & ~real, ~up & real, ~up & ~real)):
+                    cells[i, side] += hit[mine].sum(axis=0)
+        names = ["side", "run", "n", "loss", "sq_error", "tp", "fp", "fn", "tn"]
+        side, number = np.divmod(np.arange(sides * runs, dtype=np.int32), np.int32(runs))
+        columns = [side, number, n[side], loss.ravel(), error.ravel(), *(c.ravel() for c in cells)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     return run

@@ -34,15 +34,21 @@ class TrainingTable:
         return ["features"] if "features" in self.df.columns else ["indices", "values"]
 
 
+def narrow(df):
+    """The columns that training reads."""
+    columns = ["features"] if "features" in df.columns else ["indices", "values", "width"]
+    return df.select("row_id", F.col("y").cast("double").alias("y"), *columns)
+
+
 def training_table(df):
-    """Row count and width.  The count needs no column; the kernels check every row's width."""
-    n = df.count()
+    """Row count and width, in one pass; the kernels check every row's width."""
+    dense = "features" in df.columns
+    width = F.max(F.size("features") if dense else F.col("width"))
+    n, width = df.agg(F.count(F.lit(1)), width).first()
     if not n:
         raise ValueError("the training table is empty")
-    width = df.select(F.size("features") if "features" in df.columns else F.col("width")).first()[0]
-    columns = ["features"] if "features" in df.columns else ["indices", "values"]
-    narrow = df.select("row_id", F.col("y").cast("double").alias("y"), *columns)
-    return TrainingTable(narrow, int(n), int(width))
+    columns = ["features"] if dense else ["indices", "values"]
+    return TrainingTable(df.select("row_id", F.col("y").cast("double").alias("y"), *columns), int(n), int(width))
 
 
 @dataclass
@@ -83,36 +89,81 @@ class Segment:
     spans: bool = False
 
 
-def segments_of(n, lot_size, epochs, runs, width, exact):
-    """Segments of all floor(n * epochs / lot_size) lots, models in flight within the bound."""
-    most = max(1, min(n // lot_size, MODEL_CELLS // max(1, runs * width)))
-    lot, last = 0, n * epochs // lot_size
-    while lot < last:
-        within = ((lot * lot_size // n + 1) * n) // lot_size if exact else last
-        if within == lot:
-            yield Segment(range(lot, lot + 1), spans=True)
-            lot += 1
+@dataclass(frozen=True)
+class LotPlan:
+    """Which lots there are and who is in them.
+
+    ``exact`` lots are slices of a new random order per epoch; they run on over the epochs, so a lot
+    may hold the end of one and the start of the next.  With ``apart`` lots end with their epoch and
+    the rows after an epoch's last whole lot sit that epoch out: no row is in a lot twice, which
+    private runs need, because a noisy sum bounds one step of a row.  ``poisson`` lots are drawn
+    independently.
+    """
+
+    n: int
+    size: int
+    epochs: int
+    mode: str
+    apart: bool = False
+
+    def __post_init__(self):
+        if self.mode not in ("exact", "poisson"):
+            raise ValueError(f"unknown lot mode {self.mode!r}")
+
+    @property
+    def per_epoch(self):
+        return self.n // self.size
+
+    @property
+    def total(self):
+        return self.epochs * self.per_epoch if self.apart else self.n * self.epochs // self.size
+
+    def segments(self, runs, width):
+        """Segments of all lots, models in flight within the bound."""
+        most = max(1, min(self.per_epoch, MODEL_CELLS // max(1, runs * width)))
+        lot = 0
+        while lot < self.total:
+            within = self._end(lot)
+            if within == lot:
+                yield Segment(range(lot, lot + 1), spans=True)
+                lot += 1
+            else:
+                stop = min(lot + most, within, self.total)
+                yield Segment(range(lot, stop))
+                lot = stop
+
+    def _end(self, lot):
+        """First lot after ``lot`` that is not wholly in the same epoch."""
+        if self.mode == "poisson":
+            return self.total
+        if self.apart:
+            return (lot // self.per_epoch + 1) * self.per_epoch
+        return ((lot * self.size // self.n + 1) * self.n) // self.size
+
+    def ended(self, lot):
+        """Epochs that are over after ``lot``."""
+        if lot + 1 == self.total:
+            return self.epochs
+        return (lot + 1) // self.per_epoch if self.apart else (lot + 1) * self.size // self.n
+
+    def assign(self, df, segment, seed):
+        """Column ``lots``: the ordered lots of a segment that a row belongs to."""
+        if self.mode == "poisson":
+            return poisson_lots(df, self.size, self.n, segment.lots, seed)
+        if segment.spans:
+            return spanning_lot(df, segment.lots.start, self.size, self.n, seed)
+        if self.apart:
+            epoch = segment.lots.start // self.per_epoch
+            before, skip = epoch * self.per_epoch, 0
         else:
-            stop = min(lot + most, within, last)
-            yield Segment(range(lot, stop))
-            lot = stop
-
-
-def _with_lots(df, table, lot_size, segment, seed, mode):
-    """Column ``lots``: the ordered lots of a segment that a row belongs to."""
-    if mode == "poisson":
-        return poisson_lots(df, lot_size, table.n, segment.lots, seed)
-    if mode != "exact":
-        raise ValueError(f"unknown lot mode {mode!r}")
-    if segment.spans:
-        return spanning_lot(df, segment.lots.start, lot_size, table.n, seed)
-    epoch = segment.lots.start * lot_size // table.n
-    before = -(-epoch * table.n // lot_size)
-    cut = slice_lots(df, lot_size, table.n, seed, epoch, skip=before * lot_size - epoch * table.n)
-    own = F.col("lot") + F.lit(before)
-    inside = (F.col("lot") >= 0) & own.between(segment.lots.start, segment.lots.stop - 1)
-    empty = F.array().cast("array<int>")
-    return cut.withColumn("lots", F.when(inside, F.array(own.cast("int"))).otherwise(empty)).drop("lot")
+            epoch = segment.lots.start * self.size // self.n
+            before = -(-epoch * self.n // self.size)
+            skip = before * self.size - epoch * self.n
+        cut = slice_lots(df, self.size, self.n, seed, epoch, skip=skip)
+        own = F.col("lot") + F.lit(before)
+        inside = (F.col("lot") >= 0) & own.between(segment.lots.start, segment.lots.stop - 1)
+        empty = F.array().cast("array<int>")
+        return cut.withColumn("lots", F.when(inside, F.array(own.cast("int"))).otherwise(empty)).drop("lot")
 
 
 def _layout(df):
@@ -122,7 +173,7 @@ def _layout(df):
 
 
 def train_group(table, task, solver, runs, lot_size, mode, on_epoch=None):
-    """Train runs that share lot size, epochs, seed and lot mode, over all whole lots of all epochs.
+    """Train runs that share lot size, epochs, seed, lot mode and privacy, over all whole lots.
 
     ``on_epoch(epoch, models) -> active`` may watch the models and stop runs; a stopped run keeps
     its last models.
@@ -152,20 +203,20 @@ def train_group(table, task, solver, runs, lot_size, mode, on_epoch=None):
         state = state.withColumn("alpha", F.array(*[F.lit(0.0)] * count))
     state_columns = list(state.columns)
     poisson = mode == "poisson"
-    lots = table.n * epochs // lot_size
+    plan = LotPlan(table.n, lot_size, epochs, mode, apart=not poisson and any(r.private for r in runs))
     active = np.ones(count, dtype=bool)
     history = {}
     seen = 0
     if on_epoch:
         active &= on_epoch(0, models)
     laid_out = None
-    for number, segment in enumerate(segments_of(table.n, lot_size, epochs, count, width, not poisson)):
+    for number, segment in enumerate(plan.segments(count, width)):
         if not active.any():
             break
         # Lots are drawn on the stored keys, before the Python map, so only keys are read for it.
         source = state if laid_out is None else _one_copy(laid_out)
         source = source.withColumnRenamed("lots", "_done").withColumnRenamed("noise", "_old")
-        drawn = _with_lots(source, table, lot_size, segment, first.seed, mode)
+        drawn = plan.assign(source, segment, first.seed)
         if dual and laid_out is not None:
             drawn = _advance(drawn, step, history, width, state_columns, extra=["lots"])
         drawn = drawn.select(*state_columns, "lots")
@@ -195,7 +246,7 @@ def train_group(table, task, solver, runs, lot_size, mode, on_epoch=None):
                 total += lam[:, None] * models
                 moved = models - gamma[:, None] * total / lot_size
             models = np.where(active[:, None], moved, models)
-            ended = (lot + 1) * lot_size // table.n if lot + 1 < lots else epochs
+            ended = plan.ended(lot)
             if on_epoch and ended > seen:
                 active &= on_epoch(ended, models)
                 seen = ended
@@ -204,7 +255,7 @@ def train_group(table, task, solver, runs, lot_size, mode, on_epoch=None):
         final = _one_copy(laid_out).withColumnRenamed("lots", "_done")
         final = final.withColumnRenamed("noise", "_old")
         alpha = _advance(final, step, history, width, state_columns).select("row_id", "alpha")
-    return GroupResult(list(runs), models, lots, alpha)
+    return GroupResult(list(runs), models, plan.total, alpha)
 
 
 def _one_copy(laid_out):

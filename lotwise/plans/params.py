@@ -19,7 +19,8 @@ class RunParams:
 
     ``clip`` 0 switches clipping off and -1 means no bound.  ``sigma_p`` and ``gamma`` default per
     solver: lot size and 1 for the parallel dual, K and 1 for CoCoA, 1 as the SGD step size.
-    ``eps`` > 0 asks for the noise that meets it.  ``sample_ratio`` is accepted and has no effect.
+    ``eps`` > 0 asks for the noise that meets it.  ``sample_ratio`` is the share of rows that a sweep of
+    primal coordinates looks at; other solvers do not use it.
     """
 
     run_id: int = 0

@@ -1,14 +1,16 @@
 """Training jobs; where a run has few lots its SQL is the same steps written out."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lotwise.operators import metrics
-from lotwise.plans.fit import fit, fit_grid, fit_runs
+from lotwise.plans.fit import GridLog, fit, fit_grid, fit_runs
 from lotwise.plans.params import RunParams, param_grid
 from lotwise.queries.inputs import (
     EMB, LAMBDA, delta_sql, embeddings, factor_sql, loss_sql, model_out, normal_sql, r6, u_sql,
 )
 from lotwise.queries.registry import query
+from lotwise.sources.scratch import scratch_path
 
 TASKS = ("ridge", "logistic", "hinge")
 SEED = "5"
@@ -235,6 +237,35 @@ def fit_grid_runs(spark, sf):
     return out.select("run_id", F.col("idx").cast("int").alias("idx"), r6("value", "value"))
 
 
+def resumed_sql():
+    """One line per run of the grid, and one for the run that is refused."""
+    lines = []
+    for i, run in enumerate(GRID_RUNS):
+        scores = f"""select el.row_id, any_value(y) as y, sum(v * w / ({run.lam}e0 * n)) as z
+      from el join {run.p}w{run.last} using (i), {run.p}nn group by el.row_id"""
+        lines.append(f"""select {i}::bigint as run_id, 'complete' as status, 1::int as epochs, {"true" if i < 2 else "false"} as earlier,
+       round(avg({loss_sql("ridge")}) + {run.lam}e0 / 2 * any_value(sq), 6) + 0e0 as cost, round(any_value(sq), 6) + 0e0 as sq_norm
+from ({scores}), (select sum(power(w / ({run.lam}e0 * n), 2)) as sq from {run.p}w{run.last}, {run.p}nn)""")
+    lines.append("select 4::bigint, 'stopped', 0::int, false, null::double, null::double")
+    return f"with {EMB},\n{GRID_CTES}\n" + "\nunion all\n".join(lines)
+
+
+@query("fit_grid_resume", resumed_sql())
+def fit_grid_resume(spark, sf):
+    """Two of five runs, then the whole grid from the log: two more, and one that cannot be trained."""
+    rows, log = embeddings(spark, sf), scratch_path(spark, "grid-log")
+    runs = param_grid(spark, **{"lambda": GRID_LAMBDAS, "lot_ratio": GRID_RATIOS, "max_iter": [1], "seed": [5]})
+    refused = param_grid(spark, sigma=[1.0], seed=[6]).withColumn("run_id", F.lit(4).cast("bigint"))
+    options = dict(task="ridge", solver="PSCD", fit_intercept=False, log=log)
+    fit_grid(rows, runs.where("run_id < 2"), **options)
+    first = F.min("attempt").over(Window.partitionBy())
+    result = fit_grid(rows, runs.unionByName(refused), **options)
+    book = GridLog(spark, log).trace().withColumn("earlier", F.col("attempt") == first)
+    norms = result.coef_frame().groupBy("run_id").agg(F.sum(F.col("value") * F.col("value")).alias("sq"))
+    closing = book.where("status <> 'running'").join(norms, "run_id", "left")
+    return closing.select("run_id", "status", F.col("epoch").alias("epochs"), "earlier", r6("cost", "cost"), r6("sq", "sq_norm"))
+
+
 FINAL_SCORES = ",\n".join(
     f"q{i} as (select el.row_id, any_value(y) as y, sum(v * w) / ({run.lam}e0 * any_value(n)) as z "
     f"from el join {run.p}w{run.last} using (i), {run.p}nn group by el.row_id)"
@@ -299,13 +330,17 @@ def epoch_trace(spark, sf):
     return result.trace_frame().select("epoch", r6("cost", "cost"), r6("mse", "mse"))
 
 
-def primal_sql(task, sweeps):
+def primal_sql(task, sweeps, share=None):
     ctes = ["nn as (select count(*) as n from emb)", "t0 as (select distinct i, 0e0 as w from el)"]
     lam = f"{LAMBDA}e0"
+    sampled = lambda t: "" if share is None else (
+        f" qualify row_number() over (order by md5('{SEED}|sample|{t}|' || row_id), row_id) <= "
+        f"(select ceil({share}e0 * n) from nn)"
+    )
     for t in range(sweeps):
         ctes.append(
             f"s{t} as (select row_id, any_value(y) as y, sum(v * w) as z from el join t{t} using (i) "
-            "group by row_id)"
+            f"group by row_id{sampled(t)})"
         )
         if task == "ridge":
             g, h, pen = "sum((y - z) * v)", "sum(v * v)", f"{lam} * n"
@@ -336,6 +371,26 @@ def _register_primal():
 _register_primal()
 
 
+@query("fit_primal_cd_trace", primal_sql("ridge", 3).rsplit("\n", 1)[0] + "\n" + "\nunion all\n".join(
+    f"""select {t}::int as epoch, round(avg({loss_sql("ridge")}) + any_value(half), 6) + 0e0 as cost,
+       round(avg((y - z) * (y - z)), 6) + 0e0 as mse, '{"complete" if t == 3 else "running"}' as status
+from (select row_id, any_value(y) as y, sum(v * w) as z from el join t{t} using (i) group by row_id),
+     (select {LAMBDA}e0 / 2 * sum(w * w) as half from t{t})""" for t in range(4)
+))
+def fit_primal_cd_trace(spark, sf):
+    """A line per sweep."""
+    rows, run = embeddings(spark, sf), params(max_iter=3, gamma=0.05)
+    result = fit(rows, "ridge", "primal_cd", run, fit_intercept=False, validation=rows, trace=True)
+    return result.trace_frame().select("epoch", r6("cost", "cost"), r6("mse", "mse"), "status")
+
+
+@query("fit_primal_cd_sampled", primal_sql("logistic", 2, share=0.3))
+def fit_primal_cd_sampled(spark, sf):
+    """Each sweep looks at three tenths of the rows."""
+    run = params(max_iter=2, gamma=0.05, sample_ratio=0.3)
+    return coef_out(fit(embeddings(spark, sf), "logistic", "primal_cd", run, fit_intercept=False))
+
+
 @query("fit_dispatch")
 def fit_dispatch(spark, sf):
     """Every solver by its short name, with an intercept: one line of metrics each."""
@@ -356,15 +411,6 @@ def fit_dual_sequential(spark, sf):
     return coef_out(fit(rows, "hinge", "SSCD", params(), fit_intercept=False))
 
 
-@query("fit_cocoa")
-def fit_cocoa(spark, sf):
-    rows = embeddings(spark, sf)
-    run = params(max_iter=1, out_iter=3, k=4)
-    result = fit(rows, "logistic", "COCOA", run, fit_intercept=False, validation=rows, trace=True)
-    return result.trace_frame().select("epoch", "cost", "accuracy", "status")
-
-
-
 def walk_sql(r, sigma_p, task, clip=None, noise=None):
     """Recursive SQL of one local pass in round r: each part's rows in order, one step at a time.
 
@@ -414,9 +460,9 @@ def fit_dual_sequential_pass(spark, sf):
     return coef_out(fit(embeddings(spark, sf), "hinge", "SSCD", run, fit_intercept=False))
 
 
-def cocoa_sql(rounds, clip=None, noise=None, key=None):
+def cocoa_sql(rounds, clip=None, noise=None, key=None, task="ridge", whole_lots=False):
     """``noise`` is the multiple of a lot's deviation that is drawn after each of a part's two lots."""
-    whole = "" if noise is None else " join ls using (part) qualify t <= size - size % l"
+    whole = " join ls using (part) qualify t <= size - size % l" if noise is not None or whole_lots else ""
     ctes = ["m0 as (select list_transform(range(64), lambda j: 0e0) as w)",
             "a0 as (select row_id, 0e0 as alpha from emb)",
             f"pt as (select row_id, (ntile(4) over (order by md5('{SEED}|' || row_id), row_id) - 1)::int "
@@ -433,13 +479,13 @@ from o{r} join ls using (part))""", f"""z{r} as (
 select part, t, list(case when ends then deviation * {normal_sql(f"'{key}|w|{r}|' || part || '|' || lot || '|' || j")}
                      else 0e0 end order by j) as e
 from h{r}, range(64) q(j) group by part, t)"""]),
-            walk_sql(r, "4e0", "ridge", clip, noise),
+            walk_sql(r, "4e0", task, clip, noise),
             f"e{r} as (select part, max(t) as t from v{r} group by part)",
             f"c{r} as (select i, any_value(w) + sum((v - w) / 4e0) as w from (select "
             f"unnest(range(64)) as i, unnest(view) as v, unnest(w) as w from v{r} join e{r} using (part, t), "
             f"m{r}) group by i)",
             f"m{r + 1} as (select list(w order by i) as w from c{r})",
-            f"a{r + 1} as (select row_id, alpha + d as alpha from a{r} join v{r} using (row_id))"
+            f"a{r + 1} as (select row_id, alpha + coalesce(d, 0e0) as alpha from a{r} left join v{r} using (row_id))"
             if noise is None else f"""a{r + 1} as (
 select row_id, alpha + coalesce(d + deviation * {normal_sql(f"'{key}|a|{r}|0|' || row_id")}, 0e0) as alpha
 from a{r} left join (select row_id, d, deviation from v{r} join h{r} using (part, t)) using (row_id))""",
@@ -448,6 +494,28 @@ from a{r} left join (select row_id, d, deviation from v{r} join h{r} using (part
     return f"with recursive {EMB}, {ROWS_SQ},\n{body}\n"
 
 
+COCOA_ROUNDS = 3
+
+
+def cocoa_trace_sql():
+    """Cost and accuracy of the shared model after each round."""
+    lines = [f"""select {r}::int as epoch, round(avg({loss_sql("logistic")}) + any_value(half), 6) + 0e0 as cost,
+       avg(case when (z > 0) = (y > 0) then 1e0 else 0e0 end) as accuracy,
+       '{"complete" if r == COCOA_ROUNDS else "running"}' as status
+from (select y, list_inner_product(x, w) / ({LAMBDA}e0 * n) as z,
+             {LAMBDA}e0 / 2 * list_inner_product(w, w) / power({LAMBDA}e0 * n, 2) as half from sqs, m{r}, nn)"""
+             for r in range(COCOA_ROUNDS + 1)]
+    return cocoa_sql(COCOA_ROUNDS, task="logistic", whole_lots=True) + "\nunion all\n".join(lines)
+
+
+@query("fit_cocoa", cocoa_trace_sql())
+def fit_cocoa(spark, sf):
+    rows = embeddings(spark, sf)
+    run = params(max_iter=1, out_iter=COCOA_ROUNDS, k=4)
+    result = fit(rows, "logistic", "COCOA", run, fit_intercept=False, validation=rows, trace=True)
+    return result.trace_frame().select("epoch", r6("cost", "cost"), "accuracy", "status")
+
+
 @query("fit_cocoa_rounds", cocoa_sql(2) + f"""select i::int as idx,
 round(w / ({LAMBDA}e0 * n), 6) + 0e0 as value from c1, nn""")
 def fit_cocoa_rounds(spark, sf):
@@ -522,6 +590,24 @@ def _register_ledgers():
 
 _register_ledgers()
 
+APART = params(lot_ratio=0.4, max_iter=3, clip=0.5, sigma=2.0)
+APART_RUN = Unrolled("", 0.4, 3, 2, key=APART.noise_key("dual_parallel", "ridge")).dual(
+    "ridge", clip=0.5, noise=2.0 * (2 * 0.25) ** 0.5
+)
+
+
+@query("fit_private_apart", f"with {EMB},\n{APART_RUN.text}\n{dual_coef_sql(APART_RUN)}")
+def fit_private_apart(spark, sf):
+    """Private lots of a permutation end with their epoch: two of two fifths each, and no row twice in one."""
+    return coef_out(fit(embeddings(spark, sf), "ridge", "PSCD", APART, fit_intercept=False, mode="exact"))
+
+
+@query("fit_ledger_spanning", _ledger_sql("1e0", "3"))
+def fit_ledger_spanning(spark, sf):
+    """Lots that do not divide an epoch: three epochs are three releases at rate 1."""
+    return _ledger_out(fit(embeddings(spark, sf), "ridge", "SGD", APART, fit_intercept=False, mode="exact"))
+
+
 SHORT = params(max_iter=1, clip=0.5, sigma=2.0, lot_ratio=1.0)
 
 
