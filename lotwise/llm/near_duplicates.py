@@ -200,13 +200,12 @@ def _stretch_names(table, parts):
     bucket = (names >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
     cuts = np.flatnonzero(np.append(bucket[:1] == bucket[:1], bucket[1:] != bucket[:-1])).tolist()
     ranges = list(zip(cuts, [*cuts[1:], len(names)]))
-    df = df.astype(np.int64)
     return pa.Table.from_arrays(
         [
             pa.array(bucket[cuts].astype(np.int32)),
             pa.array(np.full(len(cuts), table.column("stretch")[0].as_py(), dtype=np.int32)),
-            pa.array([names[a:b].tobytes() for a, b in ranges], pa.binary()),
-            pa.array([df[a:b].tobytes() for a, b in ranges], pa.binary()),
+            pa.array([_pack_names(names[a:b]) for a, b in ranges], pa.binary()),
+            pa.array([_pack_counts(df[a:b]) for a, b in ranges], pa.binary()),
         ],
         ["bucket", "stretch", "names", "dfs"],
     )
@@ -214,18 +213,42 @@ def _stretch_names(table, parts):
 
 def _sums(table):
     """For each stretch the documents everywhere that hold its names of one bucket, in their order."""
-    listed = [np.frombuffer(x, np.uint64) for x in table.column("names").to_pylist()]
-    df = np.frombuffer(b"".join(table.column("dfs").to_pylist()), np.int64)
+    listed = [_unpack_names(x) for x in table.column("names").to_pylist()]
+    df = np.concatenate([_unpack_counts(x) for x in table.column("dfs").to_pylist()])
     names, place = np.unique(np.concatenate(listed), return_inverse=True)
     total = np.zeros(len(names), dtype=np.int64)
     np.add.at(total, place, df)
     sums = np.split(total[place], np.cumsum([len(x) for x in listed])[:-1])
     return pa.Table.from_arrays(
-        [table.column("stretch"), table.column("bucket"), pa.array([x.tobytes() for x in sums], pa.binary())],
+        [table.column("stretch"), table.column("bucket"), pa.array([_pack_counts(x) for x in sums], pa.binary())],
         ["stretch", "bucket", "dfs"],
     )
 
 
+def _pack_names(names):
+    """Sorted names as the bytes of their differences, high bytes together: these are mostly zero."""
+    steps = np.diff(names, prepend=np.uint64(0)).astype("<u8")
+    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack_names(packed):
+    steps = np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T)
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _pack_counts(counts):
+    """How many there are, which of them are not one (a bit each), and these."""
+    other = counts != 1
+    return np.uint32(len(counts)).tobytes() + np.packbits(other).tobytes() + counts[other].astype(np.int64).tobytes()
+
+
+def _unpack_counts(packed):
+    n = int(np.frombuffer(packed, np.uint32, 1)[0])
+    counts, end = np.ones(n, dtype=np.int64), 4 + -(-n // 8)
+    counts[np.unpackbits(np.frombuffer(packed[4:end], np.uint8), count=n).view(bool)] = np.frombuffer(packed[end:], np.int64)
+    return counts
+
+
 class _Draws:
     """The random variates of consistent weighted sampling, one row for each of POOL hash values.
 
@@ -290,7 +313,7 @@ def _sketch(table, sums, idf):
     held, _ = _held(table)
     order = np.argsort(sums.column("bucket").to_numpy())
     listed = sums.column("dfs").to_pylist()
-    total = np.frombuffer(b"".join(listed[i] for i in order), np.int64)
+    total = np.concatenate([np.zeros(0, dtype=np.int64), *(_unpack_counts(listed[i]) for i in order)])
     sketched = [p for batch in table.to_batches() for p in pieces(batch)]
     schema = pa.schema({
         "doc_id": pa.int64(), "digest": pa.binary(), "weight": pa.float64(),
@@ -323,7 +346,7 @@ def _sketch_piece(piece, held, total, idf):
             column["digest"],
             pa.array(sums[cuts[1:]] - sums[cuts[:-1]]),
             pa.array(bands, pa.list_(pa.int64())),
-            pa.array([df[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+            pa.array([_pack_counts(df[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
         ],
         ["doc_id", "digest", "weight", "bands", "dfs"],
     )
@@ -359,7 +382,7 @@ def _weighed(nodes, named, sketches, texts, idf):
             for piece in pieces(batch):
                 owner, names, count = _counted(Words.of(piece.column(piece.schema.get_field_index("text"))))
                 dfs = piece.column(piece.schema.get_field_index("dfs")).to_pylist()
-                df = np.frombuffer(b"".join(dfs), np.int64)
+                df = np.concatenate([_unpack_counts(x) for x in dfs])
                 weights = (idf.weights(df) * count).astype(np.float32)
                 cuts = np.searchsorted(owner, np.arange(len(piece) + 1)).tolist()
                 packed = [_pack(names[a:b], weights[a:b], top) for a, b in zip(cuts, cuts[1:])]

@@ -168,3 +168,16 @@ def test_odd_rows(spark, odd):
     for result in (remove_repeats, near_duplicates, kept_documents, repeated_passages):
         assert result(odd.limit(0)).count() == 0
         assert result(odd.filter(F.col("text").isNull())).count() in (0, 2)
+
+
+def test_names_and_counts_are_packed_without_loss():
+    import numpy as np
+
+    from lotwise.llm.near_duplicates import _pack_counts, _pack_names, _unpack_counts, _unpack_names
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 7, 8, 9, 1000):
+        names = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
+        counts = rng.choice([1, 1, 1, 2, 5, 10**10], n)
+        assert np.array_equal(_unpack_names(_pack_names(names)), names)
+        assert np.array_equal(_unpack_counts(_pack_counts(counts)), counts)
