@@ -1,13 +1,14 @@
 """Privacy ledger: noisy releases in, (epsilon, delta) out.
 
 A ledger row is one mechanism ``(run_id, mech_id, sigma, q, iters)``.  Its log moments depend on
-(sigma, q) alone, so they are evaluated once per distinct pair, inside the row, and joined back.
+(sigma, q) alone, so they are evaluated once per distinct pair, as one vector over the orders.
 """
 
 import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lotwise.functions.vectors import let
@@ -54,27 +55,85 @@ def log_moment(sigma, q, order, table):
     return let(terms, log_sum)
 
 
+# A pair table of up to so many (sigma, q) is small enough to travel: 64 MB at 128 orders.
+MOST_PAIRS = 1 << 16
+PAIRS_OF_TASK = 1 << 8
+
+
+def _pairs(ledger, orders):
+    """Distinct (sigma, q) with their moment vectors, and whether they are few enough to travel."""
+    pairs = ledger.select(F.col("sigma").cast("double").alias("sigma"), F.col("q").cast("double").alias("q")).distinct()
+    find = F.pandas_udf(
+        lambda sigma, q: pd.Series(list(block_moments(sigma.to_numpy(), q.to_numpy(), orders)), dtype=object), "array<double>"
+    )
+    found = pairs.limit(MOST_PAIRS + 1).toArrow()
+    few = len(found) <= MOST_PAIRS
+    if few:  # the ledger is not read again for them
+        spark = ledger.sparkSession
+        pairs = spark.createDataFrame(found, pairs.schema).repartition(1 + len(found) // PAIRS_OF_TASK)
+    return pairs.withColumn("_moments", find("sigma", "q")), few
+
+
 def log_moments(ledger, orders=DEFAULT_ORDERS):
     """Ledger rows times orders 1..orders with column ``log_moment``.
 
-    The expensive part runs once per distinct (sigma, q); its moments travel as one vector and are
-    spread out after the join, so the join moves ledger rows, not rows times orders.
+    The moments are evaluated once per distinct (sigma, q), as vectors.  Where these are few, they are
+    sent to the ledger's rows, which stay where they are, however often a pair occurs.
     """
-    table = _log_factorials(orders)
-    moments = F.transform(
-        F.sequence(F.lit(1), F.lit(orders)),
-        lambda o: log_moment(F.col("sigma"), F.col("q"), o, table),
-    )
-    pairs = ledger.select("sigma", "q").distinct().repartition("sigma", "q")
-    # Slim rows that grow by ``orders``: spread them by count, not by their present size.
-    tasks = int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = ledger.repartition(tasks).join(pairs.withColumn("_moments", moments), ["sigma", "q"])
+    pairs, few = _pairs(ledger, orders)
+    joined = ledger.join(F.broadcast(pairs) if few else pairs, ["sigma", "q"])
     kept = [c for c in joined.columns if c != "_moments"]
     # The outer form: a plain explode adds a size check that would evaluate the moments per row.
     spread = joined.select(*kept, F.posexplode_outer("_moments").alias("_place", "log_moment"))
     return spread.withColumn("order", F.col("_place") + 1).drop("_place")
 
 
+def composed_vectors(ledger, orders=DEFAULT_ORDERS):
+    """One row per run: ``moments``, the composed log moments of orders 1..orders, and ``fallback``.
+
+    What is shuffled are a run's distinct (sigma, q) with their summed ``iters``; the vectors of the
+    pairs come to them, and their weighted sum is formed in one task's batch.  A run's list is no
+    longer than the table of pairs.
+    """
+    single = F.log(F.col("q")) + F.lit(1.0) / (F.col("sigma") * F.col("sigma"))
+    summed = ledger.groupBy("run_id", "sigma", "q").agg(F.sum("iters").cast("double").alias("iters"))
+    pairs, few = _pairs(ledger, orders)
+    if not few:
+        spread = compose(log_moments(summed, orders))
+        listed = F.sort_array(F.collect_list(F.struct("order", "log_moment")))
+        return spread.groupBy("run_id").agg(listed.alias("l"), F.first("fallback").alias("fallback")).select(
+            "run_id", F.col("l.log_moment").alias("moments"), "fallback"
+        )
+    table = pairs.toArrow()
+    sigma, q = (np.asarray(table[c]) for c in ("sigma", "q"))
+    matrix = np.asarray(table["_moments"].combine_chunks().flatten()).reshape(len(sigma), orders)
+    place = {pair: i for i, pair in enumerate(zip(sigma.tolist(), q.tolist()))}
+    lists = summed.groupBy("run_id").agg(
+        F.collect_list("sigma").alias("sigmas"), F.collect_list("q").alias("qs"),
+        F.collect_list("iters").alias("iters"), F.sum(F.col("iters") * single).alias("fallback"),
+    )
+
+    def add(batches):
+        for batch in batches:
+            lengths = np.asarray(batch.column("iters").value_lengths())
+            flat = {c: np.asarray(batch.column(c).flatten()) for c in ("sigmas", "qs", "iters")}
+            at = np.fromiter(map(place.__getitem__, zip(flat["sigmas"].tolist(), flat["qs"].tolist())), np.int64, len(flat["qs"]))
+            ends = np.cumsum(lengths)
+            total = np.zeros((len(lengths), orders))
+            for low in range(0, len(lengths), COMPOSED_ROWS):
+                high = min(low + COMPOSED_ROWS, len(lengths))
+                a, b = ends[low] - lengths[low], ends[high - 1]
+                row = np.repeat(np.arange(high - low), lengths[low:high])
+                np.add.at(total[low:high], row, flat["iters"][a:b, None] * matrix[at[a:b]])
+            offsets = np.arange(0, total.size + 1, orders, dtype=np.int32)
+            moments = pa.ListArray.from_arrays(pa.array(offsets), pa.array(total.ravel()))
+            columns = [batch.column("run_id"), moments, batch.column("fallback")]
+            yield pa.RecordBatch.from_arrays(columns, ["run_id", "moments", "fallback"])
+
+    kind = summed.schema["run_id"].dataType.simpleString()
+    return lists.mapInArrow(add, f"run_id {kind}, moments array<double>, fallback double")
+
+
 def compose(moments):
     """Sum over the mechanisms of a run, each counted ``iters`` times.
 
@@ -122,25 +181,44 @@ def delta_for_eps(composed, eps):
 
 
 def spent(ledger, delta=TRAINING_DELTA, orders=DEFAULT_ORDERS):
-    """Epsilon of every run of a ledger."""
-    return eps_for_delta(compose(log_moments(ledger, orders)), delta)
+    """Epsilon of every run of a ledger: each row's own moments, so nothing is shuffled by order."""
+    delta = delta if hasattr(delta, "isNull") else F.lit(float(delta))
+    bound = lambda m, i: F.when(_finite(m), F.struct(
+        ((m - F.log(delta)) / (i + 1)).alias("eps"), (i + 1).alias("o"),
+    ))
+    best = F.array_min(F.array_compact(F.transform("moments", bound)))
+    return composed_vectors(ledger, orders).withColumn("_best", best).select(
+        "run_id", F.coalesce(F.col("_best.eps"), F.col("fallback") - F.log(delta)).alias("eps"),
+        delta.alias("delta"), F.col("_best.o").alias("min_lambda"),
+    )
+
+
+# Rows of a batch, and numbers of a block of terms, that are evaluated together.
+COMPOSED_ROWS = 1 << 10
+TERM_CELLS = 1 << 20
 
 
-def _block_moments(sigma, q, orders):
-    """The same log moments for one mechanism and all orders, as a NumPy vector."""
+def block_moments(sigma, q, orders):
+    """The same log moments for many mechanisms and all orders: a NumPy matrix, a row per mechanism."""
+    sigma, q = (np.atleast_1d(np.asarray(v, dtype=float)) for v in (sigma, q))
     k = np.arange(orders + 1.0)
     o = np.arange(1.0, orders + 1.0)[:, None]
     table = np.array([math.lgamma(i + 1.0) for i in range(orders + 1)])
     inside = k[None, :] <= o
     rest = np.where(inside, o - k[None, :], 0.0)
-    log_in, log_out = math.log(max(q, TINY)), math.log(max(1.0 - q, TINY))
-    ways = table[1:, None] - table[None, :] - table[rest.astype(int)]
-    c = 0.5 / (sigma * sigma)
-    mix = ways + k * log_in + rest * log_out + k * (k - 1.0) * c
-    terms = mix + log_out + np.logaddexp(0.0, log_in - log_out + 2.0 * k * c)
-    terms = np.where(inside, terms, -np.inf)
-    peak = terms.max(axis=1)
-    return peak + np.log(np.exp(terms - peak[:, None]).sum(axis=1))
+    ways = np.where(inside, table[1:, None] - table[None, :] - table[rest.astype(int)], -np.inf)
+    out, step = np.empty((len(q), orders)), max(1, TERM_CELLS // ways.size)
+    for low in range(0, len(q), step):
+        part = slice(low, low + step)
+        log_in, log_out = np.log(np.maximum(q[part], TINY)), np.log(np.maximum(1.0 - q[part], TINY))
+        with np.errstate(over="ignore"):
+            c = 0.5 / (sigma[part] * sigma[part])
+            lift = log_out[:, None] + np.logaddexp(0.0, (log_in - log_out)[:, None] + 2.0 * k * c[:, None])
+            of_k = k * log_in[:, None] + k * (k - 1.0) * c[:, None] + lift
+            terms = ways + of_k[:, None, :] + rest * log_out[:, None, None]
+            peak = terms.max(axis=2, keepdims=True)
+            out[part] = peak[..., 0] + np.log(np.exp(terms - peak).sum(axis=2))
+    return out
 
 
 # The interval in which a noise scale is searched.
@@ -152,40 +230,37 @@ TARGET = ["eps", "delta", "q", "iters"]
 
 
 def _searched(targets, search):
-    """Run a noise search once per distinct target, spread over tasks, and join it back."""
+    """Run a noise search once per distinct target, whole batches at a time, and join it back."""
     find = F.pandas_udf(
-        lambda eps, delta, q, iters: pd.Series(
-            [search(*t) for t in zip(eps, delta, q, iters)], dtype="float64"
-        ),
-        "double",
+        lambda eps, delta, q, iters: pd.Series(search(*(c.to_numpy() for c in (eps, delta, q, iters)))), "double"
     )
     distinct = targets.select(*TARGET).distinct().repartition(*TARGET)
     columns = [F.col(c).cast("double") for c in TARGET]
-    return targets.join(distinct.withColumn("sigma", find(*columns)), TARGET)
+    return targets.join(distinct.withColumn("sigma", F.nanvl(find(*columns), F.lit(None))), TARGET)
 
 
 def calibrate_sigma(targets, orders=DEFAULT_ORDERS, rounds=40):
     """Column ``sigma``: least noise that keeps ``(q, iters, delta)`` within ``eps``.
 
-    Bisection on a log scale; the upper end is returned, so the target is met.  After 40 rounds
-    the interval is narrower than 1e-10 of sigma.  A search evaluates thousands of terms in
-    sequence for one row, so it runs on NumPy vectors inside the tasks.  A target that no noise
-    can meet (below -ln(delta) / orders) gets a null.
+    Bisection on a log scale, of all targets of a batch at once; the upper end is returned, so the
+    target is met.  After 40 rounds the interval is narrower than 1e-10 of sigma.  A search evaluates
+    thousands of terms in sequence, so it runs on NumPy matrices inside the tasks.  A target that no
+    noise can meet (below -ln(delta) / orders) gets a null.
     """
     o = np.arange(1.0, orders + 1.0)
 
     def search(eps, delta, q, iters):
         def enough(sigma):
-            moments = _block_moments(sigma, q, orders)
-            return ((iters * moments - math.log(delta)) / o).min() <= eps
+            moments = iters[:, None] * block_moments(sigma, q, orders) - np.log(delta)[:, None]
+            return (moments / o).min(axis=1) <= eps
 
-        low, high = SIGMA_LOW, SIGMA_HIGH
-        if not enough(high):
-            return None
+        low, high = np.full(len(q), SIGMA_LOW), np.full(len(q), SIGMA_HIGH)
+        met = enough(high)
         for _ in range(rounds):
-            mid = math.sqrt(low * high)
-            low, high = (low, mid) if enough(mid) else (mid, high)
-        return high
+            mid = np.sqrt(low * high)
+            fine = enough(mid)
+            low, high = np.where(fine, low, mid), np.where(fine, mid, high)
+        return np.where(met, high, np.nan)
 
     return _searched(targets, search)
 
@@ -193,22 +268,23 @@ def calibrate_sigma(targets, orders=DEFAULT_ORDERS, rounds=40):
 def calibrate_sigma_geometric(targets, orders=DEFAULT_ORDERS):
     """Column ``sigma``: first of 1e-4 * 1.1^k whose delta at the target ``eps`` is small enough.
 
-    Delta falls as sigma grows, so the first k is found by halving the range of k.
+    Delta falls as sigma grows, so the first k is found by halving the range of k, for all targets of
+    a batch at once.
     """
     o = np.arange(1.0, orders + 1.0)
 
     def search(eps, delta, q, iters):
         def enough(k):
-            moments = _block_moments(SIGMA_START * SIGMA_GROWTH**k, q, orders)
-            return math.exp(min(0.0, (iters * moments - o * eps).min())) <= delta
-
-        low, high = 0, SIGMA_STEPS
-        if not enough(high):
-            return None
-        while low < high:
-            k = (low + high) // 2
-            low, high = (low, k) if enough(k) else (k + 1, high)
-        return SIGMA_START * SIGMA_GROWTH**low
+            moments = iters[:, None] * block_moments(SIGMA_START * SIGMA_GROWTH**k, q, orders)
+            return np.exp(np.minimum(0.0, (moments - o * eps[:, None]).min(axis=1))) <= delta
+
+        low, high = np.zeros(len(q)), np.full(len(q), float(SIGMA_STEPS))
+        met = enough(high)
+        while (low < high).any():
+            k = np.floor((low + high) / 2.0)
+            fine = enough(k) | (low == high)
+            low, high = np.where(fine, low, k + 1.0), np.where(fine, k, high)
+        return np.where(met, SIGMA_START * SIGMA_GROWTH**low, np.nan)
 
     return _searched(targets, search)
 

@@ -14,6 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.keyed import keyed_hex, keyed_uniform
+from lotwise.functions.vectors import let
 
 BUCKET_DIGITS = 4  # 65,536 buckets: the proven size of every offset table below
 
@@ -151,15 +152,14 @@ def assign_lots(df, lot_size, epochs, seed, mode="exact"):
         )
     if mode == "poisson":
         steps = F.floor(n * F.lit(epochs) / F.lit(lot_size)).cast("int")
-        joined = F.filter(
-            F.sequence(F.lit(0), F.col("_steps") - 1),
-            lambda t: keyed_uniform(seed, t, F.col("row_id")) < F.col("_rate"),
-        )
+        block = F.least(lots_per_epoch, F.lit(CHAIN_LOTS))
+        keyed = df.withColumns({"_steps": steps, "_rate": F.least(F.lit(1.0), F.lit(float(lot_size)) / n), "_block": block})
+        starts = F.sequence(F.lit(0), F.floor((F.col("_steps") - 1) / F.col("_block")).cast("int"))
+        joined = _joined_lots(starts, F.col("_rate"), F.col("_block"), seed)
         return (
-            df.withColumns({"_steps": steps, "_rate": F.lit(float(lot_size)) / n})
-            .withColumn("lot", F.explode(joined))
+            keyed.withColumn("lot", F.explode(F.filter(joined, lambda t: t < F.col("_steps"))))
             .withColumn("epoch", F.floor(F.col("lot") / lots_per_epoch).cast("int"))
-            .drop("_steps", "_rate")
+            .drop("_steps", "_rate", "_block")
         )
     raise ValueError(f"unknown lot mode {mode!r}")
 
@@ -252,12 +252,50 @@ def spanning_lot(df, lot, lot_size, n, seed):
     return df.withColumn("lots", F.array_compact(F.array("_tail", "_head"))).drop("_tail", "_head")
 
 
+# Lots of a chain of skips; it begins anew after so many, or with the epoch.
+CHAIN_LOTS = 1 << 12
+# Skips that are taken in the first stretch; a row that joins more lots of a block goes on in a second.
+FIRST_SKIPS = 24
+
+
+def _joined_lots(blocks, rate, size, seed):
+    """Ordered lots that a row joins in the given blocks of ``size`` lots: skip sampling.
+
+    Between two lots that a row joins with probability ``rate`` each lie floor(ln u / ln(1 - rate))
+    lots that it does not join.  The uniforms are keyed by seed, block, row and number of the skip, so
+    a draw is made for each lot joined and one more, none for the lots passed over.
+    """
+
+    def skip(block, j):
+        u = keyed_uniform(seed, "skip", block, F.col("row_id"), j)
+        return F.when(rate < 1.0, F.floor(F.log(u) / F.log(F.lit(1.0) - rate))).otherwise(F.lit(0)).cast("bigint")
+
+    def go(block, numbers, state):
+        def step(s, j):
+            # A row that is past the block's end draws no more.
+            moved = F.struct(
+                (s["at"] + 1 + skip(block, j)).alias("at"), F.array_append(s["lots"], (block * size + s["at"]).cast("int")).alias("lots"),
+            )
+            return F.when(s["at"] < size, moved).otherwise(s)
+
+        return F.aggregate(numbers, state, step)
+
+    def of_block(block):
+        start = F.struct(skip(block, F.lit(0)).alias("at"), F.array().cast("array<int>").alias("lots"))
+        first = let(go(block, F.sequence(F.lit(1), F.lit(FIRST_SKIPS)), start), lambda s: F.when(
+            s["at"] < size, go(block, F.sequence(F.lit(FIRST_SKIPS + 1), size.cast("int") + FIRST_SKIPS), s)
+        ).otherwise(s))
+        return first["lots"]
+
+    return F.flatten(F.transform(blocks, of_block))
+
+
 def poisson_lots(df, lot_size, n, steps, seed):
     """Ordered list of the lots a row joins among ``steps`` (a range of lot numbers)."""
-    rate = lot_size / n
-    candidates = F.sequence(F.lit(steps.start), F.lit(steps.stop - 1))
-    joined = F.filter(candidates, lambda t: keyed_uniform(seed, t, F.col("row_id")) < rate)
-    return df.withColumn("lots", joined)
+    rate, block = F.lit(min(1.0, lot_size / n)), min(-(-n // lot_size), CHAIN_LOTS)
+    blocks = F.sequence(F.lit(steps.start // block), F.lit((steps.stop - 1) // block))
+    joined = _joined_lots(blocks, rate, F.lit(block), seed)
+    return df.withColumn("lots", F.filter(joined, lambda t: (t >= steps.start) & (t < steps.stop)))
 
 
 # Up to this many parts are cut out of the buckets; more are numbered by full ranks of the keys.

@@ -181,3 +181,17 @@ def dual_loss_sql(task, box="1e-4"):
         a = f"greatest({box}, least(1e0 - {box}, y * alpha))"
         return f"((1e0 - {a}) * ln(1e0 - {a}) + {a} * ln({a}))"
     return "(-alpha * y)"
+
+
+def skips_sql(seed, p=""):
+    """Recursive table ``ch`` (row_id, b, j, t): the lots ``b * k + t`` that rows join, t < k.
+
+    Needs ``pz`` with k, the lots of a block, and q, the probability of joining one, and ``bl`` with
+    row_id and block b.  Between two joined lots lie floor(ln u / ln(1 - q)) others.  ``p`` begins all names.
+    """
+    u = lambda j: u_sql(f"'{seed}|skip|' || b || '|' || row_id || '|' || {j}")
+    gap = lambda j: f"(case when q < 1e0 then floor(ln({u(j)}) / ln(1e0 - q)) else 0e0 end)::bigint"
+    return f"""{p}ch as (
+  select row_id, b, 0::bigint as j, {gap("'0'")} as t from {p}bl, {p}pz
+  union all
+  select row_id, b, j + 1, t + 1 + {gap("(j + 1)")} from {p}ch, {p}pz where t < k)"""

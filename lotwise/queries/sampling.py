@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lotwise.operators import split
-from lotwise.queries.inputs import EMB, embeddings, table, u_sql
+from lotwise.queries.inputs import EMB, embeddings, skips_sql, table, u_sql
 from lotwise.queries.registry import query
 
 
@@ -102,11 +102,11 @@ def assign_lots_hash(spark, sf):
     return out.select("row_id", "epoch", "lot")
 
 
-@query("assign_lots_poisson", f"""with {EVENTS},
-p as (select n, n * 2 // 900 as steps, ceil(n / 900e0) as k from nn)
-select row_id, floor(t / k)::int as epoch, t::int as lot
-from ev, p, unnest(range((select steps from p))) s(t)
-where {u_sql("'7|' || t || '|' || row_id")} < 900e0 / n""")
+@query("assign_lots_poisson", f"""with recursive {EVENTS},
+pz as (select n, n * 2 // 900 as steps, ceil(n / 900e0)::bigint as k, least(1e0, 900e0 / n) as q from nn),
+bl as (select row_id, b from ev, pz, range(0, 1000) r(b) where b * k < steps),
+{skips_sql(7)}
+select row_id, floor((b * k + t) / k)::int as epoch, (b * k + t)::int as lot from ch, pz where t < k and b * k + t < steps""")
 def assign_lots_poisson(spark, sf):
     out = split.assign_lots(keyed_events(spark, sf), 900, 2, 7, "poisson")
     return out.select("row_id", "epoch", "lot")

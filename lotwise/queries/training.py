@@ -7,7 +7,7 @@ from lotwise.operators import metrics
 from lotwise.plans.fit import GridLog, fit, fit_grid, fit_runs
 from lotwise.plans.params import RunParams, param_grid
 from lotwise.queries.inputs import (
-    EMB, LAMBDA, delta_sql, embeddings, factor_sql, loss_sql, model_out, normal_sql, r6, u_sql,
+    EMB, LAMBDA, delta_sql, embeddings, factor_sql, loss_sql, model_out, normal_sql, r6, skips_sql,
 )
 from lotwise.queries.registry import query
 from lotwise.sources.scratch import scratch_path
@@ -38,6 +38,12 @@ class Unrolled:
                 "row_id) as rn from emb)"
             )
 
+        if mode == "poisson":
+            self.ctes += [
+                f"{prefix}pz as (select n, l, ceil(n / l::double)::bigint as k, least(1e0, l::double / n) as q from {prefix}nn)",
+                f"{prefix}bl as (select row_id, b from emb, {prefix}pz, range(0, {epochs + 1}) r(b))",
+                skips_sql(SEED, prefix),
+            ]
         self.stream = " union all ".join(
             f"select row_id, {e} * n + rn - 1 as pos from {prefix}r{e}, {prefix}nn" for e in range(epochs)
         )
@@ -46,8 +52,7 @@ class Unrolled:
         """Row ids of lot t, and how often each is in it, as a SQL query."""
         epoch, place = self.steps[t]
         if self.mode == "poisson":
-            key = f"'{SEED}|{t}|' || row_id"
-            return f"select row_id, 1 as times from emb, {self.p}nn where {u_sql(key)} < l::double / n"
+            return f"select row_id, 1 as times from {self.p}ch, {self.p}pz where t < k and b * k + t = {t}"
         if self.mode == "spanning":
             return f"select row_id, count(*) as times from ({self.stream}), {self.p}nn where pos // l = {t} group by row_id"
         return f"select row_id, 1 as times from {self.p}r{epoch}, {self.p}nn where (rn - 1) // l = {place}"
@@ -129,14 +134,14 @@ def _register_dual():
     for task in TASKS:
         run = Unrolled("", 0.5, 2, 2).dual(task)
 
-        @query(f"fit_dual_parallel_{task}", f"with {EMB},\n{run.text}\n{dual_coef_sql(run)}")
+        @query(f"fit_dual_parallel_{task}", f"with recursive {EMB},\n{run.text}\n{dual_coef_sql(run)}")
         def dual(spark, sf, task=task):
             return coef_out(fit(embeddings(spark, sf), task, "PSCD", params(), fit_intercept=False))
 
         sgd = Unrolled("", 0.5, 1, 2).sgd(task, 0.5, 0.8)
         sql = f"select i::int as idx, round(w, 6) + 0e0 as value from w{sgd.last}"
 
-        @query(f"fit_sgd_{task}", f"with {EMB},\n{sgd.text}\n{sql}")
+        @query(f"fit_sgd_{task}", f"with recursive {EMB},\n{sgd.text}\n{sql}")
         def sgd_fit(spark, sf, task=task):
             run = params(max_iter=1, clip=0.5, gamma=0.8)
             return coef_out(fit(embeddings(spark, sf), task, "SGD", run, fit_intercept=False))
@@ -147,7 +152,7 @@ _register_dual()
 ALPHA_RUN = Unrolled("", 0.5, 2, 2).dual("ridge", clip=0.3)
 
 
-@query("fit_dual_parallel_alpha", f"""with {EMB},
+@query("fit_dual_parallel_alpha", f"""with recursive {EMB},
 {ALPHA_RUN.text}
 select row_id, round(alpha, 6) + 0e0 as alpha from a{ALPHA_RUN.last}""")
 def fit_dual_parallel_alpha(spark, sf):
@@ -161,7 +166,7 @@ PRIVATE_RUN = Unrolled("", 0.5, 1, 2, key=PRIVATE.noise_key("dual_parallel", "lo
 )
 
 
-@query("fit_dual_parallel_private", f"with {EMB},\n{PRIVATE_RUN.text}\n{dual_coef_sql(PRIVATE_RUN)}")
+@query("fit_dual_parallel_private", f"with recursive {EMB},\n{PRIVATE_RUN.text}\n{dual_coef_sql(PRIVATE_RUN)}")
 def fit_dual_parallel_private(spark, sf):
     rows = embeddings(spark, sf)
     return coef_out(fit(rows, "logistic", "PSCD", PRIVATE, fit_intercept=False, mode="exact"))
@@ -172,7 +177,7 @@ PRIVATE_ALPHA = Unrolled(
 ).dual("ridge", clip=0.5, noise=2.0 * (2 * 0.25) ** 0.5)
 
 
-@query("fit_dual_parallel_poisson", f"""with {EMB},
+@query("fit_dual_parallel_poisson", f"""with recursive {EMB},
 {PRIVATE_ALPHA.text}
 select row_id, round(alpha, 6) + 0e0 as alpha from a{PRIVATE_ALPHA.last}""")
 def fit_dual_parallel_poisson(spark, sf):
@@ -187,7 +192,7 @@ SGD_PRIVATE = Unrolled("", 0.5, 1, 2, mode="poisson", key=PRIVATE_STEP.noise_key
 )
 
 
-@query("fit_sgd_private", f"""with {EMB},
+@query("fit_sgd_private", f"""with recursive {EMB},
 {SGD_PRIVATE.text}
 select i::int as idx, round(w, 6) + 0e0 as value from w{SGD_PRIVATE.last}""")
 def fit_sgd_private(spark, sf):
@@ -197,7 +202,7 @@ def fit_sgd_private(spark, sf):
 SPANNING = Unrolled("", 0.4, 3, 3, mode="spanning", lots=7).dual("ridge")
 
 
-@query("fit_dual_parallel_spanning", f"with {EMB},\n{SPANNING.text}\n{dual_coef_sql(SPANNING)}")
+@query("fit_dual_parallel_spanning", f"with recursive {EMB},\n{SPANNING.text}\n{dual_coef_sql(SPANNING)}")
 def fit_dual_parallel_spanning(spark, sf):
     """Seven lots over three epochs: the third holds rows of two of them."""
     run = params(lot_ratio=0.4, max_iter=3)
@@ -207,7 +212,7 @@ def fit_dual_parallel_spanning(spark, sf):
 SPANNING_SGD = Unrolled("", 0.4, 3, 3, mode="spanning", lots=7).sgd("logistic", 0.5, 0.8)
 
 
-@query("fit_sgd_spanning", f"""with {EMB},
+@query("fit_sgd_spanning", f"""with recursive {EMB},
 {SPANNING_SGD.text}
 select i::int as idx, round(w, 6) + 0e0 as value from w{SPANNING_SGD.last}""")
 def fit_sgd_spanning(spark, sf):
@@ -224,7 +229,7 @@ GRID_RUNS = [
 GRID_CTES = ",\n".join(run.text for run in GRID_RUNS)
 
 
-@query("fit_grid", f"with {EMB},\n{GRID_CTES}\n" + "\nunion all\n".join(
+@query("fit_grid", f"with recursive {EMB},\n{GRID_CTES}\n" + "\nunion all\n".join(
     f"select {i}::bigint as run_id, i::int as idx, round(w / ({run.lam}e0 * n), 6) + 0e0 as value "
     f"from {run.p}w{run.last}, {run.p}nn" for i, run in enumerate(GRID_RUNS)
 ))
@@ -247,7 +252,7 @@ def resumed_sql():
        round(avg({loss_sql("ridge")}) + {run.lam}e0 / 2 * any_value(sq), 6) + 0e0 as cost, round(any_value(sq), 6) + 0e0 as sq_norm
 from ({scores}), (select sum(power(w / ({run.lam}e0 * n), 2)) as sq from {run.p}w{run.last}, {run.p}nn)""")
     lines.append("select 4::bigint, 'stopped', 0::int, false, null::double, null::double")
-    return f"with {EMB},\n{GRID_CTES}\n" + "\nunion all\n".join(lines)
+    return f"with recursive {EMB},\n{GRID_CTES}\n" + "\nunion all\n".join(lines)
 
 
 @query("fit_grid_resume", resumed_sql())
@@ -273,7 +278,7 @@ FINAL_SCORES = ",\n".join(
 )
 
 
-@query("final_eval_regression", f"with {EMB},\n{GRID_CTES},\n{FINAL_SCORES}\n" + "\nunion all\n".join(
+@query("final_eval_regression", f"with recursive {EMB},\n{GRID_CTES},\n{FINAL_SCORES}\n" + "\nunion all\n".join(
     f"select {i}::bigint as run_id, round(avg((y - z) * (y - z)), 6) + 0e0 as mse, "
     f"round(1e0 - sum((y - z) * (y - z)) / (var_pop(y) * count(*)), 6) + 0e0 as r2 from q{i}"
     for i in range(len(GRID_RUNS))
@@ -290,7 +295,7 @@ def final_eval_regression(spark, sf):
 CLASS_RUN = Unrolled("", 0.5, 2, 2).dual("hinge")
 
 
-@query("final_eval_classification", f"""with {EMB},
+@query("final_eval_classification", f"""with recursive {EMB},
 {CLASS_RUN.text},
 q as (select el.row_id, any_value(y) as y, sum(v * w) as z from el join w{CLASS_RUN.last} using (i)
       group by el.row_id),
@@ -321,7 +326,7 @@ from (select el.row_id, any_value(y) as y, sum(v * w / ({LAMBDA}e0 * n)) as z fr
      (select {LAMBDA}e0 / 2 * sum(power(w / ({LAMBDA}e0 * n), 2)) as half from {w}, nn)"""
 
 
-@query("epoch_trace", f"with {EMB},\n{TRACE_RUN.text}\n" + "\nunion all\n".join(
+@query("epoch_trace", f"with recursive {EMB},\n{TRACE_RUN.text}\n" + "\nunion all\n".join(
     trace_row_sql(e) for e in range(3)
 ))
 def epoch_trace(spark, sf):
@@ -356,7 +361,7 @@ def primal_sql(task, sweeps, share=None):
             f"from t{t} join g{t} using (i), nn)"
         )
     body = ",\n".join(ctes)
-    return f"with {EMB},\n{body}\nselect i::int as idx, round(w, 6) + 0e0 as value from t{sweeps}"
+    return f"with recursive {EMB},\n{body}\nselect i::int as idx, round(w, 6) + 0e0 as value from t{sweeps}"
 
 
 def _register_primal():
@@ -548,7 +553,7 @@ FLAG_RUN = Unrolled(
 ).dual("ridge", clip=0.5, noise=0.5 * (2 * 0.25) ** 0.5)
 
 
-@query("flagship", f"""with {EMB},
+@query("flagship", f"""with recursive {EMB},
 {FLAG_RUN.text},
 q as (select el.row_id, any_value(y) as y, sum(v * w) as z from el join w{FLAG_RUN.last} using (i)
       group by el.row_id)
@@ -596,7 +601,7 @@ APART_RUN = Unrolled("", 0.4, 3, 2, key=APART.noise_key("dual_parallel", "ridge"
 )
 
 
-@query("fit_private_apart", f"with {EMB},\n{APART_RUN.text}\n{dual_coef_sql(APART_RUN)}")
+@query("fit_private_apart", f"with recursive {EMB},\n{APART_RUN.text}\n{dual_coef_sql(APART_RUN)}")
 def fit_private_apart(spark, sf):
     """Private lots of a permutation end with their epoch: two of two fifths each, and no row twice in one."""
     return coef_out(fit(embeddings(spark, sf), "ridge", "PSCD", APART, fit_intercept=False, mode="exact"))
@@ -611,7 +616,7 @@ def fit_ledger_spanning(spark, sf):
 SHORT = params(max_iter=1, clip=0.5, sigma=2.0, lot_ratio=1.0)
 
 
-@query("fit_private_intercept", f"""with {EMB},
+@query("fit_private_intercept", f"""with recursive {EMB},
 ones as (select row_id, y, 0::int as i, sqrt(0.5e0) as v from emb
          union all select row_id, y, i + 1, v * sqrt(0.5e0) from el),
 nn as (select count(*) as n from emb),
@@ -641,7 +646,7 @@ NOISY_RUNS = [
 ]
 
 
-@query("fit_grid_private", f"with {EMB},\n" + ",\n".join(r.text for r in NOISY_RUNS) + "\n" + "\nunion all\n".join(
+@query("fit_grid_private", f"with recursive {EMB},\n" + ",\n".join(r.text for r in NOISY_RUNS) + "\n" + "\nunion all\n".join(
     f"select {i}::bigint as run_id, i::int as idx, round(w, 6) + 0e0 as value from {r.p}w{r.last}"
     for i, r in enumerate(NOISY_RUNS)
 ))

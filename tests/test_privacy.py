@@ -33,7 +33,7 @@ def test_golden_values(spark, orders):
 def test_block_moments_equal_the_column_form(spark):
     rows = ledger(spark, (0, 0, 0.7, 0.05, 1), (1, 0, 3.0, 1.0, 1), (2, 0, 1e-4, 0.3, 1))
     for r in privacy.log_moments(rows, 16).collect():
-        block = privacy._block_moments(r["sigma"], r["q"], 16)
+        block = privacy.block_moments(r["sigma"], r["q"], 16)[0]
         assert r["log_moment"] == pytest.approx(block[r["order"] - 1], rel=1e-12)
 
 
@@ -109,3 +109,27 @@ def test_quadrature_agrees(spark):
     rows = ledger(spark, (0, 0, 1.5, 0.2, 1), (1, 0, 4.0, 0.01, 1))
     for r in privacy.audit_moments(rows, (1, 8), 20001).collect():
         assert r["ordered"] and r["log_moment_quadrature"] == pytest.approx(r["log_moment"], abs=1e-9)
+
+
+def test_ledgers_with_many_pairs_take_the_other_way(spark, monkeypatch):
+    rows = [(i % 7, 1.0 + i % 5, 0.01 * (1 + i % 3), 10 + i) for i in range(60)]
+    ledger = spark.createDataFrame(rows, "run_id int, sigma double, q double, iters int")
+    few = {r.run_id: (r.eps, r.min_lambda) for r in privacy.spent(ledger).collect()}
+    again = {r.run_id: (r.eps, r.min_lambda) for r in privacy.eps_for_delta(privacy.compose(privacy.log_moments(ledger)), privacy.TRAINING_DELTA).collect()}
+    monkeypatch.setattr(privacy, "MOST_PAIRS", 3)
+    many = {r.run_id: (r.eps, r.min_lambda) for r in privacy.spent(ledger).collect()}
+    assert few.keys() == many.keys() == again.keys() == set(range(7))
+    for run in few:
+        assert few[run] == pytest.approx(many[run], rel=1e-12) and few[run] == pytest.approx(again[run], rel=1e-12)
+    assert privacy.spent(ledger.limit(0)).count() == 0
+
+
+def test_searches_of_a_batch_equal_single_ones(spark):
+    rows = [(i, 0.3 + 0.4 * i, 1e-5, 0.01 * (1 + i % 4), 100) for i in range(12)] + [(99, 1e-9, 1e-5, 0.01, 100)]
+    schema = "run_id int, eps double, delta double, q double, iters int"
+    for search in (privacy.calibrate_sigma, privacy.calibrate_sigma_geometric):
+        together = {r.run_id: r.sigma for r in search(spark.createDataFrame(rows, schema).coalesce(1)).collect()}
+        assert together[99] is None or search is privacy.calibrate_sigma_geometric
+        for row in rows[1:4]:
+            alone = search(spark.createDataFrame([row], schema)).first().sigma
+            assert together[row[0]] == pytest.approx(alone, rel=1e-12)

@@ -34,12 +34,30 @@ def normal(key):
     return radius * math.cos(2 * math.pi * uniform(key + "|t"))
 
 
+def joined(n, size, total, seed, i):
+    """Lots that a row joins: keyed geometric skips, anew in every block of an epoch's lots."""
+    block, rate, found = -(-n // size), min(1.0, size / n), set()
+
+    def skip(b, j):
+        return math.floor(math.log(uniform(f"{seed}|skip|{b}|{i}|{j}")) / math.log(1 - rate)) if rate < 1 else 0
+
+    for b in range(-(-total // block)):
+        j, at = 0, skip(b, 0)
+        while at < block:
+            found.add(b * block + at)
+            j += 1
+            at += 1 + skip(b, j)
+    return {t for t in found if t < total}
+
+
 def lots(n, size, epochs, seed, mode, apart=False):
     """``apart``: lots end with their epoch, as in private runs."""
     stream = [i for e in range(epochs) for i in order(n, f"{seed}|{e}")[: n - n % size if apart else n]]
-    for t in range(n * epochs // size if mode == "poisson" else len(stream) // size):
+    total = n * epochs // size if mode == "poisson" else len(stream) // size
+    joins = {i: joined(n, size, total, seed, i) for i in range(n)} if mode == "poisson" else {}
+    for t in range(total):
         if mode == "poisson":
-            yield t, [i for i in range(n) if uniform(f"{seed}|{t}|{i}") < size / n]
+            yield t, [i for i in range(n) if t in joins[i]]
         else:
             yield t, stream[t * size : (t + 1) * size]
 
@@ -406,3 +424,18 @@ def test_many_lots_per_epoch(small):
     assert 120 // 1 > split.FEW_LOTS
     sizes = split.slice_lots(many, 1, 120, "s", 0).groupBy("lot").count().collect()
     assert sorted(r["lot"] for r in sizes) == list(range(120)) and {r["count"] for r in sizes} == {1}
+
+
+@pytest.mark.parametrize("size, steps", [(1, range(0, 130)), (13, range(3, 21)), (60, range(0, 3)), (200, range(7, 8))])
+def test_skips_over_lots(spark, monkeypatch, size, steps):
+    """Rows that join more lots than the first stretch holds go on; ranges of lots do not change them."""
+    from lotwise.operators import split
+
+    df = spark.range(200).select(F.col("id").alias("row_id"))
+    want = {i: sorted(t for t in joined(200, size, steps.stop, "s", i) if t >= steps.start) for i in range(200)}
+    for first in (24, 1):
+        monkeypatch.setattr(split, "FIRST_SKIPS", first)
+        got = {r.row_id: r.lots for r in split.poisson_lots(df, size, 200, steps, "s").collect()}
+        assert got == want
+    share = sum(map(len, want.values())) / (200 * len(steps))
+    assert share == pytest.approx(size / 200, abs=4 * math.sqrt(size / 200 / (200 * len(steps))) + 1e-9)
