@@ -204,7 +204,7 @@ def slice_lots(df, lot_size, n, *seed_parts, skip=0):
         lot = F.lit(-1)
         ends = _lot_ends(_keyed(df.select("row_id"), *seed_parts), lot_size, whole, shift) if whole else []
         for number, end in reversed(list(enumerate(ends, -int(shift > 0)))):
-            edge = F.struct(F.lit(end["h"]).alias("h"), F.lit(end["r"]).cast("bigint").alias("r"))
+            edge = F.struct(F.lit(end["h"]).alias("h"), F.lit(end["r"]).cast(df.schema["row_id"].dataType).alias("r"))
             lot = F.when(F.col("_key") <= edge, F.lit(number)).otherwise(lot)
         return keyed.withColumn("lot", lot).drop("_key", "_bucket")
     if n // 16**BUCKET_DIGITS > lot_size:

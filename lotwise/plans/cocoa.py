@@ -34,7 +34,9 @@ MOST_BUCKETS = 1 << 16
 BLOCK_ROWS = 64
 BLOCK_CELLS = 1 << 20
 
-_STATE = "label int, ids array<bigint>, alpha array<double>, idx array<int>, value array<double>"
+def state_schema(key):
+    """A row per part; ``key`` is the type of ``row_id``."""
+    return f"label int, ids array<{key}>, alpha array<double>, idx array<int>, value array<double>"
 
 
 def part_sizes(n, k):
@@ -62,6 +64,7 @@ class PartTable:
         else:
             rows = rows.withColumn("label", F.col("part"))
         self.vectors = table.vector_columns
+        self.state_schema = state_schema(table.df.schema["row_id"].dataType.simpleString())
         rows = rows.select("label", "part", "row_id", "y", *self.vectors)
         self.rows, _ = self.written(rows.repartition(self.buckets, "label"), "parts")
 
@@ -88,9 +91,9 @@ def round_frame(parts, state, work, order_key, noise_key, number, passes):
         rows = rows.withColumn("noise", drawn)
     grouped = rows.groupBy("label")
     if state is None:
-        return grouped.applyInArrow(lambda mine: work(mine, None), _STATE)
+        return grouped.applyInArrow(lambda mine: work(mine, None), parts.state_schema)
     left = state.select("label", "ids", "alpha").groupBy("label")
-    return grouped.cogroup(left).applyInArrow(lambda mine, known: work(mine, known), _STATE)
+    return grouped.cogroup(left).applyInArrow(lambda mine, known: work(mine, known), parts.state_schema)
 
 
 class LocalSolver:
@@ -102,11 +105,12 @@ class LocalSolver:
         self.scales, self.key, self.width = scales, key, width
 
     def __call__(self, rows, state):
+        schema = _arrow(rows.schema.field("row_id").type)
         if not rows.num_rows:
-            return pa.table({"label": [], "ids": [], "alpha": [], "idx": [], "value": []}, _ARROW)
+            return pa.table([pa.array([], f.type) for f in schema], schema=schema)
         batch = rows.combine_chunks().to_batches()[0]
         part, label = int(batch.column("part")[0].as_py()), batch.column("label")[0]
-        ids = np.asarray(batch.column("row_id"))
+        ids = batch.column("row_id").to_numpy(zero_copy_only=False)
         order = np.argsort(ids)
         start = np.zeros(len(ids)) if state is None else self._known(ids[order], state)
         block, y = kernels.block_of(batch, self.width), np.asarray(batch.column("y"))
@@ -128,12 +132,12 @@ class LocalSolver:
         change = (view - self.model) / self.sigma_p
         index = np.flatnonzero(change).astype(np.int32)
         columns = [[label.as_py()], [ids[order]], [ended], [index], [change[index]]]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def _known(self, ids, state):
         """Dual values of the round before, in the order of the ids."""
         row = state.to_batches()[0] if state.num_rows == 1 else None
-        if row is None or not np.array_equal(row.column("ids").flatten(), ids):
+        if row is None or not np.array_equal(row.column("ids").flatten().to_numpy(zero_copy_only=False), ids):
             raise ValueError("the state of a part does not belong to its rows")
         return np.asarray(row.column("alpha").flatten())
 
@@ -172,10 +176,11 @@ class LocalSolver:
         alpha[chosen] += moves if noise is None else moves + noise[chosen]
 
 
-_ARROW = pa.schema([
-    ("label", pa.int32()), ("ids", pa.list_(pa.int64())), ("alpha", pa.list_(pa.float64())),
-    ("idx", pa.list_(pa.int32())), ("value", pa.list_(pa.float64())),
-])
+def _arrow(key):
+    return pa.schema([
+        ("label", pa.int32()), ("ids", pa.list_(key)), ("alpha", pa.list_(pa.float64())),
+        ("idx", pa.list_(pa.int32())), ("value", pa.list_(pa.float64())),
+    ])
 
 
 def check_part_size(table, k):
@@ -228,5 +233,5 @@ def train_cocoa(table, task, params, k, rounds, gamma=1.0, sigma_p=None, on_roun
     if path is None:
         return model, table.df.select("row_id", F.lit(0.0).alias("alpha"))
     pairs = F.explode(F.arrays_zip("ids", "alpha")).alias("e")
-    alpha = spark.read.schema(_STATE).parquet(path).select(pairs)
+    alpha = spark.read.schema(parts.state_schema).parquet(path).select(pairs)
     return model, alpha.select(F.col("e.ids").alias("row_id"), F.col("e.alpha").alias("alpha"))

@@ -123,7 +123,7 @@ def split_pair(df, rule):
 
 
 def _committed(spark, df, name):
-    """File rows get their key once, in a written table: all later steps see the same keys."""
+    """File rows are read and keyed once; all later steps read the written table."""
     return commit(df, scratch_path(spark, name))
 
 
@@ -134,8 +134,10 @@ def _libsvm(spark, paths, recipe):
 def _table(spark, paths, recipe):
     names = [f"f{i}" for i in range(recipe.width)]
     schema = readers.struct_of([(n, "double") for n in [*names, "y"]])
-    raw = readers.with_row_id(readers.scan_csv(spark, paths[0], schema, header=True))
-    return [encode.assemble(raw, names, [])]
+    raw = readers.scan_csv(spark, paths[0], schema, header=True)
+    # The last rows of a file are told by their order in it, everything else by what rows say.
+    keyed = readers.with_row_id(raw) if recipe.split[0] == "tail" else readers.with_content_key(raw)
+    return [encode.assemble(keyed, names, [])]
 
 
 def load_bank(spark, path):
@@ -146,7 +148,7 @@ def load_bank(spark, path):
     coded = encode.one_hot(kept, BANK_ENCODED)
     coded = clean.drop_columns(coded, BANK_DROPPED_INDICATORS)
     names = [c for c in coded.columns if c != "y"]
-    rows = readers.with_row_id(coded.withColumn("y", F.col("y").cast("double")))
+    rows = readers.with_content_key(coded.withColumn("y", F.col("y").cast("double")))
     return clean.remap_label(encode.assemble(rows, [], names), 1.0)
 
 
@@ -158,6 +160,7 @@ def load_clicks(spark, path):
     numbers = [n for n, kind in CLICK_COLUMNS if kind == "double" and n != "y"]
     coded = encode.category_codes(_committed(spark, filled, "clicks"), texts)
     fewer = split.unbalance_classes(coded, CLICK_POSITIVES)
+    fewer = readers.with_content_key(_committed(spark, fewer.drop("row_id"), "clicks-kept"))
     rows = scale.mean_range_normalize(encode.assemble(fewer, numbers, texts))
     return clean.remap_label(rows, 1.0)
 
@@ -175,14 +178,14 @@ def load_census(spark, train_path, test_path):
     ]
     low = F.trim("income").isin(*CENSUS_LOW_INCOME)
     sides = [
-        _committed(spark, readers.with_row_id(
+        _committed(spark, readers.with_content_key(
             clean.drop_columns(s, CENSUS_DROPPED)
             .withColumn("y", F.when(low, F.lit(-1.0)).otherwise(F.lit(1.0))).drop("income")
         ), "census")
         for s in sides
     ]
     numbers = [c for c in clean.columns_of_type(sides[0], "int") if c != "row_id"]
-    texts = clean.columns_of_type(sides[0], "string")
+    texts = [c for c in clean.columns_of_type(sides[0], "string") if c != "row_id"]
     filled = [clean.fill_mode(s, CENSUS_IMPUTED) for s in sides]
     # Category order counts the values as read, before imputation.
     counts = encode.level_counts(sides[0].select(*texts).unionByName(sides[1].select(*texts)), texts)

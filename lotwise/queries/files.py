@@ -105,24 +105,43 @@ def write_eps_curve(spark, sf):
     return readers.scan_csv(spark, path, schema, header=False).select("sigma", r6("eps", "eps"))
 
 
-@query("load_dataset")
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+LOADED_SQL = f"""
+with x as (
+  select round(o_totalprice)::double as y,
+         [{", ".join(f"(o_orderpriority = '{p}')::int::double" for p in PRIORITIES)}, o_custkey::double,
+          {", ".join(f"(o_orderstatus = '{s}')::int::double" for s in "FO")}] as f from orders),
+l as (select y, f, y || ' ' || array_to_string(list_transform(list_filter(range(1, 9), lambda i: f[i] <> 0e0),
+             lambda i: i || ':' || f[i]), ' ') as line from x),
+k as (select y, f, md5(line) || '-' || (row_number() over (partition by line) - 1) as row_id from l),
+r as (select *, row_number() over (order by md5('42|' || row_id), row_id)
+             <= (select ceil(count(*) * 0.25e0) from k) as test from k),
+m as (select avg(y) filter (not test) as mean from r),
+p as (select row_id, test, unnest(f) as v, unnest(range(8)) as i from r),
+a as (select i, max(abs(v)) as top from p where not test group by i),
+s as (select row_id, i, v / case when top = 0e0 then 1e0 else top end as v from p join a using (i)),
+n as (select row_id, sqrt(sum(v * v)) as length from s group by row_id)
+select case when test then 'test' else 'train' end as side, row_id, round(y - mean, 6) + 0e0 as y,
+       i::int as idx, round(v / length, 6) + 0e0 as value
+from s join n using (row_id) join r using (row_id), m where v <> 0e0"""
+
+
+@query("load_dataset", LOADED_SQL)
 def load_dataset_query(spark, sf):
     """Orders written as a sparse label file and loaded through a regression recipe."""
     root = scratch_path(spark, "datasets")
-    orders = table(spark, sf, "orders")
-    rows = orders.select(
-        (F.col("o_totalprice") / 1e5).alias("y"),
-        F.array(*[
-            (F.col("o_orderpriority") == p).cast("double")
-            for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
-        ], (F.col("o_custkey") / 1e3).cast("double"),
-            *[(F.col("o_orderstatus") == s).cast("double") for s in "FO"]).alias("features"),
+    flags = [("o_orderpriority", p) for p in PRIORITIES], [("o_orderstatus", s) for s in "FO"]
+    marks = [[(F.col(c) == v).cast("double") for c, v in some] for some in flags]
+    rows = table(spark, sf, "orders").select(
+        F.round("o_totalprice").cast("double").alias("y"),
+        F.array(*marks[0], F.col("o_custkey").cast("double"), *marks[1]).alias("features"),
     )
     readers.write_libsvm(rows, f"{root}/cadata/cadata")
     train, test = load_dataset(spark, "cadata", root)
     sides = [f.withColumn("side", F.lit(s)) for f, s in ((train, "train"), (test, "test"))]
     both = sides[0].unionByName(sides[1])
-    return both.select("side", "row_id", "y", "features")
+    entries = both.select("side", "row_id", r6("y", "y"), F.posexplode("features").alias("idx", "value"))
+    return entries.where("value <> 0").withColumn("value", r6("value", "value"))
 
 
 def customers_by_side(spark, sf, root):
