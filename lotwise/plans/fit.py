@@ -189,7 +189,7 @@ def ledger_of(spark, runs, n, solver, mode_of):
     return spark.createDataFrame(rows, schema)
 
 
-def _refusals(table, runs, solver):
+def _refusals(table, task, runs, solver):
     """Why a run cannot be trained, by run."""
     found = {}
     for r in runs:
@@ -199,6 +199,8 @@ def _refusals(table, runs, solver):
                 r.lot_size(table.n)
             if solver in ("dual_parallel", "sgd", "primal_cd") and r.k != 1:
                 raise ValueError("K is the number of parts of CoCoA and of sequential training only")
+            if r.searches and solver != "primal_cd" and (solver != "dual_parallel" or task.name != "ridge" or r.private):
+                raise ValueError("a line search is for the ridge task, by lots of the dual, without noise")
             if solver == "primal_cd" and r.private:
                 raise ValueError("primal coordinates have no private form: steps are not clipped")
         except ValueError as refused:
@@ -267,10 +269,14 @@ class _Watch:
 
 def fit_runs(
     df, task, solver, runs, fit_intercept=True, mode=None, validation=None, trace=False, keep_going=False, sink=None,
+    start=None,
 ):
     """Train every run.  Runs with the same lots share their passes; wide groups are chunked so
     that the models in flight stay within a fixed size.
 
+    ``start`` is an earlier result of the same runs and rows, whose models and dual values the parallel
+    dual and SGD begin with.
+
     A run that cannot be trained raises its error; with ``keep_going`` it gets a line ``stopped`` in
     the trace, with the reason, and the others are trained.
     """
@@ -282,12 +288,14 @@ def fit_runs(
     if shorten and len({r.private for r in runs}) == 2:
         # Rows are shortened for private runs only, so these have their own passes.
         sides = [[r for r in runs if r.private is private] for private in (False, True)]
-        rest = (fit_intercept, mode, validation, trace, keep_going, sink)
+        rest = (fit_intercept, mode, validation, trace, keep_going, sink, start)
         return _joined(runs, *[fit_runs(df, task, solver, side, *rest) for side in sides])
     # With its constant 1 a unit row is sqrt(2) long; private dual steps need length 1.
     factor = math.sqrt(0.5) if shorten and any(r.private for r in runs) else 1.0
     rows = _shortened(add_intercept(df), factor) if fit_intercept else df
     spark = df.sparkSession
+    if start is not None and solver not in ("dual_parallel", "sgd"):
+        raise ValueError("only the parallel dual and SGD begin with an earlier result")
     held = None
     if validation is not None:
         held = _shortened(add_intercept(validation), factor) if fit_intercept else validation
@@ -298,7 +306,7 @@ def fit_runs(
             held = rows if validation is df else commit(narrow(held), scratch_path(spark, "held"))
     table = training_table(rows)
     mode_of = lambda r: mode or ("poisson" if r.private else "exact")
-    refused = _refusals(table, runs, solver)
+    refused = _refusals(table, task, runs, solver)
     noisy = _with_noise(spark, [r for r in runs if r.run_id not in refused], table.n, solver, mode_of)
     missed = [r.run_id for r in noisy if r.sigma is None]
     refused.update({m: ArithmeticError(f"no noise meets the target epsilon of run {m}") for m in missed})
@@ -315,13 +323,14 @@ def fit_runs(
     if solver in ("dual_parallel", "sgd"):
         groups = {}
         for r in runs:
-            key = (r.lot_size(table.n), r.max_iter, r.seed, mode_of(r), r.private)
+            key = (r.lot_size(table.n), r.max_iter, r.seed, mode_of(r), r.private, r.searches)
             groups.setdefault(key, []).append(r)
         size = max(1, MODEL_CELLS // table.width)
-        for (lot, last, _, chosen, _), members in groups.items():
-            for start in range(0, len(members), size):
-                chunk = members[start : start + size]
-                done = train_group(table, task, solver, chunk, lot, chosen, watch_of(chunk, last))
+        for (lot, last, _, chosen, *_), members in groups.items():
+            for low in range(0, len(members), size):
+                chunk = members[low : low + size]
+                begin = _begin(start, chunk, table.width) if start else None
+                done = train_group(table, task, solver, chunk, lot, chosen, watch_of(chunk, last), begin)
                 for i, r in enumerate(chunk):
                     shared[r.run_id] = done.models[i]
                     scale = 1.0 if solver == "sgd" else r.lambda_ * table.n
@@ -349,6 +358,21 @@ def fit_runs(
     )
 
 
+def _begin(start, runs, width):
+    """Models and dual values of an earlier result for some of its runs."""
+    missing = [r.run_id for r in runs if r.run_id not in start.shared]
+    if missing or any(len(start.shared[r.run_id]) != width for r in runs if r.run_id in start.shared):
+        raise ValueError(f"the earlier result has no models of this width for runs {missing or [r.run_id for r in runs]}")
+    models = np.stack([start.shared[r.run_id] for r in runs])
+    if runs[0].run_id not in start.alpha:
+        return models, None
+    values = None
+    for i, r in enumerate(runs):
+        one = start.alpha[r.run_id].select("row_id", F.col("alpha").alias(f"_{i}"))
+        values = one if values is None else values.join(one, "row_id")
+    return models, values.select("row_id", F.array(*[f"_{i}" for i in range(len(runs))]).alias("alpha"))
+
+
 def _shortened(df, factor):
     if factor == 1.0:
         return df

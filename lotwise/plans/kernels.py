@@ -132,8 +132,8 @@ class DualStep:
 def _fold(step, block, batch, y, sq, history, before):
     """Dual values of a batch after the lots of ``lots`` that come before lot ``before``.
 
-    ``history`` maps a lot to the models in force when it was processed and the runs that were
-    still active.  The lots of a row are taken in order; rows that share a lot at the same place in
+    ``history`` maps a lot to the models in force when it was processed, the runs that were still
+    active, and its step sizes.  The lots of a row are taken in order; rows that share a lot at the same place in
     their lists move together.  A row that is twice in one lot takes its step twice, from one score.
     """
     runs = len(step.gamma)
@@ -157,22 +157,26 @@ def _fold(step, block, batch, y, sq, history, before):
             if place:
                 fresh = flat[at - 1] != lot
                 chosen, at = chosen[fresh], at[fresh]
-            models, active = history[int(lot)]
+            models, active, gamma = history[int(lot)]
             z = block.row_scores(chosen, models)
             move = step.deltas(z, y[chosen], alpha[chosen], sq[chosen])
             again = (lengths[chosen] > place + 1) & (flat[np.minimum(at + 1, len(flat) - 1)] == lot)
             move = move * np.where(again, 2.0, 1.0)[:, None]
             if noisy:
                 move = move + noise[at] * step.noise[None, :]
-            alpha[chosen] += (step.gamma * active)[None, :] * move
+            alpha[chosen] += (gamma * active)[None, :] * move
     return alpha
 
 
-def dual_lot(step, models, history, lot, width):
-    """Sum of clipped step times features over the rows of one lot."""
+#: what a line search needs besides the sum of vectors: steps times (y - alpha), squared steps
+SEARCH_SUMS = 2
+
+
+def dual_lot(step, models, history, lot, width, search=False):
+    """Sum of clipped step times features over the rows of one lot; with ``search`` SEARCH_SUMS more."""
 
     def run(batches):
-        total = np.zeros(models.shape)
+        total = np.zeros((len(models), width + SEARCH_SUMS * search))
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -180,7 +184,11 @@ def dual_lot(step, models, history, lot, width):
             y = np.asarray(batch.column("y"))
             sq = block.sq_norms()
             alpha = _fold(step, block, batch, y, sq, history, lot)
-            total += block.weighted_sum(step.deltas(block.scores(models), y, alpha, sq))
+            deltas = step.deltas(block.scores(models), y, alpha, sq)
+            total[:, :width] += block.weighted_sum(deltas)
+            if search:
+                total[:, width] += (deltas * (y[:, None] - alpha)).sum(axis=0)
+                total[:, width + 1] += (deltas * deltas).sum(axis=0)
         yield _sums_batch(total)
 
     return run

@@ -59,9 +59,11 @@ class GroupResult:
     alpha: object = None  # frame (row_id, alpha ARRAY) or None
 
 
-def add_sums(spark, sums, noise, width, keys, lot):
+def add_sums(spark, sums, noise, width, keys, lot, more=0):
     """Sum the tasks' partials per run and feature, add the noise, bring the small result back.
 
+    ``more`` sums without noise may follow the features.
+
     Noise is its own frame of runs x features rows, so features that no row of the lot has get
     theirs too; it is added before anything leaves the executors.
     """
@@ -76,7 +78,7 @@ def add_sums(spark, sums, noise, width, keys, lot):
         value = F.get(scales, F.col("run")) * keyed_normal(key, "w", lot, F.col("idx"))
         sums = sums.unionByName(drawn.withColumn("value", value))
     total = sums.groupBy("run", "idx").agg(F.sum("value").alias("value")).toArrow()
-    out = np.zeros((len(noise), width))
+    out = np.zeros((len(noise), width + more))
     out[total["run"].to_numpy(), total["idx"].to_numpy()] = total["value"].to_numpy()
     return out
 
@@ -172,11 +174,26 @@ def _layout(df):
     return copies.withColumns({"lot": F.coalesce("lot", F.lit(-1)), "_copy": F.coalesce("_copy", F.lit(0))})
 
 
-def train_group(table, task, solver, runs, lot_size, mode, on_epoch=None):
+def searched_gamma(total, models, lam_n, width):
+    """Step sizes that minimise the ridge dual along a lot's summed step, one for each run.
+
+    ``total`` holds the step of the shared vector and the SEARCH_SUMS behind it.
+    """
+    move = total[:, :width]
+    gain = total[:, width] - (models * move).sum(axis=1) / lam_n
+    curvature = total[:, width + 1] + (move * move).sum(axis=1) / lam_n
+    return np.divide(gain, curvature, out=np.zeros(len(gain)), where=curvature > 0)
+
+
+def train_group(table, task, solver, runs, lot_size, mode, on_epoch=None, start=None):
     """Train runs that share lot size, epochs, seed, lot mode and privacy, over all whole lots.
 
     ``on_epoch(epoch, models) -> active`` may watch the models and stop runs; a stopped run keeps
-    its last models.
+    its last models.  ``start`` gives models to begin with, runs x features, and for the dual a frame
+    ``(row_id, alpha)`` with an array of the runs' values; rows that it lacks begin at zero.
+
+    Runs whose ``gamma`` is -1 choose each lot's step size by line search: the lot's own job brings the
+    two more sums that it takes.
     """
     spark = table.df.sparkSession
     dual = solver == "dual_parallel"
@@ -185,8 +202,9 @@ def train_group(table, task, solver, runs, lot_size, mode, on_epoch=None):
     keys = [r.noise_key(solver, task.name) for r in runs]
     count, width = len(runs), table.width
     noise = [noise_scale(solver, r.sigma, r.clip, lot_size) for r in runs]
-    models = np.zeros((count, width))
+    models = np.zeros((count, width)) if start is None else np.array(start[0], dtype=float)
     gamma = np.array([1.0 if r.gamma is None else r.gamma for r in runs])
+    search = dual and any(r.searches for r in runs)
     lam = np.array([r.lambda_ for r in runs])
     step = kernels.DualStep(
         task,
@@ -200,10 +218,14 @@ def train_group(table, task, solver, runs, lot_size, mode, on_epoch=None):
     paths = [scratch_path(spark, "lots-a"), scratch_path(spark, "lots-b")]
     state = table.df
     if dual:
-        state = state.withColumn("alpha", F.array(*[F.lit(0.0)] * count))
+        zeros = F.array(*[F.lit(0.0)] * count)
+        if start is None or start[1] is None:
+            state = state.withColumn("alpha", zeros)
+        else:
+            state = state.join(start[1], "row_id", "left").withColumn("alpha", F.coalesce("alpha", zeros))
     state_columns = list(state.columns)
     poisson = mode == "poisson"
-    plan = LotPlan(table.n, lot_size, epochs, mode, apart=not poisson and any(r.private for r in runs))
+    plan = LotPlan(table.n, lot_size, epochs, mode, apart=not poisson and any(r.private or r.searches for r in runs))
     active = np.ones(count, dtype=bool)
     history = {}
     seen = 0
@@ -229,16 +251,19 @@ def train_group(table, task, solver, runs, lot_size, mode, on_epoch=None):
         for lot in segment.lots:
             rows = laid_out.where(F.col("lot") == lot)
             if dual:
-                history[lot] = (models.copy(), active.copy())
-                work = kernels.dual_lot(step, models, history if poisson else {}, lot, width)
+                work = kernels.dual_lot(step, models, dict(history) if poisson else {}, lot, width, search)
                 names = ["y", "alpha", "lots", *vectors] + (["noise"] if "noise" in rows.columns else [])
                 if not poisson:
                     # A row has one lot per segment: nothing precedes it.
                     rows = rows.withColumn("lots", F.array().cast("array<int>"))
                     names = [c for c in names if c != "noise"]
                 sums = rows.select(*names).mapInArrow(work, kernels.SUM_SCHEMA)
-                total = add_sums(spark, sums, noise, width, keys, lot)
-                moved = models + gamma[:, None] * total
+                total = add_sums(spark, sums, noise, width, keys, lot, kernels.SEARCH_SUMS * search)
+                steps = gamma
+                if search:
+                    steps = np.where(gamma == -1.0, searched_gamma(total, models, step.lam_n, width), gamma)
+                history[lot] = (models.copy(), active.copy(), steps)
+                moved = models + steps[:, None] * total[:, :width]
             else:
                 work = kernels.gradient_lot(task, models, [r.bounded_clip for r in runs], width)
                 sums = rows.select("y", *vectors).mapInArrow(work, kernels.SUM_SCHEMA)

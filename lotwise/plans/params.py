@@ -18,7 +18,8 @@ class RunParams:
     """One run.  Values never change during training.
 
     ``clip`` 0 switches clipping off and -1 means no bound.  ``sigma_p`` and ``gamma`` default per
-    solver: lot size and 1 for the parallel dual, K and 1 for CoCoA, 1 as the SGD step size.
+    solver: lot size and 1 for the parallel dual, K and 1 for CoCoA, 1 as the SGD step size.  A
+    ``gamma`` of -1 asks the parallel ridge dual and the primal coordinates for a line search.
     ``eps`` > 0 asks for the noise that meets it.  ``sample_ratio`` is the share of rows that a sweep of
     primal coordinates looks at; other solvers do not use it.
     """
@@ -41,6 +42,11 @@ class RunParams:
     def private(self):
         return self.sigma > 0 or self.eps > 0
 
+    @property
+    def searches(self):
+        """Whether step sizes are found by line search."""
+        return self.gamma == -1
+
     @property
     def bounded_clip(self):
         """Clipping bound as a number: no clipping is an infinite bound."""

@@ -70,9 +70,19 @@ group by el.row_id)""")
             return "0e0"
         return f"{sigma}e0 * {normal_sql(f'{chr(39)}{self.key}|{kind}|' + index)}"
 
-    def dual(self, task, clip=None, noise=None):
+    def after(self, other):
+        """Begin with the models and dual values that another run ends with."""
+        self.ctes += [
+            f"{self.p}w0 as (select i, w from {other.p}w{other.last})", f"{self.p}a0 as (select row_id, alpha from {other.p}a{other.last})",
+        ]
+        own = (f"{self.p}w0 as (select distinct", f"{self.p}a0 as (select row_id, 0e0")
+        self.ctes = [c for c in self.ctes if not c.startswith(own)]
+        return self
+
+    def dual(self, task, clip=None, noise=None, search=False):
         p = self.p
         scale = 0 if noise is None else noise
+        size = lambda t: f"(select gamma from {p}e{t}) * " if search else ""
         for t in range(len(self.steps)):
             self.scored(t)
             raw = delta_sql(task, lam_n=f"({self.lam}e0 * n)", sigma_p="l::double")
@@ -82,10 +92,14 @@ group by el.row_id)""")
             self.ctes += [
                 f"{p}d{t} as (select row_id, times * {step} as d from {p}s{t}, {p}nn)",
                 f"{p}g{t} as (select i, sum(v * d) as g from el join {p}d{t} using (row_id) group by i)",
-                f"{p}w{t + 1} as (select i, w + coalesce(g, 0e0) + {w_noise} as w "
+                *([f"""{p}e{t} as (
+select (gain - wd / ({self.lam}e0 * n)) / (dd + dw / ({self.lam}e0 * n)) as gamma from {p}nn,
+       (select sum(d * (y - alpha)) as gain, sum(d * d) as dd from {p}d{t} join {p}s{t} using (row_id)),
+       (select sum(w * g) as wd, sum(g * g) as dw from {p}w{t} join {p}g{t} using (i)))"""] if search else []),
+                f"{p}w{t + 1} as (select i, w + {size(t)}coalesce(g, 0e0) + {w_noise} as w "
                 f"from {p}w{t} left join {p}g{t} using (i))",
                 f"{p}a{t + 1} as (select row_id, alpha + case when d is null then 0e0 "
-                f"else d + {a_noise} end as alpha from {p}a{t} left join {p}d{t} using (row_id))",
+                f"else {size(t)}d + {a_noise} end as alpha from {p}a{t} left join {p}d{t} using (row_id))",
             ]
         return self
 
@@ -220,6 +234,35 @@ def fit_sgd_spanning(spark, sf):
     return coef_out(fit(embeddings(spark, sf), "logistic", "SGD", run, fit_intercept=False))
 
 
+SEARCHED = Unrolled("", 0.5, 1, 2).dual("ridge", search=True)
+
+
+@query("fit_dual_parallel_search", f"with recursive {EMB},\n{SEARCHED.text}\n{dual_coef_sql(SEARCHED)}")
+def fit_dual_parallel_search(spark, sf):
+    """Two lots, each with the step size that its own sums find best."""
+    return coef_out(fit(embeddings(spark, sf), "ridge", "PSCD", params(max_iter=1, gamma=-1), fit_intercept=False))
+
+
+@query("fit_dual_parallel_search_alpha", f"""with recursive {EMB},
+{SEARCHED.text}
+select row_id, round(alpha, 6) + 0e0 as alpha from a{SEARCHED.last}""")
+def fit_dual_parallel_search_alpha(spark, sf):
+    result = fit(embeddings(spark, sf), "ridge", "PSCD", params(max_iter=1, gamma=-1), fit_intercept=False)
+    return result.alpha[0].select("row_id", r6("alpha", "alpha"))
+
+
+WARM_FIRST = Unrolled("f_", 0.5, 1, 2).dual("logistic")
+WARM = Unrolled("", 0.5, 1, 2).after(WARM_FIRST).dual("logistic")
+
+
+@query("fit_warm_start", f"with recursive {EMB},\n{WARM_FIRST.text},\n{WARM.text}\n{dual_coef_sql(WARM)}")
+def fit_warm_start(spark, sf):
+    """An epoch, and another one from its models and dual values."""
+    rows, run = embeddings(spark, sf), params(max_iter=1)
+    first = fit(rows, "logistic", "PSCD", run, fit_intercept=False)
+    return coef_out(fit(rows, "logistic", "PSCD", run, fit_intercept=False, start=first))
+
+
 GRID_LAMBDAS = (0.1, 0.01)
 GRID_RATIOS = (0.5, 0.34)
 GRID_RUNS = [

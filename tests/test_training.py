@@ -439,3 +439,40 @@ def test_skips_over_lots(spark, monkeypatch, size, steps):
         assert got == want
     share = sum(map(len, want.values())) / (200 * len(steps))
     assert share == pytest.approx(size / 200, abs=4 * math.sqrt(size / 200 / (200 * len(steps))) + 1e-9)
+
+
+@pytest.mark.parametrize("solver", ["PSCD", "SGD"])
+def test_training_goes_on_from_an_earlier_result(small, solver):
+    from lotwise.plans.fit import fit_runs
+
+    df, x, _ = small
+    runs = [RunParams(run_id=i, lambda_=LAM, lot_ratio=ratio, max_iter=1, seed="s") for i, ratio in enumerate((0.5, 0.5, 0.3))]
+    first = fit_runs(df, "ridge", solver, runs, fit_intercept=False)
+    again = fit_runs(df, "ridge", solver, runs, fit_intercept=False, start=first)
+    for run in runs:
+        alone = fit(df, "ridge", solver, run, fit_intercept=False)
+        np.testing.assert_allclose(
+            fit(df, "ridge", solver, run, fit_intercept=False, start=alone).shared[run.run_id], again.shared[run.run_id], atol=1e-12
+        )
+        assert not np.allclose(again.shared[run.run_id], first.shared[run.run_id])
+    if solver == "PSCD":
+        np.testing.assert_allclose(x.T @ alphas(again, 60, 2), again.shared[2], atol=1e-9)
+    with pytest.raises(ValueError):
+        fit(df, "ridge", solver, RunParams(run_id=7, lambda_=LAM, lot_ratio=0.5, max_iter=1), fit_intercept=False, start=first)
+
+
+@pytest.mark.parametrize("mode", ["exact", "poisson"])
+def test_searched_steps_never_raise_the_dual(small, mode):
+    df, x, y = small
+    costs = []
+    for epochs in (1, 2, 3):
+        run = RunParams(lambda_=LAM, lot_ratio=0.4, max_iter=epochs, seed="s", gamma=-1)
+        got = fit(df, "ridge", "PSCD", run, fit_intercept=False, mode=mode)
+        a = alphas(got, 60)
+        np.testing.assert_allclose(x.T @ a, got.shared[0], atol=1e-9)
+        costs.append(0.5 * a @ a - a @ y + got.shared[0] @ got.shared[0] / (2 * LAM * 60))
+    assert costs[0] > costs[1] > costs[2] and costs[0] < 0
+    for refused in (("hinge", "PSCD", {}), ("ridge", "SGD", {}), ("ridge", "PSCD", {"sigma": 1.0, "clip": 0.1, "seed": "q"})):
+        with pytest.raises(ValueError):
+            run = RunParams(**{"lambda_": LAM, "lot_ratio": 0.4, "max_iter": 1, "seed": "s", "gamma": -1, **refused[2]})
+            fit(df, refused[0], refused[1], run, fit_intercept=False)
