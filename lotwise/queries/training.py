@@ -378,7 +378,7 @@ def epoch_trace(spark, sf):
     return result.trace_frame().select("epoch", r6("cost", "cost"), r6("mse", "mse"))
 
 
-def primal_sql(task, sweeps, share=None):
+def primal_sql(task, sweeps, share=None, damping="0.05e0"):
     ctes = ["nn as (select count(*) as n from emb)", "t0 as (select distinct i, 0e0 as w from el)"]
     lam = f"{LAMBDA}e0"
     sampled = lambda t: "" if share is None else (
@@ -400,7 +400,7 @@ def primal_sql(task, sweeps, share=None):
             f"join s{t} using (row_id) group by i)"
         )
         ctes.append(
-            f"t{t + 1} as (select i, w + 0.05e0 * (g - {pen} * w) / (h + {pen}) as w "
+            f"t{t + 1} as (select i, w + {damping} * (g - {pen} * w) / (h + {pen}) as w "
             f"from t{t} join g{t} using (i), nn)"
         )
     body = ",\n".join(ctes)
@@ -439,19 +439,6 @@ def fit_primal_cd_sampled(spark, sf):
     return coef_out(fit(embeddings(spark, sf), "logistic", "primal_cd", run, fit_intercept=False))
 
 
-@query("fit_dispatch")
-def fit_dispatch(spark, sf):
-    """Every solver by its short name, with an intercept: one line of metrics each."""
-    rows = embeddings(spark, sf)
-    out = None
-    for name in ("PSCD", "SSCD", "SGD", "COCOA", "primal_cd"):
-        k = 4 if name in ("SSCD", "COCOA") else 1
-        result = fit(rows, "RR", name, params(max_iter=1, k=k, gamma=0.1 if name == "SGD" else None))
-        line = result.evaluate(rows).select(F.lit(name).alias("solver"), "loss", "mse", "r2")
-        out = line if out is None else out.unionByName(line)
-    return out
-
-
 @query("fit_dual_sequential")
 def fit_dual_sequential(spark, sf):
     """Each row sees the model left by the row before it."""
@@ -508,10 +495,10 @@ def fit_dual_sequential_pass(spark, sf):
     return coef_out(fit(embeddings(spark, sf), "hinge", "SSCD", run, fit_intercept=False))
 
 
-def cocoa_sql(rounds, clip=None, noise=None, key=None, task="ridge", whole_lots=False):
+def cocoa_sql(rounds, clip=None, noise=None, key=None, task="ridge", whole_lots=False, width=64, source=EMB):
     """``noise`` is the multiple of a lot's deviation that is drawn after each of a part's two lots."""
     whole = " join ls using (part) qualify t <= size - size % l" if noise is not None or whole_lots else ""
-    ctes = ["m0 as (select list_transform(range(64), lambda j: 0e0) as w)",
+    ctes = [f"m0 as (select list_transform(range({width}), lambda j: 0e0) as w)",
             "a0 as (select row_id, 0e0 as alpha from emb)",
             f"pt as (select row_id, (ntile(4) over (order by md5('{SEED}|' || row_id), row_id) - 1)::int "
             "as part from emb)",
@@ -526,11 +513,11 @@ select part, t, t % l = 0 as ends, t // l as lot, sqrt((4e0 * l * l - 2e0) * {cl
 from o{r} join ls using (part))""", f"""z{r} as (
 select part, t, list(case when ends then deviation * {normal_sql(f"'{key}|w|{r}|' || part || '|' || lot || '|' || j")}
                      else 0e0 end order by j) as e
-from h{r}, range(64) q(j) group by part, t)"""]),
+from h{r}, range({width}) q(j) group by part, t)"""]),
             walk_sql(r, "4e0", task, clip, noise),
             f"e{r} as (select part, max(t) as t from v{r} group by part)",
             f"c{r} as (select i, any_value(w) + sum((v - w) / 4e0) as w from (select "
-            f"unnest(range(64)) as i, unnest(view) as v, unnest(w) as w from v{r} join e{r} using (part, t), "
+            f"unnest(range({width})) as i, unnest(view) as v, unnest(w) as w from v{r} join e{r} using (part, t), "
             f"m{r}) group by i)",
             f"m{r + 1} as (select list(w order by i) as w from c{r})",
             f"a{r + 1} as (select row_id, alpha + coalesce(d, 0e0) as alpha from a{r} left join v{r} using (row_id))"
@@ -539,7 +526,7 @@ select row_id, alpha + coalesce(d + deviation * {normal_sql(f"'{key}|a|{r}|0|' |
 from a{r} left join (select row_id, d, deviation from v{r} join h{r} using (part, t)) using (row_id))""",
         ]
     body = ",\n".join(ctes)
-    return f"with recursive {EMB}, {ROWS_SQ},\n{body}\n"
+    return f"with recursive {source}, {ROWS_SQ},\n{body}\n"
 
 
 COCOA_ROUNDS = 3
@@ -590,6 +577,46 @@ def fit_cocoa_alpha(spark, sf):
     return result.alpha[0].select("row_id", r6("alpha", "alpha"))
 
 
+DISPATCHED = ("PSCD", "SSCD", "SGD", "COCOA", "primal_cd")
+
+
+def dispatch_sql():
+    """All solvers on rows with a constant 1 in front, each with its metrics."""
+    ones = """raw as (select vec_id as row_id, case when label = 0 then 1e0 else -1e0 end as y, embedding from embeddings),
+emb as (select row_id, y, list_concat([1e0], list_transform(embedding, lambda v: v::double)) as x from raw),
+el as (select row_id, y, unnest(range(65)) as i, unnest(x) as v from emb)"""
+    dual, sgd = Unrolled("d_", 0.5, 1, 2).dual("ridge"), Unrolled("s_", 0.5, 1, 2).sgd("ridge", 10**9, 0.1)
+    primal = primal_sql("ridge", 1, damping="(1e0 / 65)").split("\n", 1)[1].rsplit("\n", 1)[0].split(",\n", 1)[1]
+    primal = primal[primal.index("t0 as"):]
+    models = {
+        "PSCD": f"select i, w / ({LAMBDA}e0 * n) as c from d_w{dual.last}, nn",
+        "SSCD": f"select i, w / ({LAMBDA}e0 * n) as c from c0, nn",
+        "SGD": f"select i, w as c from s_w{sgd.last}",
+        "COCOA": f"select i, w / ({LAMBDA}e0 * n) as c from c0, nn",
+        "primal_cd": "select i, w as c from t1",
+    }
+    lines = [f"""select '{name}' as solver, round(avg((z - y) * (z - y)) / 2e0, 6) + 0e0 as loss,
+       round(avg((z - y) * (z - y)), 6) + 0e0 as mse, round(1e0 - avg((z - y) * (z - y)) / var_pop(y), 6) + 0e0 as r2
+from (select row_id, any_value(y) as y, sum(v * c) as z from el join ({model}) using (i) group by row_id)"""
+             for name, model in models.items()]
+    parts = cocoa_sql(1, whole_lots=True, width=65, source=ones).rstrip()
+    return f"{parts},\n{dual.text},\n{sgd.text},\n{primal}\n" + "\nunion all\n".join(lines)
+
+
+@query("fit_dispatch", dispatch_sql())
+def fit_dispatch(spark, sf):
+    """Every solver by its short name, with an intercept: one line of metrics each."""
+    rows = embeddings(spark, sf)
+    out = None
+    for name in DISPATCHED:
+        k = 4 if name in ("SSCD", "COCOA") else 1
+        result = fit(rows, "RR", name, params(max_iter=1, k=k, gamma=0.1 if name == "SGD" else None))
+        metrics_of = [r6(c, c) for c in ("loss", "mse", "r2")]
+        line = result.evaluate(rows).select(F.lit(name).alias("solver"), *metrics_of)
+        out = line if out is None else out.unionByName(line)
+    return out
+
+
 FLAGSHIP = dict(lambda_=0.1, lot_ratio=0.5, max_iter=1, clip=0.5, sigma=0.5, seed=SEED)
 FLAG_RUN = Unrolled(
     "", 0.5, 1, 2, lam=0.1, key=RunParams(**FLAGSHIP).noise_key("dual_parallel", "ridge")
