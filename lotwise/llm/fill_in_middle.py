@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import functions as F
 
+from lotwise.llm.tables import unused
+
 #: one code point, line ends included
 CODE_POINT = "(?s:.)"
 #: before prefix, suffix and middle
@@ -36,7 +38,7 @@ def rearrange(
     treated alike.  All columns stay; one that is named like ``into`` is replaced.
     """
     check_sentinels(sentinels)
-    own = _unused(docs.columns)
+    own = unused(docs.columns, "_work")
     sha = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"), 256)
     rows = docs.withColumn(own, F.struct(sha.alias("sha"), F.coalesce(F.col(text), F.lit("")).alias("body")))
     whole = F.struct(f"{own}.*", unit_count(F.col(f"{own}.body"), unit).alias("units"))
@@ -104,11 +106,3 @@ def _replacement(sentinels, form):
     marks = dict(zip("psm", (re.sub(r"([\\$])", r"\\\1", mark) for mark in sentinels)))
     groups = {"p": "${prefix}", "s": "${suffix}", "m": "${middle}"}
     return "".join(marks[c] + groups[c] for c in form)
-
-
-def _unused(names):
-    """A column name that no given column has, in either case."""
-    taken, name = {n.lower() for n in names}, "_work"
-    while name in taken:
-        name += "_"
-    return name

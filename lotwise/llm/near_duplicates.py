@@ -23,7 +23,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lotwise.llm.components import components
-from lotwise.llm.tables import commit
+from lotwise.llm.tables import commit, unused
 from lotwise.llm.words import Words, mix, pieces
 
 SHINGLE = 5
@@ -65,17 +65,20 @@ def kept_documents(docs, similarity=SIMILARITY, key="doc_id", text="text"):
 
     Rows without words all stay.
     """
-    found = _classified(docs, similarity, key, text).filter("is_kept")
-    kept = found.groupBy(F.col("doc_id").alias("_key"), F.col("digest").alias("_of")).agg(
-        (F.max("worded") & (F.max("copies") > 1)).alias("_repeated")
+    own, of = unused(docs.columns, "_key"), unused(docs.columns, "_of")
+    found = _classified(docs, similarity, key, text)
+    keys = found.groupBy(F.col("doc_id").alias(own), F.col("digest").alias(of)).agg(
+        F.max("is_kept").alias("kept"), F.max(F.col("is_kept") & F.col("worded") & (F.col("copies") > 1)).alias("repeated")
     )
-    same = F.col(key).cast("bigint").eqNullSafe(F.col("_key")) & _digest(F.col(text)).eqNullSafe(F.col("_of"))
-    single = docs.join(kept.filter("not _repeated"), same, "left_semi")
-    repeated = kept.filter("_repeated")
+    # What goes, or stays once of several equal rows, is less than what stays as it is.
+    away = commit(keys.filter("not kept or repeated"), "away")
+    same = F.col(key).cast("bigint").eqNullSafe(F.col(own)) & _digest(F.col(text)).eqNullSafe(F.col(of))
+    single = docs.join(away.select(own, of), same, "left_anti")
+    repeated = away.filter("repeated").select(own, of)
     if repeated.isEmpty():
         return single
-    once = docs.join(repeated, same).groupBy("_key", "_of").agg(F.first(F.struct(*docs.columns)).alias("_row"))
-    return single.unionByName(once.select("_row.*"))
+    row = F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")
+    return single.unionByName(docs.join(repeated, same).groupBy(own, of).agg(row).select("row.*"))
 
 
 def _digest(text):

@@ -29,3 +29,11 @@ def commit(df, name):
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unused(names, start):
+    """``start``, or longer, so that no given column has this name in either case."""
+    taken = {n.lower() for n in names}
+    while start.lower() in taken:
+        start += "_"
+    return start

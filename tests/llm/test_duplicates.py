@@ -181,3 +181,13 @@ def test_names_and_counts_are_packed_without_loss():
         counts = rng.choice([1, 1, 1, 2, 5, 10**10], n)
         assert np.array_equal(_unpack_names(_pack_names(names)), names)
         assert np.array_equal(_unpack_counts(_pack_counts(counts)), counts)
+
+
+def test_kept_rows_with_columns_named_like_the_operators_own(spark):
+    from lotwise.llm.near_duplicates import kept_documents
+
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words, 1, "a"), (1, words, 1, "a"), (2, words + " end", 2, "b"), (3, "other text of some words here", 3, "c"), (None, None, 4, "d")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _key int, _OF string")
+    got = sorted((r.doc_id or 0, r._key, r._OF) for r in kept_documents(docs).collect())
+    assert got in ([(0, 4, "d"), (1, 1, "a"), (3, 3, "c")], [(0, 4, "d"), (2, 2, "b"), (3, 3, "c")])

@@ -180,3 +180,16 @@ def test_languages_of_held_out_texts_and_switching_words(spark, languages, odd):
     assert {(r.lang_pred, r.score) for r in none} == {("und", 0.0)}
     untaught = fit(languages.limit(0))
     assert {r.lang_pred for r in label(odd, untaught).collect()} == {"und"}
+
+
+def test_no_language_is_crowded_out_of_the_fit_sample(spark):
+    """Thousands of copies and a frequent language leave the others their share."""
+    from lotwise.llm import language_crf
+
+    rows = [("the cat sat on the mat and the dog", "en")] * 3000 + [(f"the house number {i} is red and old", "en") for i in range(300)]
+    rows += [(f"la casa número {i} es roja y vieja", "es") for i in range(60)]
+    model = language_crf.fit(spark.createDataFrame(rows, "text string, lang string"), texts=40)
+    tests = spark.createDataFrame([("la vieja casa es roja",), ("the old house is red",)], "text string")
+    assert [r.lang_pred for r in language_crf.label(tests, model, with_spans=False).collect()] == ["es", "en"]
+    empty = language_crf.fit(spark.createDataFrame([], "text string, lang string"))
+    assert {r.lang_pred for r in language_crf.label(tests, empty).collect()} == {"und"}
