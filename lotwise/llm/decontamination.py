@@ -10,6 +10,9 @@ Documents are never moved: each task reads its own.  Items are taken in blocks o
 each of which is one more pass over the documents.
 """
 
+import bisect
+import heapq
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -106,13 +109,12 @@ class Myers:
         for i, c in enumerate(pattern):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
 
-    def best(self, text, low, high):
-        """(distance, end) of the best stretch within ``text[low:high]``, the first among equals."""
+    def distances(self, text, low, high):
+        """The distance of the best stretch of ``text[low:high]`` that ends after each character."""
         full, top = (1 << self.size) - 1, 1 << self.size - 1
         plus, minus, score = full, 0, self.size
-        best, end = score, low
-        masks = self.masks
-        for at, c in enumerate(text[low:high], low + 1):
+        masks, out = self.masks, []
+        for c in text[low:high]:
             same = masks.get(c, 0)
             vertical = same | minus
             diagonal = (((same & plus) + plus) ^ plus) | same
@@ -125,9 +127,14 @@ class Myers:
             up, down = up << 1 & full, down << 1 & full
             plus = down | ~(vertical | up) & full
             minus = up & vertical
-            if score < best:
-                best, end = score, at
-        return best, end
+            out.append(score)
+        return out
+
+    def best(self, text, low, high):
+        """(distance, end) of the best stretch within ``text[low:high]``, the first among equals."""
+        found = self.distances(text, low, high)
+        least = min(found, default=self.size)
+        return (least, low + 1 + found.index(least)) if least < self.size else (self.size, low)
 
 
 class _Search:
@@ -170,20 +177,43 @@ class _Search:
         return found
 
     def _verify(self, item, text, low, high):
-        """The best stretch of a range, then those before and after it."""
-        n = item.budget + 1
-        distance, end = item.pattern(0, n).best(text, low, high)
-        if distance > item.budget:
-            return []
-        back = text[max(low, end - len(item.text) - item.budget) : end][::-1]
-        start = end - Myers(item.text[::-1]).best(back, 0, len(back))[1]
-        out = [(item, distance, start - 1, end - 1)]
-        least = len(item.text) - item.budget
-        if start - low >= least:
-            out = self._verify(item, text, low, start) + out
-        if min(high, len(text)) - end >= least:
-            out += self._verify(item, text, end, high)
-        return out
+        """Places within a range that do not overlap, taken from the best (then the first) on.
+
+        One pass gives the distance at every end.  A taken place changes only distances of
+        stretches that would begin before its end, which are computed anew: as many characters as
+        an item and its budget have.
+        """
+        pattern, reverse = item.pattern(0, item.budget + 1), Myers(item.text[::-1])
+        reach = len(item.text) + item.budget
+        high = min(high, len(text))
+        at_end = dict(_within(pattern.distances(text, low, high), low, item.budget))
+        queue = [(distance, end) for end, distance in at_end.items()]
+        heapq.heapify(queue)
+        starts, ends, out = [], [], []
+        while queue:
+            distance, end = heapq.heappop(queue)
+            if at_end.get(end) != distance:
+                continue
+            place = bisect.bisect_left(starts, end)
+            floor = ends[place - 1] if place else low
+            back = text[max(floor, end - reach) : end][::-1]
+            start = end - reverse.best(back, 0, len(back))[1]
+            ceiling = starts[place] if place < len(starts) else high
+            starts.insert(place, start)
+            ends.insert(place, end)
+            out.append((item, distance, start - 1, end - 1))
+            upto = min(end + reach, ceiling)
+            for gone in range(start + 1, upto + 1):
+                at_end.pop(gone, None)
+            for late, anew in _within(pattern.distances(text, end, upto), end, item.budget):
+                at_end[late] = anew
+                heapq.heappush(queue, (anew, late))
+        return sorted(out, key=lambda found: found[2])
+
+
+def _within(distances, low, budget):
+    """(end, distance) where the distance is within the budget."""
+    return [(end, d) for end, d in enumerate(distances, low + 1) if d <= budget]
 
 
 def _merged(ranges):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lotwise.llm.registry import query, table
-from lotwise.llm.secrets import ALLOWED, CLASSES, KINDS, SCALE, WINDOW, listed, scan
+from lotwise.llm.secrets import ALLOWED, ALLOWED_WORDS, CLASSES, KINDS, SCALE, WINDOW, listed, scan
 
 
 def _sql():
@@ -31,12 +31,12 @@ h AS (
   FROM f WHERE CASE WHEN rank = 0 THEN length(v[i]) >= 8 ELSE length(m[i]) >= least END),
 b AS (SELECT r, rank, s, s + length(word) AS e FROM h WHERE rank < 3),
 w AS (
-  SELECT r, rank, s + i - 1 AS s, s + i - 1 + {WINDOW} AS e,
+  SELECT r, rank, s + i - 1 AS s, s + i - 1 + {WINDOW} AS e, substr(word, i, {WINDOW}) AS characters,
          (SELECT sum(CAST(round(c * log2(c) * {SCALE}) AS BIGINT)) FROM
            (SELECT unnest(map_values(list_aggregate(string_split(substr(word, i, {WINDOW}), ''), 'histogram'))) AS c)) AS total
   FROM (SELECT *, unnest(range(1, length(word) - {WINDOW} + 2)) AS i FROM h
         WHERE rank >= 3 AND NOT regexp_matches(word, '{ALLOWED}'))),
-g AS (SELECT r, rank, s, e FROM w WHERE total <= CASE rank {limits} END),
+g AS (SELECT r, rank, s, e FROM w WHERE total <= CASE rank {limits} END AND NOT regexp_matches(characters, '{ALLOWED_WORDS}')),
 j AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY r, rank ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM g),
 k AS (SELECT *, sum(fresh) OVER (PARTITION BY r, rank ORDER BY s) AS part FROM j),
 a AS (SELECT r, rank, CAST(min(s) AS INTEGER) AS s, CAST(max(e) AS INTEGER) AS e FROM k GROUP BY r, rank, part),

@@ -11,6 +11,8 @@ paths it has.  Only DataFrame functions are used.
 
 from pyspark.sql import functions as F
 
+from lotwise.llm.tables import unused
+
 PREFIX_HEX = 8
 BROADCAST_RULES = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,12 +74,13 @@ def judge(pages, rules, default="allow", url="url"):
     best = hits.groupBy("host", "head").agg(
         F.max(F.struct(F.length("rule").alias("size"), "host_size", "verdict", "rule")).alias("best")
     )
+    of_host, of_head = unused(pages.columns, "judged_host"), unused(pages.columns, "judged_head")
     best = best.select(
-        F.col("host").alias("judged_host"), F.col("head").alias("judged_head"),
+        F.col("host").alias(of_host), F.col("head").alias(of_head),
         F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"),
     )
-    same = (F.col("host") == F.col("judged_host")) & (F.substring("path", 1, reach) == F.col("judged_head"))
-    judged = pages.join(best, same, "left").drop("judged_host", "judged_head")
+    same = (F.col("host") == F.col(of_host)) & (F.substring("path", 1, reach) == F.col(of_head))
+    judged = pages.join(best, same, "left").drop(of_host, of_head)
     return judged.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 

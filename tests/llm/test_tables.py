@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lotwise.llm import vector_search
-from lotwise.llm.packing import SIZES, best_fit, default_cost, pack, word_lengths
+from lotwise.llm.packing import SHARD, SIZES, best_fit, default_cost, opened_sizes, pack, total_price, word_lengths
 from lotwise.llm.revisits import canonical_url, resolve_revisits
 from lotwise.llm.url_rules import judge, rules_table
 from lotwise.llm.vector_search import top_k, whole_components
@@ -110,21 +110,47 @@ def test_best_fit_matches_a_scan_over_open_bins():
     rng = random.Random(7)
     prices = {s: default_cost(s, SIZES[-1]) for s in SIZES}
     lengths = sorted((rng.choice([rng.randint(1, 4096), rng.randint(1, 300)]) for _ in range(400)), reverse=True)
-    bins, starts, final = best_fit(lengths, SIZES, prices)
-    room, filled, left = [], [], sum(lengths)
+    chosen = opened_sizes(lengths, SIZES, prices)
+    bins, starts, final = best_fit(lengths, SIZES, prices, chosen)
+    room, filled = [], []
     for n, b, start in zip(lengths, bins, starts):
         fits = [r for r in room if r >= n]
         if fits:
             assert room[b] == min(fits)
         else:
             assert b == len(room)
-            room.append(min((s for s in SIZES if s >= n), key=lambda s: (prices[s] / min(s, left), s)))
+            room.append(next(c for s, c in zip(SIZES, chosen) if s >= n))
             filled.append(0)
         assert start == filled[b]
-        filled[b], room[b], left = filled[b] + n, room[b] - n, left - n
+        filled[b], room[b] = filled[b] + n, room[b] - n
     assert final == [min((s for s in SIZES if s >= f), key=prices.get) for f in filled]
 
 
+def test_sizes_are_chosen_together():
+    prices = {s: default_cost(s, SIZES[-1]) for s in SIZES}
+    rng = random.Random(8)
+    for low, high in [(550, 800), (20, 90), (300, 380), (10, 3000)]:
+        lengths = sorted((rng.randint(low, high) for _ in range(1500)), reverse=True)
+        chosen = opened_sizes(lengths, SIZES, prices)
+        price = total_price(lengths, SIZES, prices, chosen)
+        single = [total_price(lengths, SIZES, prices, [s] * 4) for s in SIZES if s >= lengths[0]]
+        greedy = total_price(lengths, SIZES, prices, [1024, 1024, 2048, 4096])
+        assert price <= min(single) and price <= greedy
+        for i in range(4):
+            for s in SIZES[i:]:
+                assert price <= total_price(lengths, SIZES, prices, [*chosen[:i], s, *chosen[i + 1 :]])
+        if low == 550:
+            assert chosen[1] > 1024 and price < 0.97 * greedy
+
+
+def test_long_texts_and_repeated_rows_do_not_fill_a_shard(spark):
+    rows = [(i, 400 * 4096 + 5 * (i % 2)) for i in range(10)] + [(7, 100)] * (3 * SHARD)
+    got = pack(spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint"))
+    assert got.filter("bin like 'whole-%'").count() == 4000 == got.filter("n_tokens = 4096").select("bin").distinct().count()
+    shards = got.filter("not bin like 'whole-%'").groupBy(F.substring_index("bin", "-", 1).alias("s")).count().collect()
+    assert sum(r["count"] for r in shards) == 3 * SHARD + 5 and max(r["count"] for r in shards) < 1.1 * SHARD
+
+
 def test_pack_keeps_every_token_once(spark, odd):
     rows = [(i, n) for i, n in enumerate([1, 4096, 4097, 9000, 700, 0, -3])] + [(None, 5), (8, None), (1, 4096)]
     lengths = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint")
