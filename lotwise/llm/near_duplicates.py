@@ -11,10 +11,11 @@ bands with a probability of 3e-5.
 
 Copies are one node, named by a digest of the text.  In a bucket every text is compared with one
 pivot, the text whose buckets are largest; texts of one component need no more comparisons.  Where
-buckets still hold several components, texts are compared across them if they share a shingle of
-their prefixes (the rarest shingles, without which the rest weighs too little for a link) and if
-what they do not hold alone could make a link.  Both bounds are exact; a text that differs from
-all others by more than a link allows meets none of them.
+buckets still hold several components, texts are compared across them if they share a passage of
+their prefixes (the rarest passages, without which the rest weighs too little for a link) and if
+what they do not hold alone could make a link.  A passage is all shingles that the same texts hold.
+Both bounds are exact; a text that differs from all others by more than a link allows meets none
+of them.
 """
 
 import numpy as np
@@ -190,16 +191,20 @@ def _sketches(named, idf):
     return rows.groupBy("stretch").cogroup(sums.groupBy("stretch")).applyInArrow(lambda t, u: _sketch(t, u, idf), _SKETCH)
 
 
-def _held(table):
+def _read(table):
+    """(piece, what _counted finds in it) of a stretch's pieces."""
+    cut = (piece for batch in table.to_batches() for piece in pieces(batch))
+    return [(piece, _counted(Words.of(piece.column(piece.schema.get_field_index("text"))))) for piece in cut]
+
+
+def _held(read):
     """Different shingles of a stretch in order, and how many of its documents hold each."""
-    found = [np.zeros(0, dtype=np.uint64)]
-    for batch in table.select(["text"]).to_batches():
-        found += [_counted(Words.of(piece.column(0)))[1] for piece in pieces(batch)]
-    return np.unique(np.concatenate(found), return_counts=True)
+    found = [names for _, (_, names, _) in read]
+    return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *found]), return_counts=True)
 
 
 def _stretch_names(table, parts):
-    names, df = _held(table)
+    names, df = _held(_read(table))
     bucket = (names >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
     cuts = np.flatnonzero(np.append(bucket[:1] == bucket[:1], bucket[1:] != bucket[:-1])).tolist()
     ranges = list(zip(cuts, [*cuts[1:], len(names)]))
@@ -289,7 +294,7 @@ def _draw(draws, names, weights, top):
         if len(other):
             other_level, value[other] = draws.at(row[other], np.log(weight[other]).astype(np.float32)[:, None])
         least = value.min(axis=0)
-        i, k = np.nonzero(value == least)
+        i, k = np.divmod(np.flatnonzero(value == least), SAMPLES)
         level = draws.top_level[row[i], k].astype(np.int64)
         if len(other):
             place = np.minimum(np.searchsorted(other, i), len(other) - 1)
@@ -313,36 +318,34 @@ def _draws(top):
 
 
 def _sketch(table, sums, idf):
-    held, _ = _held(table)
+    read = _read(table)
+    held, _ = _held(read)
     order = np.argsort(sums.column("bucket").to_numpy())
     listed = sums.column("dfs").to_pylist()
     total = np.concatenate([np.zeros(0, dtype=np.int64), *(_unpack_counts(listed[i]) for i in order)])
-    sketched = [p for batch in table.to_batches() for p in pieces(batch)]
     schema = pa.schema({
         "doc_id": pa.int64(), "digest": pa.binary(), "weight": pa.float64(),
         "bands": pa.list_(pa.int64()), "dfs": pa.binary(),
     })
-    return pa.Table.from_batches([_sketch_piece(p, held, total, idf).cast(schema) for p in sketched], schema)
+    sketched = [_sketch_piece(piece, *counted, held, total, idf).cast(schema) for piece, counted in read]
+    return pa.Table.from_batches(sketched, schema)
 
 
-def _sketch_piece(piece, held, total, idf):
+def _sketch_piece(piece, owner, names, count, held, total, idf):
     draws = _draws(idf.top)
     column = {name: piece.column(i) for i, name in enumerate(piece.schema.names)}
-    owner, names, count = _counted(Words.of(column["text"]))
     df = total[np.searchsorted(held, names)]
     weights = idf.weights(df) * count
     cuts = np.searchsorted(owner, np.arange(len(piece) + 1))
     sums = np.concatenate(([0.0], np.cumsum(weights)))
-    bands = []
-    for a, b in zip(cuts, cuts[1:]):
-        if a == b:
-            bands.append(None)
-            continue
-        sample = _draw(draws, names[a:b], weights[a:b], idf.top).reshape(BANDS, ROWS)
-        name = np.zeros(BANDS, dtype=np.uint64)
-        for r in range(ROWS):
-            name = mix(name * _SPREAD + sample[:, r])
-        bands.append(name.view(np.int64))
+    drawn = [np.zeros((0, SAMPLES), dtype=np.uint64)]
+    drawn += [_draw(draws, names[a:b], weights[a:b], idf.top)[None] for a, b in zip(cuts, cuts[1:]) if a < b]
+    sample = np.concatenate(drawn).reshape(-1, BANDS, ROWS)
+    name = np.zeros(sample.shape[:2], dtype=np.uint64)
+    for r in range(ROWS):
+        name = mix(name * _SPREAD + sample[:, :, r])
+    worded = iter(name.view(np.int64))
+    bands = [next(worded) if a < b else None for a, b in zip(cuts, cuts[1:])]
     return pa.RecordBatch.from_arrays(
         [
             column["doc_id"],
@@ -444,9 +447,11 @@ def _weighted_jaccard(sa, wa, sb, wb):
 
 
 def _across(shared, found, tried, named, sketches, texts, idf, similarity):
-    """Untried pairs of texts in different components of one bucket that share a prefix shingle.
+    """Untried pairs of texts in different components of one bucket that share a prefix passage.
 
-    A pair is formed at its rarest common shingle, and only if what weighs no rarer could make a
+    Shingles that the same texts hold are one passage, named by the digests of these texts: what
+    texts have in common is a few of them, and what a text has alone leaves before it is sorted.
+    A pair is formed at its rarest common passage, and only if what weighs no rarer could make a
     link, where both lists are short enough to travel along; at each common one otherwise.
     """
     members = shared.select("band", "value", "node", "weight").join(found, "node", "left")
@@ -458,28 +463,28 @@ def _across(shared, found, tried, named, sketches, texts, idf, similarity):
     top = np.float32(idf.top)
     weighed = _weighed(members.select("node"), named, sketches, texts, idf)
     entries = commit(weighed.mapInArrow(lambda b: _entries(b, top), _ENTRY), "entries")
-    df = entries.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
-    entries = entries.join(df, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    common_first = Window.partitionBy("node").orderBy(F.desc("df"), "shingle")
-    entries = entries.withColumn("reached", F.sum("weight").over(common_first.rowsBetween(Window.unboundedPreceding, 0)))
-    not_alone = F.sum(F.when(F.col("df") > 1, F.col("weight")).otherwise(0.0)).over(Window.partitionBy("node"))
-    entries = entries.withColumn("common", not_alone)
-    entries = entries.select("node", "shingle", "df", "reached", "common").join(members, "node")
+    held = entries.groupBy("shingle").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("node")).alias("nodes")).filter("df > 1")
+    held = held.select("shingle", "df", F.xxhash64("df", "nodes").alias("passage"))
+    entries = entries.join(held, "shingle").groupBy("node", "passage").agg(F.first("df").alias("df"), F.sum("weight").alias("own"))
+    common_first = Window.partitionBy("node").orderBy(F.desc("df"), "passage")
+    entries = entries.withColumn("reached", F.sum("own").over(common_first.rowsBetween(Window.unboundedPreceding, 0)))
+    entries = entries.withColumn("common", F.sum("own").over(Window.partitionBy("node")))
+    entries = entries.select("node", "passage", "df", "reached", "common").join(members, "node")
     slack = F.lit(similarity * (1 - 1e-6))
-    prefix = entries.filter((F.col("df") > 1) & (F.col("reached") >= slack * F.col("weight")))
+    prefix = entries.filter(F.col("reached") >= slack * F.col("weight"))
     whole = common_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    listed = F.collect_list("shingle").over(whole)
+    listed = F.collect_list("passage").over(whole)
     prefix = prefix.withColumn("listed", F.when(F.size(listed) <= LISTED, listed))
-    prefix = commit(prefix.select("node", "shingle", "component", "weight", "common", "reached", "listed"), "prefixes")
+    prefix = commit(prefix.select("node", "passage", "component", "weight", "common", "reached", "listed"), "prefixes")
     a, b = prefix.alias("a"), prefix.alias("b")
     rarest = F.element_at(F.array_intersect("a.listed", "b.listed"), -1)
     overlap = F.least("a.common", "b.common", F.when(rarest.isNotNull(), F.least("a.reached", "b.reached")))
     near = (
-        (F.col("a.shingle") == F.col("b.shingle"))
+        (F.col("a.passage") == F.col("b.passage"))
         & (F.col("a.node") < F.col("b.node"))
         & (F.col("a.component") != F.col("b.component"))
         & (overlap >= slack * (F.col("a.weight") + F.col("b.weight") - overlap))
-        & F.coalesce(rarest == F.col("a.shingle"), F.lit(True))
+        & F.coalesce(rarest == F.col("a.passage"), F.lit(True))
     )
     pairs = a.join(b, near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     return pairs.join(tried, ["a", "b"], "left_anti")

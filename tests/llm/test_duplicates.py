@@ -191,3 +191,48 @@ def test_kept_rows_with_columns_named_like_the_operators_own(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, _key int, _OF string")
     got = sorted((r.doc_id or 0, r._key, r._OF) for r in kept_documents(docs).collect())
     assert got in ([(0, 4, "d"), (1, 1, "a"), (3, 3, "c")], [(0, 4, "d"), (2, 2, "b"), (3, 3, "c")])
+
+
+def test_texts_that_share_a_long_passage_meet_at_it_once(spark, monkeypatch):
+    """Six texts of one bucket share 300 words: one row each is joined, not one for each common shingle."""
+    from lotwise.llm import near_duplicates as near
+
+    rng = random.Random(17)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = fresh(300)
+    texts = docs(spark, [(i, " ".join(passage + fresh(3))) for i in range(6)])
+    idf = near._Idf(texts)
+    named = texts.withColumn("digest", near._digest(F.col("text")))
+    sketches = near.commit(near._sketches(named, idf), "sketches")
+    of = sketches.select("digest", F.col("doc_id").alias("sample"), "weight", "bands")
+    shared = of.select(F.lit(0).alias("band"), F.lit(0).alias("value"), F.col("digest").alias("node"), "weight")
+    none = shared.limit(0).select("node", F.col("node").alias("component"))
+    tried = none.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    written, commit = {}, near.commit
+
+    def counted(df, name, *more):
+        written[name] = commit(df, name, *more)
+        return written[name]
+
+    monkeypatch.setattr(near, "commit", counted)
+    pairs = near._across(shared, none, tried, named, sketches, of, idf, 0.8).collect()
+    assert len(pairs) == len(set(pairs)) == 15
+    assert written["entries"].count() == 6 * 299 and written["prefixes"].count() == 6
+
+
+def test_a_stretch_counts_the_shingles_of_a_text_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from lotwise.llm import near_duplicates as near
+
+    texts = [" ".join(f"w{i * j}" for j in range(30)) for i in range(9)] + [None, ""]
+    digests = [bytes([i]) * 16 for i in range(10)]
+    table = pa.table({"doc_id": range(11), "digest": [*digests, None], "text": texts, "stretch": np.zeros(11, np.int32)})
+    sums = near._sums(near._stretch_names(table, 1))
+    idf = near._Idf.__new__(near._Idf)
+    idf.n, idf.floor, idf.top = 11, 1.0, float(np.log1p(11))
+    read, counted = [], near._counted
+    monkeypatch.setattr(near, "_counted", lambda words: read.append(len(words.counts())) or counted(words))
+    sketch = near._sketch(table, sums, idf)
+    assert sum(read) == len(sketch) == 11 and [b is None for b in sketch.column("bands").to_pylist()] == [False] * 9 + [True] * 2
